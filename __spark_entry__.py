@@ -111,10 +111,10 @@ def _pivot(*tables: DataFrame) -> DataFrame:
     return reports.revenue_by_population_pivot(reports.revenue_by_population(*tables))
 
 
-def _view(name: str, digits: Mapping[str, int] | None = None) -> Query:
+def _view(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         create_views(warehouse(spark, sf_dir), CATEGORY)
-        return _common_types(spark.table(name), digits)
+        return _common_types(spark.table(name))
 
     return query
 
@@ -310,7 +310,6 @@ _PRICED = ("Sold", "OnSale", "Product")
 _LOCATED = (*_PRICED, "Store", "City")
 _RANKED = ("Sold", "Store", "City", "BelongTo")
 _STAFFED = (*_RANKED, "AssignedTo", "Manager")
-_BANDS = {name: 2 for name in ("Small", "Medium", "Large", "Extra Large")}
 
 
 def queries() -> dict[str, Query]:
@@ -327,7 +326,6 @@ def queries() -> dict[str, Query]:
             reports.manufacturer_product,
             "Manufacturer",
             "Product",
-            digits={"ave_retail_price": 4},
         ),
         "manufacturer_product_detail": _report(
             reports.manufacturer_product_detail, "Manufacturer", "Product", "BelongTo"
@@ -338,7 +336,6 @@ def queries() -> dict[str, Query]:
             "BelongTo",
             "Product",
             "Manufacturer",
-            digits={"AvePrice": 4},
         ),
         "priced_sales": _report(priced_sales, *_PRICED, digits={"Revenue": 2}),
         "actual_vs_predicted": _report(
@@ -346,14 +343,13 @@ def queries() -> dict[str, Query]:
             *_PRICED,
             "BelongTo",
             category=CATEGORY,
-            digits={"ActualRevenue": 2, "PredictedRevenue": 4, "Difference": 4},
         ),
         "states": _report(reports.states, "City"),
         "store_revenue_by_year": _report(
-            reports.store_revenue_by_year, *_LOCATED, digits={"TotalRevenue": 2}
+            reports.store_revenue_by_year, *_LOCATED
         ),
         "store_revenue_by_year_asia": _report(
-            reports.store_revenue_by_year, *_LOCATED, state=STATE, digits={"TotalRevenue": 2}
+            reports.store_revenue_by_year, *_LOCATED, state=STATE
         ),
         "groundhog": _report(reports.groundhog, "Sold", "BelongTo", category=CATEGORY),
         "year_months": _report(reports.year_months, "Cdate"),
@@ -375,15 +371,15 @@ def queries() -> dict[str, Query]:
             reports.top_state_bundle, *_STAFFED, year=YEAR, month=MONTH
         ),
         "revenue_by_population": _report(
-            reports.revenue_by_population, *_LOCATED, digits={"Average_Revenue": 2}
+            reports.revenue_by_population, *_LOCATED
         ),
-        "revenue_by_population_pivot": _report(_pivot, *_LOCATED, digits=_BANDS),
+        "revenue_by_population_pivot": _report(_pivot, *_LOCATED),
         "holidays": _report(reports.holidays, "Holiday"),
         "managers": _managers,
         "cities": _report(reports.cities, "City"),
         "view_states": _view("States"),
         "view_groundhog": _view("Report5_ACGroundhog"),
-        "view_revenue_by_population": _view("Report7_Before_Pivot", {"Average_Revenue": 2}),
+        "view_revenue_by_population": _view("Report7_Before_Pivot"),
         "add_holidays": _edit(edit.add_holidays, ("Holiday", "Cdate"), holiday_changes),
         "add_holidays_results": _edit(
             edit.add_holidays, ("Holiday", "Cdate"), holiday_changes, part=1

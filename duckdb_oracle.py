@@ -188,8 +188,8 @@ CTES: dict[str, str] = {
     # --------------------------------------------------- shared by several reports
     "joined_prices": """
         SELECT s.*, p.retail_price, o.SalePrice,
-               s.quantity * CASE WHEN o.SalePrice IS NULL THEN p.retail_price
-                                 ELSE o.SalePrice END AS amount
+               s.quantity * CAST(CASE WHEN o.SalePrice IS NULL THEN p.retail_price
+                                      ELSE o.SalePrice END AS DECIMAL(18, 4)) AS amount
         FROM loaded_sold AS s
         LEFT JOIN loaded_product AS p USING (PID)
         LEFT JOIN loaded_onsale AS o USING (PID, CalendarDate)""",
@@ -384,7 +384,8 @@ BODIES: dict[str, str] = {
     "simple_count": "SELECT count(*) AS count FROM loaded_sold",
     "manufacturer_product": """
         SELECT m.ManufacturerName, m.max_discount, count(p.PID) AS TotalProduct,
-               round(avg(p.retail_price), 4) AS ave_retail_price,
+               CAST(sum(CAST(p.retail_price AS DECIMAL(18, 4))) AS DOUBLE)
+                   / count(p.retail_price) AS ave_retail_price,
                min(p.retail_price) AS min_retail_price, max(p.retail_price) AS max_retail_price
         FROM loaded_manufacturer AS m LEFT JOIN loaded_product AS p USING (ManufacturerName)
         GROUP BY m.ManufacturerName, m.max_discount
@@ -396,7 +397,8 @@ BODIES: dict[str, str] = {
     "category_report": """
         SELECT c.CategoryName, count(b.PID) AS TotalProduct,
                count(DISTINCT m.ManufacturerName) AS TotalManufacturer,
-               round(avg(p.retail_price), 4) AS AvePrice
+               CAST(sum(CAST(p.retail_price AS DECIMAL(18, 4))) AS DOUBLE)
+                   / count(p.retail_price) AS AvePrice
         FROM loaded_category AS c
         LEFT JOIN loaded_belongto AS b USING (CategoryName)
         LEFT JOIN loaded_product AS p ON p.PID = b.PID
@@ -409,7 +411,7 @@ BODIES: dict[str, str] = {
                    AS RetailQuantity,
                CAST(CASE WHEN SalePrice IS NULL THEN 0 ELSE quantity END AS BIGINT)
                    AS SaleQuantity,
-               round(amount, 2) AS Revenue
+               CAST(amount AS DOUBLE) AS Revenue
         FROM joined_prices""",
     "actual_vs_predicted": """
         SELECT * FROM (
@@ -419,14 +421,12 @@ BODIES: dict[str, str] = {
                        AS TotalUnitsSoldNoDiscount,
                    CAST(coalesce(sum(quantity) FILTER (SalePrice IS NOT NULL), 0) AS BIGINT)
                        AS TotalUnitsSoldWithDiscount,
-                   round(sum(amount), 2) AS ActualRevenue,
-                   round(sum(retail_price * quantity
-                             * CASE WHEN SalePrice IS NULL THEN 1 ELSE 0.75 END), 4)
-                       AS PredictedRevenue,
-                   round(sum(amount - retail_price * quantity
-                             * CASE WHEN SalePrice IS NULL THEN 1 ELSE 0.75 END), 4)
-                       AS Difference
-            FROM joined_prices
+                   CAST(sum(amount) AS DOUBLE) AS ActualRevenue,
+                   CAST(sum(predicted) AS DOUBLE) AS PredictedRevenue,
+                   CAST(sum(amount - predicted) AS DOUBLE) AS Difference
+            FROM (SELECT *, CAST(retail_price AS DECIMAL(14, 4)) * quantity
+                            * CASE WHEN SalePrice IS NULL THEN 1.00 ELSE 0.75 END AS predicted
+                  FROM joined_prices)
             JOIN (SELECT PID, product_name FROM loaded_product) USING (PID)
             WHERE PID IN (SELECT PID FROM loaded_belongto WHERE CategoryName = 'ECONOMY')
             GROUP BY PID, product_name, retail_price)
@@ -434,12 +434,12 @@ BODIES: dict[str, str] = {
     "states": "SELECT DISTINCT State FROM loaded_city",
     "store_revenue_by_year": """
         SELECT State, StoreNumber, street_address, CityName, year(CalendarDate) AS Year,
-               round(sum(amount), 2) AS TotalRevenue
+               CAST(sum(amount) AS DOUBLE) AS TotalRevenue
         FROM joined_prices JOIN joined_stores USING (StoreNumber)
         GROUP BY ALL""",
     "store_revenue_by_year_asia": """
         SELECT StoreNumber, street_address, CityName, year(CalendarDate) AS Year,
-               round(sum(amount), 2) AS TotalRevenue
+               CAST(sum(amount) AS DOUBLE) AS TotalRevenue
         FROM joined_prices JOIN joined_stores USING (StoreNumber)
         WHERE State = 'ASIA'
         GROUP BY ALL""",
@@ -474,14 +474,14 @@ BODIES: dict[str, str] = {
         LEFT JOIN joined_staff AS d USING (Year, Month, CategoryName, State)
         WHERE w.Year = 1998 AND w.Month = 8""",
     "revenue_by_population": """
-        SELECT Year, Population_Category, round(Average_Revenue, 2) AS Average_Revenue
+        SELECT Year, Population_Category, Average_Revenue AS Average_Revenue
         FROM joined_bands""",
     "revenue_by_population_pivot": """
         SELECT Year,
-               round(max(Average_Revenue) FILTER (Population_Category = 'Small'), 2) AS Small,
-               round(max(Average_Revenue) FILTER (Population_Category = 'Medium'), 2) AS Medium,
-               round(max(Average_Revenue) FILTER (Population_Category = 'Large'), 2) AS Large,
-               round(max(Average_Revenue) FILTER (Population_Category = 'Extra Large'), 2)
+               max(Average_Revenue) FILTER (Population_Category = 'Small') AS Small,
+               max(Average_Revenue) FILTER (Population_Category = 'Medium') AS Medium,
+               max(Average_Revenue) FILTER (Population_Category = 'Large') AS Large,
+               max(Average_Revenue) FILTER (Population_Category = 'Extra Large')
                    AS "Extra Large"
         FROM joined_bands WHERE Population_Category IS NOT NULL GROUP BY Year""",
     "holidays": f"SELECT {_COLUMNS['holiday']} FROM loaded_holiday",

@@ -8,12 +8,16 @@ from .columns import (
     repair_discount,
     year_month_label,
 )
+from .money import money, money_sum, money_units
 
 __all__ = [
     "city_state",
     "date_from_parts",
     "full_name",
     "in_period",
+    "money",
+    "money_sum",
+    "money_units",
     "parse_form_date",
     "population_band",
     "repair_discount",

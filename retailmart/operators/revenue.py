@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import money_units
+
 
 def match_sale_price(sold: DataFrame, onsale: DataFrame) -> DataFrame:
     """Split each sale's quantity into full-price and discounted units.
@@ -23,14 +25,17 @@ def match_sale_price(sold: DataFrame, onsale: DataFrame) -> DataFrame:
     )
 
 
-def revenue() -> Column:
-    return F.col("retail_price") * F.col("RetailQuantity") + F.col("SalePrice") * F.col(
-        "SaleQuantity"
-    )
+def revenue_units() -> Column:
+    """Revenue of a priced sale in exact money units, for sums."""
+    return money_units(F.col("retail_price")) * F.col("RetailQuantity") + money_units(
+        F.col("SalePrice")
+    ) * F.col("SaleQuantity")
 
 
 def priced_sales(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:
     """Sales with retail_price, SalePrice, RetailQuantity, SaleQuantity and Revenue."""
     prices = product.select("PID", "retail_price")
     matched = match_sale_price(sold, onsale)
-    return matched.join(prices, "PID", "left").withColumn("Revenue", revenue())
+    full = F.col("retail_price") * F.col("RetailQuantity")
+    discounted = F.col("SalePrice") * F.col("SaleQuantity")
+    return matched.join(prices, "PID", "left").withColumn("Revenue", full + discounted)

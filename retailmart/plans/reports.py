@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import in_period, year_month_label
+from ..functions import in_period, money, money_sum, money_units, year_month_label
 from ..functions.columns import BAND_NAMES
+from ..functions.money import MONEY_DIGITS
 from ..operators.constraints import union_all
-from ..operators.revenue import match_sale_price, priced_sales
+from ..operators.revenue import match_sale_price, priced_sales, revenue_units
 
 # The categories, rates and limits the standard reports use.
 PREDICTION_CATEGORY = "GPS"
@@ -30,6 +31,14 @@ def _month():
     return F.month("CalendarDate").alias("Month")
 
 
+def _rounded(amount):
+    return F.round(amount, MONEY_DIGITS)
+
+
+def _mean_price():
+    return money(money_sum(money_units(F.col("retail_price")))) / F.count("retail_price")
+
+
 def simple_count(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("count"))
 
@@ -52,7 +61,7 @@ def manufacturer_product(
     """Product count and retail prices by maker, the dearest makers first."""
     stats = product.groupBy("ManufacturerName").agg(
         F.count("PID").alias("TotalProduct"),
-        F.avg("retail_price").alias("ave_retail_price"),
+        _mean_price().alias("ave_retail_price"),
         F.min("retail_price").alias("min_retail_price"),
         F.max("retail_price").alias("max_retail_price"),
     )
@@ -98,7 +107,7 @@ def category_report(
         .agg(
             F.count("PID").alias("TotalProduct"),
             F.countDistinct("_maker").alias("TotalManufacturer"),
-            F.avg("retail_price").alias("AvePrice"),
+            _mean_price().alias("AvePrice"),
         )
     )
     none = F.lit(0).cast("bigint")
@@ -138,7 +147,9 @@ def actual_vs_predicted(
         .agg(
             F.sum("RetailQuantity").alias("TotalUnitsSoldNoDiscount"),
             F.sum("SaleQuantity").alias("TotalUnitsSoldWithDiscount"),
-            F.sum(F.col("SalePrice") * F.col("SaleQuantity")).alias("_discounted"),
+            money(
+                money_sum(money_units(F.col("SalePrice")) * F.col("SaleQuantity"))
+            ).alias("_discounted"),
         )
     )
     full, discounted = F.col("TotalUnitsSoldNoDiscount"), F.col("TotalUnitsSoldWithDiscount")
@@ -148,11 +159,13 @@ def actual_vs_predicted(
         .withColumns(
             {
                 "TotalUnitsSold": full + discounted,
-                "ActualRevenue": retail * full + F.col("_discounted"),
-                "PredictedRevenue": retail * (full + discounted * uplift),
+                "ActualRevenue": _rounded(retail * full + F.col("_discounted")),
+                "PredictedRevenue": _rounded(retail * (full + discounted * uplift)),
             }
         )
-        .withColumn("Difference", F.col("ActualRevenue") - F.col("PredictedRevenue"))
+        .withColumn(
+            "Difference", _rounded(F.col("ActualRevenue") - F.col("PredictedRevenue"))
+        )
         .filter(F.abs("Difference") > threshold)
         .select(
             "PID",
@@ -174,10 +187,11 @@ def states(city: DataFrame) -> DataFrame:
 
 
 def _store_years(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:
+    """Revenue by store and year, in exact units."""
     return (
         priced_sales(sold, onsale, product)
         .groupBy("StoreNumber", _year())
-        .agg(F.sum("Revenue").alias("TotalRevenue"))
+        .agg(money_sum(revenue_units()).alias("_units"))
     )
 
 
@@ -201,7 +215,8 @@ def store_revenue_by_year(
     if state is not None:
         sold = sold.join(stores.select("StoreNumber"), "StoreNumber", "left_semi")
     located = _store_years(sold, onsale, product).join(stores, "StoreNumber")
-    columns = ["StoreNumber", "street_address", "CityName", "Year", "TotalRevenue"]
+    revenue = money(F.col("_units")).alias("TotalRevenue")
+    columns = ["StoreNumber", "street_address", "CityName", "Year", revenue]
     if state is None:
         columns.insert(0, "State")
     return located.select(*columns).orderBy("Year", F.desc("TotalRevenue"), "StoreNumber")
@@ -398,11 +413,11 @@ def revenue_by_population(
         _store_years(sold, onsale, product)
         .join(located, "StoreNumber", "left")
         .groupBy("Year", "CityState", "city_size")
-        .agg(F.sum("TotalRevenue").alias("_revenue"))
+        .agg(F.sum("_units").alias("_units"))
     )
     return (
         cities.groupBy("Year", F.col("city_size").alias("Population_Category"))
-        .agg((F.sum("_revenue") / F.count("*")).alias("Average_Revenue"))
+        .agg((money(F.sum("_units")) / F.count("*")).alias("Average_Revenue"))
         .orderBy("Year", F.desc("Population_Category"))
     )
 
