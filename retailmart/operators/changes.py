@@ -44,13 +44,8 @@ def _first_reason(failures: Mapping[str, Column]) -> Column:
 
 
 def _mark(changes: DataFrame, table: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """Flag the changes whose key is in ``table``.
-
-    The table is first cut to the keys the batch names, so a small batch against
-    a large table shuffles neither.
-    """
-    named = table.select(*keys).join(changes.select(*keys), list(keys), "left_semi")
-    hits = named.distinct().withColumn(flag, F.lit(True))
+    """Flag the changes whose key is in ``table``, which holds each key once."""
+    hits = table.select(*keys, F.lit(True).alias(flag))
     return changes.join(hits, list(keys), "left")
 
 
@@ -61,7 +56,11 @@ def _insert(
     parents: Mapping[str, DataFrame] | None = None,
     failures: Mapping[str, Column] | None = None,
 ) -> Change:
-    """Insert rows: constraints first, then the lowest change_id of each key wins."""
+    """Insert rows: constraints first, then the lowest change_id of each key wins.
+
+    The winners are an aggregate joined back on the unique change_id, so a key
+    that fills the batch stays spread over all tasks.
+    """
     spec = TABLES[name]
     row = changes.select(
         ID, *(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in spec.schema)
@@ -106,7 +105,8 @@ def add_managers(manager: DataFrame, changes: DataFrame) -> Change:
 
 def remove_managers(manager: DataFrame, assigned: DataFrame, changes: DataFrame) -> Change:
     """``changes``: change_id, Email. Refused while the manager has a store."""
-    judged = _mark(changes, assigned, ["Email"], "_held").withColumn(
+    staffed = assigned.select("Email").distinct()
+    judged = _mark(changes, staffed, ["Email"], "_held").withColumn(
         REASON, F.when(F.col("_held"), "still assigned")
     )
     gone = judged.filter(F.col(REASON).isNull()).select("Email")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import LOAD_ORDER, TABLES
+from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
     bucket_count,
     create_tables,
@@ -76,9 +77,12 @@ class Warehouse(Mapping[str, DataFrame]):
         return len(LOAD_ORDER)
 
     def load_all(self) -> None:
-        for name in LOAD_ORDER:
-            if name not in self._loaded:
-                self._load(name)
+        """Load what is missing; tables that do not need each other load side by side,
+        so the short jobs of the small ones fill the gaps of the large ones."""
+        for level in load_levels():
+            missing = [name for name in level if name not in self._loaded]
+            with ThreadPoolExecutor(max_workers=len(level)) as pool:
+                list(pool.map(self._load, missing))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Store a new version of a table, as a change operator returned it."""

@@ -199,3 +199,14 @@ def children_of(parent: str) -> list[tuple[TableSpec, ForeignKey]]:
         for key in spec.foreign_keys
         if key.parent == parent
     ]
+
+
+def load_levels() -> list[list[str]]:
+    """Tables grouped so that each group needs only the ones before it."""
+    depth: dict[str, int] = {}
+    for name, spec in TABLES.items():
+        depth[name] = 1 + max((depth[key.parent] for key in spec.foreign_keys), default=-1)
+    return [
+        [name for name in TABLES if depth[name] == level]
+        for level in range(max(depth.values()) + 1)
+    ]

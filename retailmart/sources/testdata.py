@@ -36,11 +36,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _line_id() -> Column:
     """Line order of lineitem as one exact number: order, line number, price in cents.
 
-    38 digits leave room for any 64-bit order key. Order and line alone do not
-    identify a line, hence the price.
+    38 digits leave room for any order key a table could hold. Order and line alone
+    do not identify a line, hence the price.
     """
-    line = F.col("l_orderkey").cast("decimal(19,0)") * 10 + F.col("l_linenumber")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     return (line * F.lit(Decimal(10**10)) + cents).cast("decimal(38,0)")
 
 
@@ -102,8 +102,8 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_saleprices(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    tenths = F.round(F.col("p_retailprice") * 10).cast("bigint")
-    discounted = tenths * (10 - F.round(F.col("l_discount") * 100).cast("int")) / F.lit(100.0)
+    tenths = F.rint(F.col("p_retailprice") * 10).cast("bigint")
+    discounted = tenths * (10 - F.rint(F.col("l_discount") * 100).cast("int")) / F.lit(100.0)
     above_retail = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
     return (
         _read(spark, sf_dir, "lineitem")

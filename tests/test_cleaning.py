@@ -1,0 +1,215 @@
+"""Edges of the cleaning operators that the fixtures do not reach."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from retailmart import functions as fn
+from retailmart.operators import cleaning
+from retailmart.plans import build
+
+DAY = dt.date(2001, 3, 4)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
+
+
+@pytest.mark.parametrize(
+    ("population", "band"),
+    [
+        (0, "Small"),
+        (3_699_999, "Small"),
+        (3_700_000, "Medium"),
+        (6_699_999, "Medium"),
+        (6_700_000, "Large"),
+        (8_999_999, "Large"),
+        (9_000_000, "Extra Large"),
+        (None, None),
+    ],
+)
+def test_population_band(spark, population, band):
+    df = spark.createDataFrame([(population,)], "p int")
+    assert df.select(fn.population_band(F.col("p"))).first()[0] == band
+
+
+@pytest.mark.parametrize(
+    ("discount", "repaired"),
+    [
+        (0.0, 0.0),
+        (0.9, 0.9),
+        (0.35, 0.35),
+        (0.91, 0.9),
+        (-0.1, 0.9),
+        (None, 0.9),
+        (float("nan"), 0.9),
+    ],
+)
+def test_repair_discount(spark, discount, repaired):
+    df = spark.createDataFrame([(discount,)], "d double")
+    assert df.select(fn.repair_discount(F.col("d"))).first()[0] == repaired
+
+
+@pytest.mark.parametrize(
+    ("text", "date"),
+    [
+        ("7/4/1998", dt.date(1998, 7, 4)),
+        ("07/04/1998", dt.date(1998, 7, 4)),
+        ("13/1/1998", None),
+        ("2/30/1998", None),
+        ("1998-07-04", None),
+        (None, None),
+    ],
+)
+def test_parse_form_date(spark, text, date):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(fn.parse_form_date(F.col("t"))).first()[0] == date
+
+
+def test_date_from_parts(spark):
+    df = spark.createDataFrame([(2000, 2, 29), (2001, 2, 29), (2001, 13, 1)], "y int, m int, d int")
+    made = df.select(fn.date_from_parts(F.col("y"), F.col("m"), F.col("d")))
+    assert [r[0] for r in made.collect()] == [dt.date(2000, 2, 29), None, None]
+
+
+@pytest.mark.parametrize(
+    ("year", "month", "inside", "outside"),
+    [
+        (2001, 3, ["2001-03-01", "2001-03-31"], ["2001-02-28", "2001-04-01", "2002-03-01"]),
+        (2001, 12, ["2001-12-01", "2001-12-31"], ["2001-11-30", "2002-01-01"]),
+        (2001, None, ["2001-01-01", "2001-12-31"], ["2000-12-31", "2002-01-01"]),
+        (None, 2, ["2001-02-03", "1999-02-28"], ["2001-03-01"]),
+    ],
+)
+def test_in_period(spark, year, month, inside, outside):
+    df = spark.createDataFrame([(d,) for d in inside + outside], "d string")
+    kept = df.filter(fn.in_period(F.col("d").cast("date"), year, month))
+    assert sorted(r[0] for r in kept.collect()) == sorted(inside)
+
+
+def test_no_period_is_no_condition():
+    assert fn.in_period(None) is None
+
+
+def test_concatenation_keeps_nulls(spark):
+    df = spark.createDataFrame([("A", None), ("A", "B")], "a string, b string")
+    assert [r[0] for r in df.select(fn.city_state(F.col("a"), F.col("b"))).collect()] == [
+        None,
+        "A, B",
+    ]
+    assert [r[0] for r in df.select(fn.full_name(F.col("a"), F.col("b"))).collect()] == [
+        None,
+        "A B",
+    ]
+
+
+def test_drop_nulls_drops_nan(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "k int, v double")
+    assert rows(cleaning.drop_nulls(df), "k") == [(1,)]
+    assert len(rows(cleaning.drop_nulls(df, ["k"]))) == 3
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "decimal(38,0)", "double", "string"])
+def test_keep_first_by_any_order_type(spark, kind):
+    lines = [(1, 3, "c", 30), (1, 2, "b", 20), (2, 9, "z", 90), (1, 5, "d", 50)]
+    df = spark.createDataFrame(lines, "k int, line int, text string, n int").withColumn(
+        "line", F.col("line").cast(kind)
+    )
+    fixed = cleaning.keep_first(df.select("k", "line", "n"), ["k"], ["line"])
+    assert rows(fixed, "k", "n") == [(1, 20), (2, 90)]
+    mixed = cleaning.keep_first(df, ["k"], ["line"])
+    assert rows(mixed, "k", "text", "n") == [(1, "b", 20), (2, "z", 90)]
+
+
+def test_keep_first_puts_null_lines_first(spark):
+    df = spark.createDataFrame([(1, 0, 10), (1, None, 20), (2, None, 30)], "k int, line long, n int")
+    assert rows(cleaning.keep_first(df, ["k"], ["line"]), "k", "n") == [(1, 20), (2, 30)]
+    wide = df.withColumn("line", F.col("line").cast("decimal(38,0)"))
+    assert rows(cleaning.keep_first(wide, ["k"], ["line"]), "k", "n") == [(1, 20), (2, 30)]
+
+
+def test_keep_first_keeps_null_payload_of_first_line(spark):
+    df = spark.createDataFrame([(1, 1, None), (1, 2, 0.5)], "k int, line long, v double")
+    assert rows(cleaning.keep_first(df, ["k"], ["line"]), "k", "v") == [(1, None)]
+
+
+def test_first_line_that_fails_takes_its_key_along(spark):
+    sales = spark.createDataFrame(
+        [(1, 7, 5, DAY, 0), (2, 7, 5, DAY, 3), (3, 7, 6, DAY, 4)],
+        "row_id long, storeid long, productid long, date date, quantity int",
+    )
+    assert rows(build.build_sold(sales)) == [(7, 6, DAY, 4)]
+    assert rows(build.build_cdate(sales)) == [(DAY,)]
+
+    products = spark.createDataFrame(
+        [(1, 5, "a", -1.0, "M", 0.1), (2, 5, "a", 2.0, "M", 0.1)],
+        "row_id long, productid long, name string, retailprice double, manufacturer string,"
+        " maxdiscount double",
+    )
+    assert rows(build.build_product(products)) == []
+
+
+def test_manufacturer_keeps_first_discount_even_if_null(spark):
+    products = spark.createDataFrame(
+        [(1, "A", None), (2, "A", 0.1), (3, "B", float("nan")), (4, None, 0.3), (5, "C", 0.2)],
+        "row_id long, manufacturer string, maxdiscount double",
+    )
+    assert rows(build.build_manufacturer(products)) == [("A", 0.9), ("B", 0.9), ("C", 0.2)]
+
+
+def sale_prices(spark, prices):
+    product = spark.createDataFrame(
+        [(1, "p", 100.0, "A"), (2, "free", 0.0, "A")],
+        "PID long, product_name string, retail_price double, ManufacturerName string",
+    )
+    maker = spark.createDataFrame([("A", 0.5)], "ManufacturerName string, max_discount double")
+    onsale = spark.createDataFrame(
+        [(pid, DAY, price) for pid, price in prices], "PID long, CalendarDate date, SalePrice double"
+    )
+    return rows(cleaning.valid_sale_price(onsale, product, maker), "PID", "SalePrice")
+
+
+@pytest.mark.parametrize(
+    ("pid", "price", "kept"),
+    [
+        (1, 100.0, True),
+        (1, 100.01, False),
+        (1, 50.0, True),
+        (1, 49.99, False),
+        (2, 0.0, True),
+        (2, -1.0, False),
+        (2, 1.0, False),
+        (3, 1.0, True),  # unknown product: the foreign key rejects it
+    ],
+)
+def test_valid_sale_price(spark, pid, price, kept):
+    assert sale_prices(spark, [(pid, price)]) == ([(pid, price)] if kept else [])
+
+
+def test_coerce_types(spark):
+    df = spark.createDataFrame([("12", "3.9", "2001-03-04"), ("x", "-3.9", "soon")], "a string, b string, c string")
+    df = df.withColumn("b", F.col("b").cast("double"))
+    schema = spark.createDataFrame([], "a int, b int, c date").schema
+    assert [tuple(r) for r in cleaning.coerce_types(df, schema).collect()] == [
+        (12, 3, DAY),
+        (None, -3, None),
+    ]
+
+
+def test_columns_and_constants(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert cleaning.project_rename(df, {"b": "x"}).columns == ["x"]
+    assert rows(cleaning.with_constant(df, "c", 9)) == [(1, 2, 9)]
+    assert rows(cleaning.append_columns(df, {"s": F.col("a") + F.col("b")})) == [(1, 2, 3)]
+    assert rows(cleaning.keep_range(df, "a > 1")) == []
+
+
+def test_money_sum_is_exact_past_64_bits(spark):
+    big = 9_000_000_000_000_000_000
+    df = spark.createDataFrame([(big,), (big,), (-5,), (3,)], "u long")
+    assert df.select(fn.money_sum(F.col("u"))).first()[0] == Decimal(2 * big - 2)
+    prices = spark.createDataFrame([(0.1,), (0.2,), (19.99,)], "p double")
+    total = fn.money(fn.money_sum(fn.money_units(F.col("p"))))
+    assert prices.select(total).first()[0] == 20.29
