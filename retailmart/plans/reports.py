@@ -120,6 +120,19 @@ def category_report(
     )
 
 
+def _category_days(sold: DataFrame, belongto: DataFrame, category: str) -> DataFrame:
+    """Units of a category's products by product and day.
+
+    Stored sales are bucketed by product and day, so the sums need no shuffle. The
+    semi join stands above them: Catalyst moves it below where the members are
+    small enough to broadcast, and else it meets sums instead of single sales, so
+    no hot product can fill a task.
+    """
+    members = belongto.filter(F.col("CategoryName") == category).select("PID")
+    daily = sold.groupBy("PID", "CalendarDate").agg(F.sum("quantity").alias("quantity"))
+    return daily.join(members, "PID", "left_semi")
+
+
 def actual_vs_predicted(
     sold: DataFrame,
     onsale: DataFrame,
@@ -135,14 +148,8 @@ def actual_vs_predicted(
     price holds for a product and day, so sales are summed by those before they
     meet the prices, and products join only the final sums.
     """
-    members = belongto.filter(F.col("CategoryName") == category).select("PID")
-    daily = (
-        sold.join(members, "PID")
-        .groupBy("PID", "CalendarDate")
-        .agg(F.sum("quantity").alias("quantity"))
-    )
     units = (
-        match_sale_price(daily, onsale)
+        match_sale_price(_category_days(sold, belongto, category), onsale)
         .groupBy("PID")
         .agg(
             F.sum("RetailQuantity").alias("TotalUnitsSoldNoDiscount"),
@@ -233,10 +240,9 @@ def groundhog(
 
     A year without a sale on the day shows null there.
     """
-    members = belongto.filter(F.col("CategoryName") == category).select("PID")
     on_day = (F.month("CalendarDate") == month) & (F.dayofmonth("CalendarDate") == day)
     return (
-        sold.join(members, "PID")
+        _category_days(sold, belongto, category)
         .groupBy(_year())
         .agg(
             F.sum("quantity").alias("ItemsSold_Annually"),
