@@ -19,9 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import duckdb_oracle
+from retailmart import functions as fn
 from retailmart.operators import changes as edit
+from retailmart.operators import cleaning
 from retailmart.operators.constraints import (
+    check_domain,
     check_foreign_key,
+    check_max_length,
+    check_not_null,
+    check_predicate,
+    check_primary_key,
     delete_cascade,
     union_all,
     update_key_cascade,
@@ -32,8 +39,8 @@ from retailmart.plans.build import prepare_tables
 from retailmart.plans.load import load_tables
 from retailmart.plans.views import create_views
 from retailmart.plans.warehouse import Warehouse, shared_folder
-from retailmart.schema import LOAD_ORDER
-from retailmart.sources.files import read_clean, write_clean
+from retailmart.schema import LOAD_ORDER, RAW_SCHEMAS
+from retailmart.sources.files import read_clean, read_raw, write_clean
 from retailmart.sources.testdata import LINE_ORDER, raw_from_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +133,120 @@ def _write_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_clean(spark, folder, "csv", ["Product"])["Product"]
 
 
+def _read_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sold cleaned from raw files: the five datasets stored first, then read back."""
+    folder = f"{shared_folder(spark)}/raw_{uuid.uuid4().hex}"
+    line = {
+        "stores": F.col("storeid"),
+        "products": F.col("productid"),
+        "sales": F.floor(F.col("row_id") / 10**10),
+        "saleprices": F.floor(F.col("row_id") / 10**10),
+        "holidays": F.unix_date("date"),
+    }
+    raw = raw_from_testdata(spark, sf_dir)
+    for name, schema in RAW_SCHEMAS.items():
+        numbered = raw[name].withColumn("row_id", line[name].cast("bigint"))
+        numbered.select(*schema.fieldNames()).write.parquet(f"{folder}/{name}")
+    return _common_types(prepare_tables(read_raw(spark, folder))["Sold"])
+
+
+# ----------------------------------------------------- single operators on raw datasets
+
+
+def _on_raw(dataset: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _common_types(operator(raw_from_testdata(spark, sf_dir)[dataset]))
+
+    return query
+
+
+def _first_sales(sales: DataFrame) -> DataFrame:
+    keys = ["productid", "date"]
+    first = cleaning.keep_first(sales, keys, ["row_id"])
+    return first.select(*keys, "storeid", "quantity")
+
+
+def _names(stores: DataFrame) -> DataFrame:
+    return cleaning.append_columns(
+        stores.select("storeid", "name", "state", "managerfirstname", "managerlastname"),
+        {
+            "CityState": fn.city_state(F.col("name"), F.col("state")),
+            "manager_name": fn.full_name(
+                F.col("managerfirstname"), F.col("managerlastname")
+            ),
+        },
+    )
+
+
+def _bands(stores: DataFrame) -> DataFrame:
+    return stores.select(
+        "storeid", fn.population_band(F.col("population")).alias("city_size")
+    )
+
+
+def _discounts(products: DataFrame) -> DataFrame:
+    return products.select(
+        "productid",
+        "categoryname",
+        fn.repair_discount(F.col("maxdiscount")).alias("max_discount"),
+    )
+
+
+def _active(stores: DataFrame) -> DataFrame:
+    renamed = cleaning.project_rename(stores, {"manageremail": "Email", "storeid": "StoreNumber"})
+    return cleaning.with_constant(renamed, "EmploymentStatus", 1)
+
+
+def _valid_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _clean(spark, sf_dir)
+    offered = cleaning.project_rename(
+        raw_from_testdata(spark, sf_dir)["saleprices"],
+        {"productid": "PID", "date": "CalendarDate", "saleprice": "SalePrice"},
+    )
+    return _common_types(
+        cleaning.valid_sale_price(offered, clean["Product"], clean["Manufacturer"])
+    )
+
+
+def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "l_orderkey bigint, l_quantity int, l_shipdate date, l_returnflag int"
+    lines = _table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity") / -3)
+    return _common_types(cleaning.coerce_types(lines, T.StructType.fromDDL(schema)))
+
+
+def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priority codes such as '1' and '1-', which only partly are numbers."""
+    key = F.col("o_orderkey")
+    code = F.substring(F.col("o_orderpriority"), F.lit(1), (key % 2 + 1).cast("int"))
+    return _table(spark, sf_dir, "orders").select(key.alias("id"), code.alias("code"))
+
+
+def _domain(part: int) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = T.StructType.fromDDL("id bigint, code int")
+        return _common_types(check_domain(_priorities(spark, sf_dir), schema)[part])
+
+    return query
+
+
+def _later_sales(sales: DataFrame) -> DataFrame:
+    keys = ["storeid", "productid", "date"]
+    return check_primary_key(sales, keys, ["row_id"])[1].select(*keys, "quantity", "reason")
+
+
+def _load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows of the load by table and reason."""
+    _, rejects = load_tables(_clean(spark, sf_dir))
+    return union_all(
+        [
+            rejects[name]
+            .groupBy(F.lit(name).alias("name"), "reason")
+            .agg(F.count("*").alias("count"))
+            for name in ("Store", "Holiday", "Sold", "AssignedTo")
+        ]
+    )
+
+
 # ------------------------------------------------- change batches, one row per source row
 
 
@@ -245,10 +366,10 @@ def _remove_managers(part: int) -> Query:
     return query
 
 
-def _set_status(function: Callable[..., edit.Change]) -> Query:
+def _set_status(function: Callable[..., edit.Change], part: int = 0) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch = old_manager_changes(spark, sf_dir)
-        return _common_types(function(_grown_managers(spark, sf_dir), batch)[0])
+        return _common_types(function(_grown_managers(spark, sf_dir), batch)[part])
 
     return query
 
@@ -319,7 +440,33 @@ def queries() -> dict[str, Query]:
         "reject_fk_store": _rejected("Store", "City", "CityState"),
         "reject_fk_sold": _rejected("Sold", "Store", "StoreNumber"),
         "reject_fk_holiday": _rejected("Holiday", "Cdate", "CalendarDate"),
+        "load_rejects": _load_rejects,
+        "read_raw": _read_raw,
         "write_clean": _write_clean,
+        "drop_nulls": _on_raw("products", cleaning.drop_nulls),
+        "keep_first": _on_raw("sales", _first_sales),
+        "city_state_and_full_name": _on_raw("stores", _names),
+        "population_band": _on_raw("stores", _bands),
+        "repair_discount": _on_raw("products", _discounts),
+        "keep_range": _on_raw(
+            "products", lambda products: cleaning.keep_range(products, "retailprice >= 950")
+        ),
+        "with_constant": _on_raw("stores", _active),
+        "valid_sale_price": _valid_prices,
+        "coerce_types": _coerced,
+        "check_not_null": _on_raw(
+            "products", lambda products: check_not_null(products, ["maxdiscount", "categoryname"])[1]
+        ),
+        "check_primary_key": _on_raw("sales", _later_sales),
+        "check_predicate": _on_raw(
+            "products",
+            lambda products: check_predicate(products, "range", "maxdiscount <= 0.9D")[1],
+        ),
+        "check_max_length": _on_raw(
+            "products", lambda products: check_max_length(products, "name", 10)[1]
+        ),
+        "check_domain": _domain(0),
+        "check_domain_rejects": _domain(1),
         "row_counts": _row_counts,
         "simple_count": _report(reports.simple_count, "Sold"),
         "manufacturer_product": _report(
@@ -391,6 +538,7 @@ def queries() -> dict[str, Query]:
         "remove_managers": _remove_managers(0),
         "remove_managers_results": _remove_managers(1),
         "activate_managers": _set_status(edit.activate_managers),
+        "activate_managers_results": _set_status(edit.activate_managers, part=1),
         "deactivate_managers": _set_status(edit.deactivate_managers),
         "assign_managers": _edit(
             edit.assign_managers, ("AssignedTo", "Manager", "Store"), assignment_changes
@@ -401,6 +549,9 @@ def queries() -> dict[str, Query]:
         "unassign_managers": _edit(
             edit.unassign_managers, ("AssignedTo",), unassignment_changes
         ),
+        "unassign_managers_results": _edit(
+            edit.unassign_managers, ("AssignedTo",), unassignment_changes, part=1
+        ),
         "update_population": _edit(edit.update_population, ("City",), population_changes),
         "update_population_results": _edit(
             edit.update_population, ("City",), population_changes, part=1

@@ -574,6 +574,96 @@ BODIES: dict[str, str] = {
                CAST(quantity AS BIGINT) AS quantity
         FROM loaded_sold""",
 }
+_PRODUCTS = "CAST(productid AS BIGINT) AS productid, name, retailprice, manufacturer, maxdiscount, categoryname"
+
+BODIES |= {
+    "load_rejects": """
+        SELECT 'Store' AS name, 'no parent for (CityState)' AS reason, count(*) AS count
+        FROM clean_store WHERE CityState NOT IN (SELECT CityState FROM loaded_city)
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'Holiday', 'no parent for (CalendarDate)', count(*)
+        FROM clean_holiday WHERE CalendarDate NOT IN (SELECT CalendarDate FROM loaded_cdate)
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'Sold', 'no parent for (StoreNumber)', count(*)
+        FROM clean_sold WHERE StoreNumber NOT IN (SELECT StoreNumber FROM loaded_store)
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'AssignedTo', 'no parent for (StoreNumber)', count(*)
+        FROM clean_assignedto WHERE StoreNumber NOT IN (SELECT StoreNumber FROM loaded_store)
+        HAVING count(*) > 0""",
+    "drop_nulls": f"""
+        SELECT {_PRODUCTS} FROM raw_products
+        WHERE productid IS NOT NULL AND maxdiscount IS NOT NULL AND categoryname IS NOT NULL""",
+    "keep_first": """
+        SELECT productid, date, storeid, CAST(quantity AS BIGINT) AS quantity FROM raw_sales
+        QUALIFY row_number() OVER (PARTITION BY productid, date ORDER BY o, ln, ep) = 1""",
+    "city_state_and_full_name": """
+        SELECT storeid, name, state, managerfirstname, managerlastname,
+               name || ', ' || state AS CityState,
+               managerfirstname || ' ' || managerlastname AS manager_name
+        FROM raw_stores""",
+    "population_band": """
+        SELECT storeid, CASE WHEN population >= 9000000 THEN 'Extra Large'
+                             WHEN population >= 6700000 THEN 'Large'
+                             WHEN population >= 3700000 THEN 'Medium'
+                             ELSE 'Small' END AS city_size
+        FROM raw_stores""",
+    "repair_discount": """
+        SELECT CAST(productid AS BIGINT) AS productid, categoryname,
+               CASE WHEN maxdiscount > CAST(0.9 AS DOUBLE) OR maxdiscount IS NULL
+                    THEN CAST(0.9 AS DOUBLE) ELSE maxdiscount END AS max_discount
+        FROM raw_products""",
+    "keep_range": f"SELECT {_PRODUCTS} FROM raw_products WHERE retailprice >= 950",
+    "with_constant": """
+        SELECT manageremail AS Email, storeid AS StoreNumber,
+               CAST(1 AS BIGINT) AS EmploymentStatus
+        FROM raw_stores""",
+    "valid_sale_price": """
+        SELECT s.productid AS PID, s.date AS CalendarDate, s.saleprice AS SalePrice
+        FROM raw_saleprices AS s
+        JOIN clean_product AS p ON s.productid = p.PID
+        JOIN clean_manufacturer AS m USING (ManufacturerName)
+        WHERE s.saleprice <= p.retail_price
+          AND (p.retail_price - s.saleprice) / p.retail_price <= m.max_discount""",
+    "coerce_types": """
+        SELECT l_orderkey, CAST(trunc(l_quantity / -3) AS BIGINT) AS l_quantity,
+               CAST(l_shipdate AS DATE) AS l_shipdate, CAST(NULL AS BIGINT) AS l_returnflag
+        FROM lineitem""",
+    "check_not_null": f"""
+        SELECT {_PRODUCTS}, CASE WHEN maxdiscount IS NULL THEN 'null in maxdiscount'
+                                 ELSE 'null in categoryname' END AS reason
+        FROM raw_products WHERE maxdiscount IS NULL OR categoryname IS NULL""",
+    "check_primary_key": """
+        SELECT storeid, productid, date, CAST(quantity AS BIGINT) AS quantity,
+               'duplicate key (storeid, productid, date)' AS reason
+        FROM raw_sales
+        QUALIFY row_number() OVER (
+            PARTITION BY storeid, productid, date ORDER BY o, ln, ep) > 1""",
+    "check_predicate": f"""
+        SELECT {_PRODUCTS}, 'check range' AS reason
+        FROM raw_products WHERE maxdiscount > CAST(0.9 AS DOUBLE)""",
+    "check_max_length": f"""
+        SELECT {_PRODUCTS}, 'name longer than 10' AS reason
+        FROM raw_products WHERE length(name) > 10""",
+    "check_domain": """
+        SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS code
+        FROM orders WHERE o_orderkey % 2 = 0""",
+    "check_domain_rejects": """
+        SELECT o_orderkey AS id, substr(o_orderpriority, 1, 2) AS code,
+               'code is no int' AS reason
+        FROM orders WHERE o_orderkey % 2 = 1""",
+    "activate_managers_results": """
+        SELECT CAST(change_id AS BIGINT) AS change_id, true AS accepted,
+               CAST(NULL AS VARCHAR) AS reason
+        FROM batch_old_managers""",
+    "unassign_managers_results": """
+        SELECT CAST(change_id AS BIGINT) AS change_id, true AS accepted,
+               CAST(NULL AS VARCHAR) AS reason
+        FROM batch_unassignments""",
+}
+BODIES["read_raw"] = BODIES["clean_sold"]
 BODIES["view_states"] = BODIES["states"]
 BODIES["view_groundhog"] = BODIES["groundhog"]
 BODIES["view_revenue_by_population"] = BODIES["revenue_by_population"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import parse_form_date, population_band
+from ..functions import date_from_parts, parse_form_date, population_band
 from ..schema import TABLES
 from .constraints import (
     REASON,
@@ -91,7 +91,11 @@ def _insert(
 
 
 def add_holidays(holiday: DataFrame, cdate: DataFrame, changes: DataFrame) -> Change:
-    """``changes``: change_id, CalendarDate (a date, or month/day/year text), HolidayName."""
+    """``changes``: change_id, HolidayName, and CalendarDate (a date, or month/day/year
+    text) or the whole numbers year, month and day."""
+    if "CalendarDate" not in changes.columns:
+        parts = date_from_parts(F.col("year"), F.col("month"), F.col("day"))
+        changes = changes.withColumn("CalendarDate", parts)
     if isinstance(changes.schema["CalendarDate"].dataType, T.StringType):
         changes = changes.withColumn("CalendarDate", parse_form_date(F.col("CalendarDate")))
     unreadable = {"no such date": F.col("CalendarDate").isNull()}

@@ -98,14 +98,30 @@ def check_primary_key(
     return accepted.select(*df.columns), rejected.withColumn(REASON, duplicate)
 
 
+def _no_parent(keys: Sequence[str]) -> str:
+    return f"no parent for ({', '.join(keys)})"
+
+
 def check_foreign_key(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> Split:
-    known = parent.select(*keys)
-    accepted = child.join(known, list(keys), "left_semi")
-    rejected = child.join(known, list(keys), "left_anti")
-    reason = f"no parent for ({', '.join(keys)})"
-    return accepted.select(*child.columns), rejected.select(*child.columns).withColumn(
-        REASON, F.lit(reason)
-    )
+    return check_foreign_keys(child, [(parent, keys)])
+
+
+def check_foreign_keys(
+    child: DataFrame, parents: Sequence[tuple[DataFrame, Sequence[str]]]
+) -> Split:
+    """Rows whose keys all exist, and the others with the first key that does not.
+
+    Parents hold each key once. The rejects are one pass over the child, whatever
+    the number of keys.
+    """
+    accepted, judged, failures = child, child, {}
+    for number, (parent, keys) in enumerate(parents):
+        known, flag = parent.select(*keys), f"_parent{number}"
+        accepted = accepted.join(known, list(keys), "left_semi")
+        judged = judged.join(known.withColumn(flag, F.lit(True)), list(keys), "left")
+        failures[_no_parent(keys)] = F.col(flag).isNull()
+    _, rejected = split_rows(judged, failures)
+    return accepted.select(*child.columns), rejected.select(*child.columns, REASON)
 
 
 def delete_cascade(

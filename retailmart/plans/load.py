@@ -13,7 +13,7 @@ from ..operators.cleaning import coerce_types
 from ..operators.constraints import (
     REASON,
     check_failures,
-    check_foreign_key,
+    check_foreign_keys,
     check_primary_key,
     domain_failures,
     length_failures,
@@ -62,8 +62,9 @@ def check_table(
             rows, bad = check_primary_key(rows, spec.primary_key, lines)
             rejects.append(_text(bad, spec.columns))
     rows = coerce_types(rows, spec.schema)
-    for key in spec.foreign_keys:
-        rows, bad = check_foreign_key(rows, parents[key.parent], key.columns)
+    if spec.foreign_keys:
+        known = [(parents[key.parent], key.columns) for key in spec.foreign_keys]
+        rows, bad = check_foreign_keys(rows, known)
         rejects.append(_text(bad, spec.columns))
     return rows, union_all(rejects)
 

@@ -70,6 +70,17 @@ def test_add_holidays_takes_dates(spark):
     assert rows(after) == [(DAY, "h")]
 
 
+def test_add_holidays_takes_date_parts(spark):
+    cdate = table(spark, "Cdate", [(DAY,)])
+    batch = spark.createDataFrame(
+        [(1, 1998, 7, 4, "h"), (2, 1998, 2, 30, "never")],
+        "change_id long, year int, month int, day int, HolidayName string",
+    )
+    after, results = e.add_holidays(table(spark, "Holiday", []), cdate, batch)
+    assert rows(after) == [(DAY, "h")]
+    assert reasons(results) == {1: None, 2: "no such date"}
+
+
 def test_add_managers(spark, managers):
     batch = spark.createDataFrame(
         [(3, "c@x", "late", 1), (1, "c@x", "bad", 2), (2, "c@x", "first", 0), (4, "a@x", "again", 1)],
