@@ -19,6 +19,7 @@ from ..schema import TABLES
 from .constraints import (
     REASON,
     check_failures,
+    first_reason,
     length_failures,
     null_failures,
 )
@@ -36,13 +37,6 @@ def _accept_all(changes: DataFrame) -> DataFrame:
     return _results(changes.withColumn(REASON, F.lit(None).cast("string")))
 
 
-def _first_reason(failures: Mapping[str, Column]) -> Column:
-    return F.coalesce(
-        F.lit(None).cast("string"),
-        *(F.when(failed, reason) for reason, failed in failures.items()),
-    )
-
-
 def _mark(changes: DataFrame, table: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """Flag the changes whose key is in ``table``, which holds each key once."""
     hits = table.select(*keys, F.lit(True).alias(flag))
@@ -76,7 +70,7 @@ def _insert(
     for key in spec.foreign_keys:
         known = _mark(known, (parents or {})[key.parent], key.columns, f"_{key.parent}")
         broken[f"no such {key.parent}"] = F.col(f"_{key.parent}").isNull()
-    judged = known.withColumn(REASON, _first_reason(broken))
+    judged = known.withColumn(REASON, first_reason(broken))
     winners = (
         judged.filter(F.col(REASON).isNull())
         .groupBy(*spec.primary_key)
@@ -158,7 +152,7 @@ def update_population(city: DataFrame, changes: DataFrame) -> Change:
     wanted = changes.select(ID, *keys, F.col("population").try_cast("int").alias("population"))
     judged = _mark(wanted, city, keys, "_known").withColumn(
         REASON,
-        _first_reason(
+        first_reason(
             {
                 "population is no int": F.col("population").isNull(),
                 "check population_nonnegative": F.col("_known") & (F.col("population") < 0),

@@ -79,15 +79,15 @@ def valid_sale_price(
 
     A price of an unknown product is left in; the foreign key rejects it at load.
     """
-    limits = product.join(manufacturer, "ManufacturerName", "left").select(
-        "PID", "retail_price", "max_discount"
-    )
+    limits = onsale.join(
+        product.select("PID", "retail_price", "ManufacturerName"), "PID", "left"
+    ).join(manufacturer, "ManufacturerName", "left")
     sale, retail = F.col("SalePrice"), F.col("retail_price")
     discount = F.try_divide(retail - sale, retail)
     too_deep = F.coalesce(discount > F.col("max_discount"), F.lit(False))
     free_item = (retail == 0) & (sale < 0)  # a discount without bound
     invalid = F.coalesce((sale > retail) | too_deep | free_item, F.lit(False))
-    return onsale.join(limits, "PID", "left").filter(~invalid).select(*onsale.columns)
+    return limits.filter(~invalid).select(*onsale.columns)
 
 
 def coerce_types(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -38,18 +38,29 @@ def check_failures(checks: Mapping[str, str]) -> dict[str, Column]:
 def domain_failures(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
     failures = {}
     for target in schema:
-        column = F.col(target.name)
-        unfit = column.isNotNull() & column.try_cast(target.dataType).isNull()
-        if isinstance(df.schema[target.name].dataType, (T.DoubleType, T.FloatType)):
-            unfit = unfit | F.isnan(column)
-        failures[f"{target.name} is no {target.dataType.simpleString()}"] = unfit
+        column, source = F.col(target.name), df.schema[target.name].dataType
+        if isinstance(source, (T.DoubleType, T.FloatType)):
+            unfit = F.isnan(column) | column.try_cast(target.dataType).isNull()
+        elif source != target.dataType:
+            unfit = column.try_cast(target.dataType).isNull()
+        else:
+            continue
+        reason = f"{target.name} is no {target.dataType.simpleString()}"
+        failures[reason] = column.isNotNull() & unfit
     return failures
 
 
+def first_reason(failures: Failures) -> Column:
+    """The first reason whose condition holds, or null."""
+    return F.coalesce(
+        F.lit(None).cast("string"),
+        *(F.when(failed, reason) for reason, failed in failures.items()),
+    )
+
+
 def split_rows(df: DataFrame, failures: Failures) -> Split:
     """Split on row-local conditions; the first failing one is the reason."""
-    reason = F.coalesce(*(F.when(failed, reason) for reason, failed in failures.items()))
-    marked = df.withColumn(REASON, reason)
+    marked = df.withColumn(REASON, first_reason(failures))
     accepted = marked.filter(F.col(REASON).isNull()).drop(REASON)
     return accepted, marked.filter(F.col(REASON).isNotNull())
 

@@ -1,4 +1,9 @@
-"""Report and lookup queries over the stored tables. Each returns a lazy DataFrame."""
+"""Report and lookup queries over the stored tables. Each returns a lazy DataFrame.
+
+Single sales join stored tables one by one, never a join of two: Spark knows the size
+of a stored table and broadcasts a small one, but takes a join for the product of
+its sides, and would shuffle the sales to meet it.
+"""
 
 from __future__ import annotations
 
@@ -218,10 +223,11 @@ def store_revenue_by_year(
     places = city.select("CityState", "CityName", "State")
     if state is not None:
         places = places.filter(F.col("State") == state)
-    stores = store.join(places, "CityState")
     if state is not None:
-        sold = sold.join(stores.select("StoreNumber"), "StoreNumber", "left_semi")
-    located = _store_years(sold, onsale, product).join(stores, "StoreNumber")
+        local = store.join(places, "CityState", "left_semi").select("StoreNumber")
+        sold = sold.join(local, "StoreNumber", "left_semi")
+    years = _store_years(sold, onsale, product)
+    located = years.join(store, "StoreNumber").join(places, "CityState")
     revenue = money(F.col("_units")).alias("TotalRevenue")
     columns = ["StoreNumber", "street_address", "CityName", "Year", revenue]
     if state is None:
@@ -299,10 +305,10 @@ def top_state_per_category(
     Without a year or month every year and month in the sales is ranked.
     """
     periods = _periods(year, month)
-    located = store.join(city, "CityState", "left").select("StoreNumber", "State")
     units = (
         _category_sales(sold, belongto, year, month)
-        .join(located, "StoreNumber", "left")
+        .join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
+        .join(city.select("CityState", "State"), "CityState", "left")
         .groupBy("CategoryName", "State", *periods)
         .agg(F.sum("quantity").alias("Quantity"))
     )
@@ -410,15 +416,15 @@ def revenue_by_population(
 ) -> DataFrame:
     """Mean yearly revenue of the cities in each population band.
 
-    The mean is over cities with sales in the year.
+    The mean is over cities with sales in the year; stores of no known city count as
+    one city without a band.
     """
-    located = store.join(city, "CityState", "left").select(
-        "StoreNumber", F.col("CityState"), "city_size"
-    )
+    bands = city.select("CityState", F.col("CityState").alias("_city"), "city_size")
     cities = (
         _store_years(sold, onsale, product)
-        .join(located, "StoreNumber", "left")
-        .groupBy("Year", "CityState", "city_size")
+        .join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
+        .join(bands, "CityState", "left")
+        .groupBy("Year", "_city", "city_size")
         .agg(F.sum("_units").alias("_units"))
     )
     return (

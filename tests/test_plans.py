@@ -24,9 +24,9 @@ def scans(text: str, name: str) -> int:
 
 
 @contextlib.contextmanager
-def without_broadcast(spark):
+def broadcast_below(spark, size):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     try:
         yield
     finally:
@@ -68,7 +68,7 @@ def test_bundle_reuses_its_sales_aggregate(spark):
 @pytest.mark.parametrize("name", ["store_revenue_by_year", "revenue_by_population", "priced_sales"])
 def test_pricing_joins_in_place(spark, name):
     """Even without broadcasts, Sold and OnSale meet without a shuffle of either."""
-    with without_broadcast(spark):
+    with broadcast_below(spark, "-1"):
         text = plan(QUERIES[name](spark, SF_DIR))
     join = text[text.index("SortMergeJoin [PID") :]
     join = join[re.search(r"SortMergeJoin \[PID#\d+L, CalendarDate#\d+\]", join).start() :]
@@ -77,6 +77,30 @@ def test_pricing_joins_in_place(spark, name):
     assert "Exchange" not in first_scans
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "store_revenue_by_year",
+        "store_revenue_by_year_asia",
+        "top_state_per_category",
+        "top_state_all_months",
+        "revenue_by_population",
+    ],
+)
+def test_each_small_table_is_broadcast_by_its_own_size(spark, name):
+    """Store times City is estimated far above this bound, each alone below it."""
+    with broadcast_below(spark, "200KB"):
+        text = plan(QUERIES[name](spark, SF_DIR))
+    assert "SortMergeJoin" not in text
+
+
+def test_category_filter_meets_sums_when_it_cannot_be_broadcast(spark):
+    with broadcast_below(spark, "-1"):
+        text = plan(QUERIES["groundhog"](spark, SF_DIR))
+    after_scan = text[: text.index(".sold[")].rsplit("Exchange", 1)[1]
+    assert "HashAggregate(keys=[PID" in after_scan
+
+
 @pytest.mark.parametrize("name", ["top_state_per_category", "top_state_drilldown"])
 def test_month_reaches_the_scan_as_a_range(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))

@@ -202,6 +202,13 @@ def test_mean_is_over_cities_that_sold(t, spark):
     assert listed(r.revenue_by_population(sold, *args)) == [(2001, "Small", 7.5)]
 
 
+def test_stores_of_unknown_cities_are_one_city(t, spark):
+    sold = table(spark, "Sold", [(3, 3, D1, 2), (9, 3, D1, 1)])
+    store = t["Store"].union(table(spark, "Store", [(9, "p", "a9", "lost")]))
+    args = t["OnSale"], t["Product"], store, t["City"]
+    assert listed(r.revenue_by_population(sold, *args)) == [(2001, None, 15.0)]
+
+
 def test_managers_without_store(t):
     found = sorted(listed(r.managers(t["Manager"], t["AssignedTo"])), key=repr)
     assert ("free@x", "Free", 1, None) in found
