@@ -37,7 +37,6 @@ from retailmart.operators.revenue import priced_sales
 from retailmart.plans import reports
 from retailmart.plans.build import prepare_tables
 from retailmart.plans.load import load_tables
-from retailmart.plans.views import create_views
 from retailmart.plans.warehouse import Warehouse, shared_folder
 from retailmart.schema import LOAD_ORDER, RAW_SCHEMAS
 from retailmart.sources.files import read_clean, read_raw, write_clean
@@ -120,7 +119,7 @@ def _pivot(*tables: DataFrame) -> DataFrame:
 
 def _view(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        create_views(warehouse(spark, sf_dir), CATEGORY)
+        warehouse(spark, sf_dir).create_views(CATEGORY)
         return _common_types(spark.table(name))
 
     return query

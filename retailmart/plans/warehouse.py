@@ -19,6 +19,8 @@ from ..sources.catalog import (
 )
 from .build import prepare_tables
 from .load import check_table
+from .reports import GROUNDHOG_CATEGORY
+from .views import create_views
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="retailmart-")
@@ -59,6 +61,7 @@ class Warehouse(Mapping[str, DataFrame]):
         # load fails the foreign key of its prices anyway.
         self._clean = prepare_tables(raw, order, prices=self)
         self._loaded: set[str] = set()
+        self._view_category: str | None = None
         create_tables(
             spark, name, self.location, buckets or bucket_count(spark, raw["sales"])
         )
@@ -88,6 +91,13 @@ class Warehouse(Mapping[str, DataFrame]):
         """Store a new version of a table, as a change operator returned it."""
         self[name]
         replace_table(self.spark, self.database, self.location, name, rows)
+        if self._view_category is not None:  # views show the edit at their next read
+            create_views(self, self._view_category)
+
+    def create_views(self, category: str = GROUNDHOG_CATEGORY) -> None:
+        """Register the three views over the stored tables."""
+        create_views(self, category)
+        self._view_category = category
 
     def _load(self, name: str) -> None:
         spec = TABLES[name]

@@ -162,6 +162,16 @@ def test_edit_is_stored_in_a_fresh_folder(spark, raw):
     assert spark.read.parquet(*old_files).count() == 1  # the earlier version stays
 
 
+def test_views_show_an_edit_at_the_next_read(spark, raw):
+    stored = Warehouse(spark, raw)
+    stored.create_views("K")
+    assert rows(spark.table("Report7_Before_Pivot")) == [(2001, "Medium", 20.0)]
+    stored.replace("City", stored["City"].withColumn("city_size", F.lit("Small")))
+    assert rows(spark.table("Report7_Before_Pivot")) == [(2001, "Small", 20.0)]
+    stored.replace("City", stored["City"].filter("State = 'none'"))
+    assert rows(spark.sql("SELECT * FROM States")) == []
+
+
 def test_bucketed_table_can_be_replaced(spark, raw):
     stored = Warehouse(spark, raw, buckets=2)
     stored.replace("Sold", stored["Sold"].withColumn("quantity", F.col("quantity") + 1))
