@@ -7,6 +7,8 @@ once per test folder (retailmart.plans.warehouse).
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 import uuid
@@ -432,7 +434,7 @@ _RANKED = ("Sold", "Store", "City", "BelongTo")
 _STAFFED = (*_RANKED, "AssignedTo", "Manager")
 
 
-def queries() -> dict[str, Query]:
+def own_queries() -> dict[str, Query]:
     return {
         **{f"clean_{name.lower()}": _clean_table(name) for name in LOAD_ORDER},
         **{f"load_{name.lower()}": _load_table(name) for name in LOAD_ORDER},
@@ -565,8 +567,29 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _llm_modules() -> list:
+    """The modules of the llm subpackage that hold queries; none where it is not there."""
+    if importlib.util.find_spec("retailmart.llm") is None:
+        return []
+    return [importlib.import_module("retailmart.llm.queries")] + [
+        importlib.import_module(name)
+        for name in ("corpus_pipeline",)
+        if importlib.util.find_spec(name) is not None
+    ]
+
+
+def queries() -> dict[str, Query]:
+    found = own_queries()
+    for module in _llm_modules():
+        found |= module.queries()
+    return found
+
+
 def oracle_sql() -> dict[str, str]:
-    return duckdb_oracle.oracle_sql()
+    found = duckdb_oracle.oracle_sql()
+    for module in _llm_modules():
+        found |= module.oracle_sql()
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
