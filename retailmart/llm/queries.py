@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailmart.llm import sharding
+from retailmart.llm import jaccard, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
+def _with_code(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,10 +54,17 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard.near_duplicates(docs, n=4, percent=85).drop("node")
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op1_minimax_shards": op1_minimax_shards,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
     }
+    return {name: _with_code(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
