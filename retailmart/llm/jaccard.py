@@ -8,12 +8,15 @@ incidence with bounds from the set sizes.
    hash): rare ones come first within a band, so a passage that many documents share falls
    outside the prefix of a document that is mostly its own. The incidence is dealt to blocks
    by hash; each block counts its n-grams' documents and passes on those of two or more.
-3. Of the nodes in one n-gram's list, each is compared with the list's most shared node, and
-   joined with it if linked. The product of the lists is then accumulated only between nodes
-   that are not yet in one component; pairs below the bound go, the rest are compared.
-
-Comparisons count all n-grams of both sets, so no link is missed or made up; links inside a
-component already joined need no comparison.
+3. Each node is compared with one of the most shared nodes of its lists, and joined with it
+   if linked. Lists whose nodes are then in one component are done.
+4. In the other lists, pairs of different components stay candidates if their sizes and the
+   places of the n-gram in both orders leave room for the overlap they need. Nodes reachable
+   by candidates form a family; the product of its incidence with itself is accumulated in
+   blocks of nodes over all n-grams, and pairs below the bound go.
+
+A list or block passes on no more rows than it has nodes: those that span its components.
+Comparisons count all n-grams of both sets, so no link is missed or made up.
 """
 
 from __future__ import annotations
@@ -125,7 +128,8 @@ def _shared(pieces: pa.Table) -> pa.Table:
 
 
 def _lists(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """(gram, node, n, slots): prefix n-grams held by two or more nodes; slots: how many of a node."""
+    """(gram, node, n, place, slots): prefix n-grams held by two or more nodes, with their place in
+    the node's order from 1, and how many a node has."""
     nodes = sets.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     held = nodes.agg(F.sum(F.element_at("bands", -1))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-held // GRAMS_A_BLOCK))
@@ -146,14 +150,116 @@ def _lists(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
         .join(nodes, "node")
         .withColumn("__shared", F.count(F.lit(1)).over(up_to_band))
         .withColumn("__place", F.row_number().over(in_order))
-        .where(F.col("__place") + alone <= need)
+        .withColumn("place", F.col("__place") + alone)
+        .where(F.col("place") <= need)
         .withColumn("slots", F.count(F.lit(1)).over(own))
-        .select("gram", "node", "n", "slots")
+        .select("gram", "node", "n", "place", "slots")
     )
 
 
-def _near_size(a, b, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _need(a, b, percent: int):
+    """The overlap that sets of sizes a and b need; columns or arrays of whole numbers."""
+    return ((a + b) * percent + 99 + percent) / (100 + percent)
+
+
+def _spans(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """For 0 to size - 1 the smallest number reachable by the links left - right."""
+    root = np.arange(size)
+    while len(left):
+        low = np.minimum(root[left], root[right])
+        before = root.copy()
+        np.minimum.at(root, root[left], low)
+        np.minimum.at(root, root[right], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def _candidates(rows: pa.Table, percent: int) -> pa.Table:
+    """(x, y) that span the candidate pairs of each list of one block."""
+    gram, node, n, place, root = (
+        rows.column(c).to_numpy() for c in ("gram", "node", "n", "place", "root")
+    )
+    order = np.argsort(gram, kind="stable")
+    gram, node, n, place, root = gram[order], node[order], n[order], place[order], root[order]
+    cuts = [*np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))).tolist(), len(gram)]
+    xs, ys = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        m, left, right = b - a, [], []
+        v, size, after, top = node[a:b], n[a:b], n[a:b] - place[a:b], root[a:b]
+        step = max(1, (1 << 20) // m)
+        for i in range(0, m, step):
+            j = slice(i, i + step)
+            need = ((size[j, None] + size) * percent + 99 + percent) // (100 + percent)
+            room = 1 + np.minimum(after[j, None], after)
+            own, other = np.nonzero((room >= need) & (top[j, None] != top))
+            keep = own + i < other
+            found = _spans(own[keep] + i, other[keep], m)
+            moved = np.flatnonzero(found != np.arange(m))
+            left.append(moved)
+            right.append(found[moved])
+        found = _spans(np.concatenate(left), np.concatenate(right), m)
+        moved = np.flatnonzero(found != np.arange(m))
+        xs.append(v[moved])
+        ys.append(v[found[moved]])
+    return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+
+def _incident(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    grams = [np.frombuffer(s, np.uint64) for s in sets]
+    size = np.array([len(g) for g in grams])
+    return np.concatenate(grams), np.repeat(np.arange(len(grams)), size), size
+
+
+def _block_product(rows: pa.Table, percent: int) -> pa.Table:
+    """(x, y) that span the links between two blocks of a family (or within one)."""
+    side = rows.column("side").to_numpy()
+    node = rows.column("node").to_numpy()
+    sets = rows.column("grams").to_pylist()
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(one) or not len(two):  # a block with itself, or with one that hashing left empty
+        one = two = one if len(one) else two
+    g, i, size = _incident([sets[k] for k in one])
+    h, j, other = _incident([sets[k] for k in two])
+    order = np.argsort(h, kind="stable")
+    h, j = h[order], j[order]
+    low, high = np.searchsorted(h, g), np.searchsorted(h, g, "right")
+    overlap = np.zeros(len(one) * len(two), np.int64)
+    ends = np.cumsum(high - low)
+    first = 0
+    while first < len(g):  # about four million products at a time
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 22))))
+        count = (high - low)[first:last]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pair = np.repeat(i[first:last] * len(two), count) + j[np.repeat(low[first:last], count) + inside]
+        overlap += np.bincount(pair, minlength=len(overlap))
+        first = last
+    overlap = overlap.reshape(len(one), len(two))
+    united = size[:, None] + other - overlap
+    a, b = np.nonzero(100 * overlap >= percent * united)
+    names = np.concatenate((node[one], node[two]))
+    found = _spans(a, b + len(one), len(names))
+    moved = np.flatnonzero(names != names[found])
+    return pa.table({"x": names[moved], "y": names[found[moved]]})
+
+
+def _family_links(families: DataFrame, full: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links within families (node, root), by the product of every two blocks of nodes."""
+    sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = families.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    pairs = dealt.select(
+        "root", "node", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("c")
+    )
+    pairs = pairs.select(
+        "root", "node", F.least("b", "c").alias("b"), F.greatest("b", "c").alias("c"),
+        (F.col("b") > F.col("c")).cast("int").alias("side"),
+    )
+    sets = full.select(F.col("node").alias("__node"), "grams")
+    rows = stored(pairs, "blocks").join(sets, F.col("node") == F.col("__node"))
+    return rows.groupBy("root", "b", "c").applyInArrow(
+        lambda t: _block_product(t, percent), "x bigint, y bigint"
+    )
 
 
 def _compare(batches, percent: int) -> Iterator[pa.RecordBatch]:
@@ -207,12 +313,15 @@ def _full_rows(batches, n: int) -> Iterator[pa.RecordBatch]:
 def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different nodes, enough to reach all that are reachable."""
     lists = stored(_lists(docs, sets, n, percent), "lists")
-    centre = F.max(F.struct("slots", "node", "n")).alias("c")
+    centre = F.max(F.struct("slots", "node", "n", "place")).alias("c")
     heads = lists.groupBy("gram").agg(centre, F.count(F.lit(1)).alias("size")).where("size > 1")
-    heads = stored(heads.select("gram", F.col("c.node").alias("y"), F.col("c.n").alias("y_n")), "heads")
-    shared = lists.join(heads, "gram")
-    near = _near_size(F.col("n"), F.col("y_n"), percent)
-    votes = shared.where((F.col("node") != F.col("y")) & near).groupBy(F.col("node").alias("x"), "y").count()
+    heads = heads.select(
+        "gram", F.col("c.node").alias("y"), F.col("c.n").alias("y_n"), F.col("c.place").alias("y_place")
+    )
+    shared = lists.join(stored(heads, "heads"), "gram")
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("y_n") - F.col("y_place"))
+    enough = room >= F.floor(_need(F.col("n"), F.col("y_n"), percent))
+    votes = shared.where((F.col("node") != F.col("y")) & enough).groupBy(F.col("node").alias("x"), "y").count()
     star = votes.groupBy("x").agg(F.max(F.struct("count", "y")).alias("best"))
     star = stored(star.select("x", F.col("best.y").alias("y")), "star")
 
@@ -226,26 +335,16 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     first = stored(_linked(star, full, percent), "links")
     joined = components(first, "x", "y").withColumnRenamed("node", "__n")
     placed = lists.join(joined, F.col("node") == F.col("__n"), "left").select(
-        "gram", "node", "n", F.coalesce("root", "node").alias("root")
+        "gram", "node", "n", "place", F.coalesce("root", "node").alias("root")
     )
     apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_lists = stored(placed.join(apart.select("gram"), "gram"), "open")
-    a = open_lists.select("gram", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    b = open_lists.select("gram", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
-    outside = lambda c: F.ceil(F.col(c) * percent / 100) - 1  # noqa: E731  n-grams after the prefix
-    most = F.col("common") + F.greatest(outside("x_n"), outside("y_n"))
-    product = (
-        a.join(b, "gram")
-        .where((F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root")))
-        .where(_near_size(F.col("x_n"), F.col("y_n"), percent))
-        .groupBy("x", "y", "x_n", "y_n")
-        .agg(F.count(F.lit(1)).alias("common"))
-        .where(most * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
-        .select("x", "y")
+    open_lists = placed.join(stored(apart.select("gram"), "apart"), "gram")
+    blocks = max(LEAST_BLOCKS, -(-lists.count() // GRAMS_A_BLOCK))
+    spans = open_lists.groupBy(F.pmod("gram", F.lit(blocks)).alias("block")).applyInArrow(
+        lambda t: _candidates(t, percent), "x bigint, y bigint"
     )
-    tested = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = stored(product.join(tested, ["x", "y"], "left_anti"), "rest")
-    return first.union(_linked(rest, full, percent))
+    families = components(stored(spans, "spans"), "x", "y")
+    return first.union(_family_links(families, full, percent))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:

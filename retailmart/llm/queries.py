@@ -11,10 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailmart.llm import jaccard, sharding
+from retailmart.llm import jaccard, language, mixing, pii, quality, sharding, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PSEUDONYM_KEY = b"rotate this key"  # a deployment gives its own
+MIX_BUDGET = 0.8  # of all tokens
+MIX_POWER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
+
 _SHIPPED: set[str] = set()
 
 
@@ -54,6 +58,58 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise_documents(docs, PSEUDONYM_KEY)
+
+
+def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label(table(spark, sf_dir, "documents"))
+    rows, _ = mixing.mix(labelled, MIX_BUDGET, MIX_POWER)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality.score(table(spark, sf_dir, "documents"))
+    n = F.col("n_words")
+    failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    kept = ~failed & (F.col("quality") >= 0.5)
+    return rows.select("doc_id", *base, failed.alias("base_failed"), kept.alias("kept"), "quality")
+
+
+def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return wordpiece.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def document_evidence(docs: DataFrame) -> DataFrame:
+    """A document declares its lang; its source is its host, without a domain above it."""
+    return docs.select(
+        "doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),
+        F.col("source").alias("host"), F.lit(None).cast("string").alias("parent"),
+    )
+
+
+def text_model(docs: DataFrame) -> language.TextModel:
+    return language.fit_text_model(docs.select(F.col("lang").alias("language"), "text", F.col("doc_id").alias("id")))
+
+
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages and all documents, as one corpus."""
+    docs = table(spark, sf_dir, "documents")
+    evidence = ["text", "declared", "suffix", "host", "parent"]
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    none = F.lit(None).cast("bigint")
+    ids = lambda d, p: F.struct(d.alias("doc_id"), p.alias("page_id")).alias("id")
+    rows = document_evidence(docs).select(ids(F.col("doc_id"), none), *evidence)
+    rows = rows.union(pages.select(ids(none, F.col("page_id")), *evidence))
+    found = language.identify(rows, text_model(docs))
+    return found.select("id.doc_id", "id.page_id", "language", "best_language", "posterior", "letters", "kept")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard.near_duplicates(docs, n=4, percent=85).drop("node")
@@ -62,6 +118,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = {
         "op1_minimax_shards": op1_minimax_shards,
+        "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
+        "op3_raked_mix": op3_raked_mix,
+        "op4_weak_supervision": op4_weak_supervision,
+        "op5_wordpiece_counts": op5_wordpiece_counts,
+        "op6_language_fusion": op6_language_fusion,
         "op9_ngram_jaccard": op9_ngram_jaccard,
     }
     return {name: _with_code(query) for name, query in found.items()}
