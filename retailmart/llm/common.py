@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +55,29 @@ def gapless(df: DataFrame, key: list[str], order: list[str], name: str, rows_a_c
         F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
     )
     inside = Window.partitionBy(*by_key, "__chunk").orderBy(*order)
-    ranked = dealt.withColumn("__rank", F.row_number().over(inside) - 1)
+    ranked = dealt.withColumn("__in_chunk", F.row_number().over(inside) - 1)
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
     return (
         ranked.join(starts, reduce(lambda a, b: a & b, same) & (F.col("__chunk") == F.col("__c")))
-        .withColumn(name, F.col("__rank") + F.col("__before"))
-        .drop("__chunk", "__rank", "__c", "__before", *[f"__k{i}" for i in range(len(key))])
+        .withColumn(name, F.col("__in_chunk") + F.col("__before"))
+        .drop("__chunk", "__in_chunk", "__c", "__before", *[f"__k{i}" for i in range(len(key))])
     )
 
 
+def spans_of(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """For 0 to size - 1 the smallest number reachable by the links left - right."""
+    root = np.arange(size)
+    while len(left):
+        low = np.minimum(root[left], root[right])
+        before = root.copy()
+        np.minimum.at(root, root[left], low)
+        np.minimum.at(root, root[right], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node reachable.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailmart.llm.common import components, stored
+from retailmart.llm.common import components, spans_of, stored
 from retailmart.llm.words import shingle_sets
 
 LEAST_BLOCKS = 512
@@ -162,20 +162,6 @@ def _need(a, b, percent: int):
     return ((a + b) * percent + 99 + percent) / (100 + percent)
 
 
-def _spans(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """For 0 to size - 1 the smallest number reachable by the links left - right."""
-    root = np.arange(size)
-    while len(left):
-        low = np.minimum(root[left], root[right])
-        before = root.copy()
-        np.minimum.at(root, root[left], low)
-        np.minimum.at(root, root[right], low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _candidates(rows: pa.Table, percent: int) -> pa.Table:
     """(x, y) that span the candidate pairs of each list of one block."""
     gram, node, n, place, root = (
@@ -195,11 +181,11 @@ def _candidates(rows: pa.Table, percent: int) -> pa.Table:
             room = 1 + np.minimum(after[j, None], after)
             own, other = np.nonzero((room >= need) & (top[j, None] != top))
             keep = own + i < other
-            found = _spans(own[keep] + i, other[keep], m)
+            found = spans_of(own[keep] + i, other[keep], m)
             moved = np.flatnonzero(found != np.arange(m))
             left.append(moved)
             right.append(found[moved])
-        found = _spans(np.concatenate(left), np.concatenate(right), m)
+        found = spans_of(np.concatenate(left), np.concatenate(right), m)
         moved = np.flatnonzero(found != np.arange(m))
         xs.append(v[moved])
         ys.append(v[found[moved]])
@@ -239,7 +225,7 @@ def _block_product(rows: pa.Table, percent: int) -> pa.Table:
     united = size[:, None] + other - overlap
     a, b = np.nonzero(100 * overlap >= percent * united)
     names = np.concatenate((node[one], node[two]))
-    found = _spans(a, b + len(one), len(names))
+    found = spans_of(a, b + len(one), len(names))
     moved = np.flatnonzero(names != names[found])
     return pa.table({"x": names[moved], "y": names[found[moved]]})
 
