@@ -188,8 +188,8 @@ CTES: dict[str, str] = {
     # --------------------------------------------------- shared by several reports
     "joined_prices": """
         SELECT s.*, p.retail_price, o.SalePrice,
-               s.quantity * CAST(CASE WHEN o.SalePrice IS NULL THEN p.retail_price
-                                      ELSE o.SalePrice END AS DECIMAL(18, 4)) AS amount
+               CAST(s.quantity * CASE WHEN o.SalePrice IS NULL THEN p.retail_price
+                                      ELSE o.SalePrice END AS DECIMAL(28, 10)) AS amount
         FROM loaded_sold AS s
         LEFT JOIN loaded_product AS p USING (PID)
         LEFT JOIN loaded_onsale AS o USING (PID, CalendarDate)""",
@@ -384,7 +384,7 @@ BODIES: dict[str, str] = {
     "simple_count": "SELECT count(*) AS count FROM loaded_sold",
     "manufacturer_product": """
         SELECT m.ManufacturerName, m.max_discount, count(p.PID) AS TotalProduct,
-               CAST(sum(CAST(p.retail_price AS DECIMAL(18, 4))) AS DOUBLE)
+               CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DOUBLE)
                    / count(p.retail_price) AS ave_retail_price,
                min(p.retail_price) AS min_retail_price, max(p.retail_price) AS max_retail_price
         FROM loaded_manufacturer AS m LEFT JOIN loaded_product AS p USING (ManufacturerName)
@@ -397,7 +397,7 @@ BODIES: dict[str, str] = {
     "category_report": """
         SELECT c.CategoryName, count(b.PID) AS TotalProduct,
                count(DISTINCT m.ManufacturerName) AS TotalManufacturer,
-               CAST(sum(CAST(p.retail_price AS DECIMAL(18, 4))) AS DOUBLE)
+               CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DOUBLE)
                    / count(p.retail_price) AS AvePrice
         FROM loaded_category AS c
         LEFT JOIN loaded_belongto AS b USING (CategoryName)
@@ -424,8 +424,8 @@ BODIES: dict[str, str] = {
                    CAST(sum(amount) AS DOUBLE) AS ActualRevenue,
                    CAST(sum(predicted) AS DOUBLE) AS PredictedRevenue,
                    CAST(sum(amount - predicted) AS DOUBLE) AS Difference
-            FROM (SELECT *, CAST(retail_price AS DECIMAL(14, 4)) * quantity
-                            * CASE WHEN SalePrice IS NULL THEN 1.00 ELSE 0.75 END AS predicted
+            FROM (SELECT *, CAST(retail_price * quantity
+                            * CASE WHEN SalePrice IS NULL THEN 1.00 ELSE 0.75 END AS DECIMAL(28, 10)) AS predicted
                   FROM joined_prices)
             JOIN (SELECT PID, product_name FROM loaded_product) USING (PID)
             WHERE PID IN (SELECT PID FROM loaded_belongto WHERE CategoryName = 'ECONOMY')

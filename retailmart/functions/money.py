@@ -1,39 +1,30 @@
 """Exact sums of money.
 
-Prices are doubles, and a parallel sum of doubles changes with the order in which
-tasks finish. Reports therefore sum whole ten-thousandths as integers: the result
-is the same on every run and cluster, and cheaper than decimals or doubles.
+Prices are doubles, and a parallel sum of doubles changes with the order in which tasks
+finish. Reports therefore multiply in double and sum the amounts as decimals of ten places:
+the result is the same on every run and cluster, and no price of a file is rounded before it
+is multiplied.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY_DIGITS = 4
-UNITS = 10**MONEY_DIGITS
-
-_LOW_BITS = 20
+MONEY_DIGITS = 10
+AMOUNT = f"decimal(28,{MONEY_DIGITS})"
 
 
-def money_units(price: Column) -> Column:
-    """A price in whole ten-thousandths."""
-    return F.rint(price * UNITS).cast("bigint")
+def money_units(amount: Column) -> Column:
+    """An amount as a decimal; one that has none, such as an infinite one, is null."""
+    return amount.try_cast(AMOUNT)
 
 
 def money_sum(units: Column) -> Column:
-    """Exact sum of integer units as a decimal.
-
-    High and low bits are summed apart, so neither sum can leave 64 bits, however
-    many rows one group holds.
-    """
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(31,0)")
-    low = F.sum(units.bitwiseAND(F.lit(2**_LOW_BITS - 1).cast("bigint")))
-    return (high * F.lit(Decimal(2**_LOW_BITS)) + low).cast("decimal(38,0)")
+    """Exact sum of amounts."""
+    return F.sum(units)
 
 
 def money(units: Column) -> Column:
-    """Units as an amount in double."""
-    return (units / F.lit(Decimal(UNITS))).cast("double")
+    """A sum of amounts in double."""
+    return units.cast("double")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,14 +95,16 @@ def check_primary_key(
     """First row of each key wins, unless ``existing`` already holds the key.
 
     ``order`` must be total within a key. The losers come from a join to the
-    winners' lines, so no task has to rank a whole hot key.
+    winners on key and line together, which no two rows share, so no task has to hold a
+    whole hot key.
     """
     keys = list(keys)
     duplicate = F.lit(f"duplicate key ({', '.join(keys)})")
-    line = F.struct(*order)
-    firsts = df.groupBy(*keys).agg(F.min(line).alias("_first"))
-    later = df.withColumn("_line", line).join(firsts, keys).filter("_line > _first")
-    accepted, rejected = keep_first(df, keys, order), later.select(*df.columns)
+    accepted = keep_first(df, keys, order)
+    lines = [*keys, *(c for c in order if c not in keys)]
+    won = accepted.select(*(F.col(c).alias(f"_won_{c}") for c in lines))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_won_{c}")) for c in lines))
+    rejected = df.join(won, same, "left_anti")
     if existing is not None:
         taken = existing.select(*keys)
         rejected = rejected.unionByName(accepted.join(taken, keys, "left_semi"))
@@ -144,7 +147,7 @@ def delete_cascade(
     because a child that restricts deletion still refers to them.
     """
     spec = TABLES[parent]
-    doomed = keys.select(*spec.primary_key).distinct()
+    doomed = keys.select(*spec.primary_key)
     refused = doomed.limit(0).withColumn(REASON, F.lit(""))
     for child, key in children_of(parent):
         if key.on_delete == "restrict":
@@ -156,7 +159,7 @@ def delete_cascade(
             doomed = doomed.join(held, list(key.columns), "left_anti")
     result = dict(tables)
     _delete(result, parent, doomed)
-    return result, refused
+    return result, refused.distinct()
 
 
 def _delete(tables: dict[str, DataFrame], name: str, doomed: DataFrame) -> None:
@@ -179,10 +182,10 @@ def update_key_cascade(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Rename keys of a one-column primary key, in the parent and every child.
 
-    ``old_new`` has the columns ``old`` and ``new``, one row per old key. Returns
+    ``old_new`` has the columns ``old`` and ``new``; equal rows count once. Returns
     the tables with new versions of those touched, and the renames refused: a new
     key that is null, too long, taken in the parent, or asked for more than once
-    (the smallest old key gets it).
+    (the smallest old key gets it), and all but the smallest new key of an old one.
     """
     spec = TABLES[parent]
     (key,) = spec.primary_key
@@ -195,8 +198,9 @@ def update_key_cascade(
         "key already exists": F.col("_taken") & (F.col("old") != F.col("new")),
     }
     free, refused = split_rows(present.join(taken, "new", "left"), failures)
-    granted, late = check_primary_key(free.select("old", "new"), ["new"], ["old"])
-    refused = refused.select("old", "new", REASON).unionByName(late)
+    wanted, again = check_primary_key(free.select("old", "new").distinct(), ["old"], ["new"])
+    granted, late = check_primary_key(wanted, ["new"], ["old"])
+    refused = refused.select("old", "new", REASON).unionByName(again).unionByName(late)
     result = dict(tables)
     result[parent] = _rename(table, key, granted)
     for child, foreign in children_of(parent):

@@ -26,10 +26,9 @@ def match_sale_price(sold: DataFrame, onsale: DataFrame) -> DataFrame:
 
 
 def revenue_units() -> Column:
-    """Revenue of a priced sale in exact money units, for sums."""
-    return money_units(F.col("retail_price")) * F.col("RetailQuantity") + money_units(
-        F.col("SalePrice")
-    ) * F.col("SaleQuantity")
+    """Revenue of a priced sale as a decimal, for sums."""
+    full = F.coalesce(F.col("retail_price") * F.col("RetailQuantity"), F.lit(0.0))
+    return money_units(full + F.col("SalePrice") * F.col("SaleQuantity"))
 
 
 def priced_sales(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:

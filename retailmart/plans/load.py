@@ -28,12 +28,20 @@ def _text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(name).cast("string").alias(name) for name in columns), REASON)
 
 
+def _fold(rows: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
+    """Each row once, and its repeats as rejects of the primary key."""
+    counted = rows.groupBy(*spec.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    reason = F.lit(f"duplicate key ({', '.join(spec.primary_key)})")
+    repeats = counted.filter("_rows > 1").withColumn("_rows", F.explode(F.sequence(F.lit(2), F.col("_rows").cast("int"))))
+    return counted.select(*spec.columns), repeats.select(*spec.columns, reason.alias(REASON))
+
+
 def check_table(
     spec: TableSpec,
     table: DataFrame,
     parents: Mapping[str, DataFrame],
     order: Sequence[str] = (),
-    cleaned: bool = True,
+    cleaned: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Apply every constraint of one table.
 
@@ -41,9 +49,10 @@ def check_table(
     with the first constraint they break. Type, null, length and CHECK conditions
     are one pass; then the primary key, then each foreign key.
 
-    ``cleaned`` tables are already unique on their cleaning key, so the primary
-    key is only checked where it is another one. ``order`` tells which of two rows
-    with the same key came first; without it the smaller row does.
+    ``order`` tells which of two rows with the same key came first; without it the
+    smaller row does, and of equal rows one. A caller that has just made a table unique
+    on its cleaning key says so with ``cleaned``; then the primary key is only checked
+    where it is another one.
     """
     failures = {
         **domain_failures(table, spec.schema),
@@ -55,8 +64,9 @@ def check_table(
     rejects = [_text(bad, spec.columns)]
     if not cleaned or set(spec.clean_key) != set(spec.primary_key):
         lines = list(order)
-        if not lines:  # equal rows count as one, the rest go by content
-            rows = rows.select(*spec.columns).distinct()
+        if not lines:  # of equal rows the first is the same as the others; the rest go by content
+            rows, equal = _fold(rows, spec)
+            rejects.append(_text(equal, spec.columns))
             lines = [c for c in spec.columns if c not in spec.primary_key]
         if lines:
             rows, bad = check_primary_key(rows, spec.primary_key, lines)
@@ -72,7 +82,7 @@ def check_table(
 def load_tables(
     clean: Mapping[str, DataFrame],
     order: Mapping[str, Sequence[str]] | None = None,
-    cleaned: bool = True,
+    cleaned: bool = False,
 ) -> tuple[Mapping[str, DataFrame], Mapping[str, DataFrame]]:
     """Check all tables, parents first: (accepted tables, rejected rows by table)."""
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import in_period, money, money_sum, money_units, year_month_label
 from ..functions.columns import BAND_NAMES
-from ..functions.money import MONEY_DIGITS
 from ..operators.constraints import union_all
 from ..operators.revenue import match_sale_price, priced_sales, revenue_units
 
@@ -36,10 +35,6 @@ def _month():
     return F.month("CalendarDate").alias("Month")
 
 
-def _rounded(amount):
-    return F.round(amount, MONEY_DIGITS)
-
-
 def _mean_price():
     return money(money_sum(money_units(F.col("retail_price")))) / F.count("retail_price")
 
@@ -159,9 +154,7 @@ def actual_vs_predicted(
         .agg(
             F.sum("RetailQuantity").alias("TotalUnitsSoldNoDiscount"),
             F.sum("SaleQuantity").alias("TotalUnitsSoldWithDiscount"),
-            money(
-                money_sum(money_units(F.col("SalePrice")) * F.col("SaleQuantity"))
-            ).alias("_discounted"),
+            money_sum(money_units(F.col("SalePrice") * F.col("SaleQuantity"))).alias("_discounted"),
         )
     )
     full, discounted = F.col("TotalUnitsSoldNoDiscount"), F.col("TotalUnitsSoldWithDiscount")
@@ -171,12 +164,16 @@ def actual_vs_predicted(
         .withColumns(
             {
                 "TotalUnitsSold": full + discounted,
-                "ActualRevenue": _rounded(retail * full + F.col("_discounted")),
-                "PredictedRevenue": _rounded(retail * (full + discounted * uplift)),
+                "_actual": money_units(retail * full) + F.col("_discounted"),
+                "_predicted": money_units(retail * (full + discounted * uplift)),
             }
         )
-        .withColumn(
-            "Difference", _rounded(F.col("ActualRevenue") - F.col("PredictedRevenue"))
+        .withColumns(
+            {
+                "ActualRevenue": money(F.col("_actual")),
+                "PredictedRevenue": money(F.col("_predicted")),
+                "Difference": money(F.col("_actual") - F.col("_predicted")),
+            }
         )
         .filter(F.abs("Difference") > threshold)
         .select(

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
-    bucket_count,
     create_tables,
     read_table,
     replace_table,
@@ -42,7 +41,9 @@ class Warehouse(Mapping[str, DataFrame]):
 
     Asking for a table cleans, checks and stores it once, after its parents; later
     uses read the stored files. So a report runs only the loads it needs, and the
-    work of a load is never repeated in a report.
+    work of a load is never repeated in a report. ``buckets`` is the number of buckets of
+    the large tables, by default ``spark.sql.shuffle.partitions``; at about one for each
+    128 MB of sales a bucket fits a task.
     """
 
     def __init__(
@@ -63,7 +64,7 @@ class Warehouse(Mapping[str, DataFrame]):
         self._loaded: set[str] = set()
         self._view_category: str | None = None
         create_tables(
-            spark, name, self.location, buckets or bucket_count(spark, raw["sales"])
+            spark, name, self.location, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         )
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -102,6 +103,6 @@ class Warehouse(Mapping[str, DataFrame]):
     def _load(self, name: str) -> None:
         spec = TABLES[name]
         parents = {key.parent: self[key.parent] for key in spec.foreign_keys}
-        rows, _ = check_table(spec, self._clean[name], parents)
+        rows, _ = check_table(spec, self._clean[name], parents, cleaned=True)
         write_table(self.spark, self.database, name, rows)
         self._loaded.add(name)

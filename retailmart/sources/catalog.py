@@ -9,20 +9,6 @@ from pyspark.sql import functions as F
 
 from ..schema import TABLES, TableSpec
 
-MAX_BUCKETS = 20_000
-
-
-def bucket_count(spark: SparkSession, facts: DataFrame) -> int:
-    """Buckets for the large tables: one per scan split of the raw sales.
-
-    Splits follow the input size (``spark.sql.files.maxPartitionBytes`` each), so
-    a bucket stays about that large at any scale, until the cap makes buckets
-    grow; at least one per core keeps a small run parallel.
-    """
-    splits = facts.rdd.getNumPartitions()
-    return min(max(splits, spark.sparkContext.defaultParallelism), MAX_BUCKETS)
-
-
 def table_ddl(spec: TableSpec, table: str, location: str, buckets: int) -> str:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()} NOT NULL" for f in spec.schema)
     ddl = f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import LOAD_ORDER, RAW_SCHEMAS, TABLES
@@ -30,11 +31,33 @@ def read_raw(spark: SparkSession, directory: str, fmt: str = "parquet") -> dict[
     ``row_id`` holds the line order. A field that does not parse reads as null.
     """
     return {
-        name: _read(spark, f"{directory}/{name}", fmt, schema)
+        name: _whole_numbers(_read_sheet(spark, f"{directory}/{name}", fmt, schema), schema)
         for name, schema in RAW_SCHEMAS.items()
     }
 
 
+def _read_sheet(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """A format with types of its own keeps them; in others whole numbers are read as text."""
+    if fmt not in OPTIONS:
+        return spark.read.format(fmt).load(path)
+    loose = [
+        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.IntegralType) else f.dataType)
+        for f in schema
+    ]
+    return _read(spark, path, fmt, T.StructType(loose))
+
+
+def _whole_numbers(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's types; a whole number may come as 5.0, and others are cut toward zero."""
+    values = []
+    for field in schema:
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.IntegralType) and isinstance(df.schema[field.name].dataType, T.StringType):
+            value = value.try_cast("decimal(38,10)")
+        values.append(value.try_cast(field.dataType).alias(field.name))
+    return df.select(*values)
+
+
 def write_clean(tables: Mapping[str, DataFrame], directory: str, fmt: str = "parquet") -> None:
     """Write each cleaned table to its own folder."""
     for name, table in tables.items():
