@@ -384,7 +384,7 @@ BODIES: dict[str, str] = {
     "simple_count": "SELECT count(*) AS count FROM loaded_sold",
     "manufacturer_product": """
         SELECT m.ManufacturerName, m.max_discount, count(p.PID) AS TotalProduct,
-               CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DOUBLE)
+               CAST(CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DECIMAL(28, 6)) AS DOUBLE)
                    / count(p.retail_price) AS ave_retail_price,
                min(p.retail_price) AS min_retail_price, max(p.retail_price) AS max_retail_price
         FROM loaded_manufacturer AS m LEFT JOIN loaded_product AS p USING (ManufacturerName)
@@ -397,7 +397,7 @@ BODIES: dict[str, str] = {
     "category_report": """
         SELECT c.CategoryName, count(b.PID) AS TotalProduct,
                count(DISTINCT m.ManufacturerName) AS TotalManufacturer,
-               CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DOUBLE)
+               CAST(CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DECIMAL(28, 6)) AS DOUBLE)
                    / count(p.retail_price) AS AvePrice
         FROM loaded_category AS c
         LEFT JOIN loaded_belongto AS b USING (CategoryName)
@@ -411,7 +411,7 @@ BODIES: dict[str, str] = {
                    AS RetailQuantity,
                CAST(CASE WHEN SalePrice IS NULL THEN 0 ELSE quantity END AS BIGINT)
                    AS SaleQuantity,
-               CAST(amount AS DOUBLE) AS Revenue
+               CAST(CAST(amount AS DECIMAL(28, 6)) AS DOUBLE) AS Revenue
         FROM joined_prices""",
     "actual_vs_predicted": """
         SELECT * FROM (
@@ -421,9 +421,9 @@ BODIES: dict[str, str] = {
                        AS TotalUnitsSoldNoDiscount,
                    CAST(coalesce(sum(quantity) FILTER (SalePrice IS NOT NULL), 0) AS BIGINT)
                        AS TotalUnitsSoldWithDiscount,
-                   CAST(sum(amount) AS DOUBLE) AS ActualRevenue,
-                   CAST(sum(predicted) AS DOUBLE) AS PredictedRevenue,
-                   CAST(sum(amount - predicted) AS DOUBLE) AS Difference
+                   CAST(CAST(sum(amount) AS DECIMAL(28, 6)) AS DOUBLE) AS ActualRevenue,
+                   CAST(CAST(sum(predicted) AS DECIMAL(28, 6)) AS DOUBLE) AS PredictedRevenue,
+                   CAST(CAST(sum(amount - predicted) AS DECIMAL(28, 6)) AS DOUBLE) AS Difference
             FROM (SELECT *, CAST(retail_price * quantity
                             * CASE WHEN SalePrice IS NULL THEN 1.00 ELSE 0.75 END AS DECIMAL(28, 10)) AS predicted
                   FROM joined_prices)
@@ -434,12 +434,12 @@ BODIES: dict[str, str] = {
     "states": "SELECT DISTINCT State FROM loaded_city",
     "store_revenue_by_year": """
         SELECT State, StoreNumber, street_address, CityName, year(CalendarDate) AS Year,
-               CAST(sum(amount) AS DOUBLE) AS TotalRevenue
+               CAST(CAST(sum(amount) AS DECIMAL(28, 6)) AS DOUBLE) AS TotalRevenue
         FROM joined_prices JOIN joined_stores USING (StoreNumber)
         GROUP BY ALL""",
     "store_revenue_by_year_asia": """
         SELECT StoreNumber, street_address, CityName, year(CalendarDate) AS Year,
-               CAST(sum(amount) AS DOUBLE) AS TotalRevenue
+               CAST(CAST(sum(amount) AS DECIMAL(28, 6)) AS DOUBLE) AS TotalRevenue
         FROM joined_prices JOIN joined_stores USING (StoreNumber)
         WHERE State = 'ASIA'
         GROUP BY ALL""",
