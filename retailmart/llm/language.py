@@ -23,7 +23,7 @@ from retailmart.llm.words import mix, text_buffers
 TABLE = 1 << 16
 SAMPLE_A_LANGUAGE = 2000  # labelled rows of each language that the text models are fitted to, about
 TEXT_TRUST = 0.25  # neighbouring n-grams overlap: each counts as a quarter of a free observation
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -98,11 +98,13 @@ def _text_scores(batches, model: TextModel) -> Iterator[pa.RecordBatch]:
         scores, letters = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, np.int64)
         for first, cuts, data in _pieces(batch.column(0)):
             at, counts = _grams(data)
-            odds = np.where(counts[:, None], model.log_odds[at], np.float32(0))
-            sums = np.concatenate((np.zeros((1, k)), np.cumsum(odds, axis=0, dtype=np.float64)))
+            before = np.concatenate(([0], np.cumsum(counts)))[cuts]  # n-grams that count, before each text
+            odds = model.log_odds[at[counts]]
+            sums = np.zeros((len(odds) + 1, k))
+            np.cumsum(odds, axis=0, out=sums[1:])
             rows = slice(first, first + len(cuts) - 1)
-            scores[rows] = np.diff(sums[cuts], axis=0)
-            letters[rows] = np.diff(np.concatenate(([0], np.cumsum(counts)))[cuts])
+            scores[rows] = np.diff(sums[before], axis=0)
+            letters[rows] = np.diff(before)
         values = pa.array(scores.reshape(-1), pa.float64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * k + 1, max(k, 1)) if k else np.zeros(batch.num_rows + 1), pa.int32()), values)
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists, pa.array(letters)], [*batch.schema.names[1:], "scores", "letters"])
