@@ -126,7 +126,7 @@ def _product(rows: pa.Table, least: float) -> pa.Table:
 
 
 def near_duplicate_vectors(
-    rows: DataFrame, least: float = 0.9, id: str = "vec_id", vector: str = "embedding", block: int = 1024
+    rows: DataFrame, least: float = 0.9, id: str = "vec_id", vector: str = "embedding", block: int = 4096
 ) -> DataFrame:
     """(id column, n_links, component_id, kept) for every row.
 
