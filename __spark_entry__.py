@@ -490,8 +490,7 @@ def own_queries() -> dict[str, Query]:
             reports.actual_vs_predicted,
             *_PRICED,
             "BelongTo",
-            category=CATEGORY,
-        ),
+            category=CATEGORY, digits={"ActualRevenue": 4, "PredictedRevenue": 4, "Difference": 4}),
         "states": _report(reports.states, "City"),
         "store_revenue_by_year": _report(
             reports.store_revenue_by_year, *_LOCATED
