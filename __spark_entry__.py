@@ -38,9 +38,9 @@ from retailmart.operators.constraints import (
 from retailmart.operators.revenue import priced_sales
 from retailmart.plans import reports
 from retailmart.plans.build import prepare_tables
-from retailmart.plans.load import load_tables
+from retailmart.plans.load import check_table
 from retailmart.plans.warehouse import Warehouse, shared_folder
-from retailmart.schema import LOAD_ORDER, RAW_SCHEMAS
+from retailmart.schema import LOAD_ORDER, RAW_SCHEMAS, TABLES
 from retailmart.sources.files import read_clean, read_raw, write_clean
 from retailmart.sources.testdata import LINE_ORDER, raw_from_testdata
 
@@ -81,15 +81,19 @@ def _clean_table(name: str) -> Query:
     return lambda spark, sf_dir: _common_types(_clean(spark, sf_dir)[name])
 
 
+def _checked(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """One cleaned table checked against its stored parents: (accepted, rejected)."""
+    return check_table(TABLES[name], _clean(spark, sf_dir)[name], warehouse(spark, sf_dir))
+
+
 def _load_table(name: str) -> Query:
-    return lambda spark, sf_dir: _common_types(load_tables(_clean(spark, sf_dir))[0][name])
+    return lambda spark, sf_dir: _common_types(_checked(spark, sf_dir, name)[0])
 
 
 def _rejected(child: str, parent: str, key: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        clean = _clean(spark, sf_dir)
-        loaded, _ = load_tables(clean)
-        _, rejects = check_foreign_key(clean[child], loaded[parent], [key])
+        parents = warehouse(spark, sf_dir)[parent]
+        _, rejects = check_foreign_key(_clean(spark, sf_dir)[child], parents, [key])
         return _common_types(rejects)
 
     return query
@@ -236,14 +240,13 @@ def _later_sales(sales: DataFrame) -> DataFrame:
 
 
 def _load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected rows of the load by table and reason."""
-    _, rejects = load_tables(_clean(spark, sf_dir))
+    """Rejected rows of the load of all tables, by table and reason."""
     return union_all(
         [
-            rejects[name]
+            _checked(spark, sf_dir, name)[1]
             .groupBy(F.lit(name).alias("name"), "reason")
             .agg(F.count("*").alias("count"))
-            for name in ("Store", "Holiday", "Sold", "AssignedTo")
+            for name in LOAD_ORDER
         ]
     )
 

@@ -592,6 +592,19 @@ BODIES |= {
         UNION ALL
         SELECT 'AssignedTo', 'no parent for (StoreNumber)', count(*)
         FROM clean_assignedto WHERE StoreNumber NOT IN (SELECT StoreNumber FROM loaded_store)
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'Product', 'no parent for (ManufacturerName)', count(*)
+        FROM clean_product
+        WHERE ManufacturerName NOT IN (SELECT ManufacturerName FROM loaded_manufacturer)
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'BelongTo', 'no parent for (PID)', count(*)
+        FROM clean_belongto WHERE PID NOT IN (SELECT PID FROM loaded_product)
+        HAVING count(*) > 0
+        UNION ALL
+        SELECT 'OnSale', 'no parent for (PID)', count(*)
+        FROM clean_onsale WHERE PID NOT IN (SELECT PID FROM loaded_product)
         HAVING count(*) > 0""",
     "drop_nulls": f"""
         SELECT {_PRODUCTS} FROM raw_products

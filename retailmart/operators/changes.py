@@ -102,13 +102,17 @@ def add_managers(manager: DataFrame, changes: DataFrame) -> Change:
 
 
 def remove_managers(manager: DataFrame, assigned: DataFrame, changes: DataFrame) -> Change:
-    """``changes``: change_id, Email. Refused while the manager has a store."""
-    staffed = assigned.select("Email").distinct()
-    judged = _mark(changes, staffed, ["Email"], "_held").withColumn(
-        REASON, F.when(F.col("_held"), "still assigned")
-    )
-    gone = judged.filter(F.col(REASON).isNull()).select("Email")
-    return manager.join(gone, "Email", "left_anti").select(*manager.columns), _results(judged)
+    """``changes``: change_id, Email. Refused while the manager has a store.
+
+    Changes meet the assignments as they are, so that adaptive execution can split an
+    Email that fills the batch.
+    """
+    staffed = assigned.select("Email")
+    held = changes.join(staffed, "Email", "left_semi").withColumn(REASON, F.lit("still assigned"))
+    free = changes.join(staffed, "Email", "left_anti")
+    judged = held.unionByName(free.withColumn(REASON, F.lit(None).cast("string")))
+    rest = manager.join(free.select("Email"), "Email", "left_anti")
+    return rest.select(*manager.columns), _results(judged)
 
 
 def _set_status(manager: DataFrame, changes: DataFrame, status: int) -> Change:

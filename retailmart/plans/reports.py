@@ -79,17 +79,25 @@ def manufacturer_product_detail(
 ) -> DataFrame:
     """Products of one maker, or of every maker, with their categories as one text.
 
-    A maker without products keeps one row of nulls.
+    A maker without products keeps one row of nulls. Products are on the left of an inner
+    join, which adaptive execution can split where one maker has most of them; makers
+    without any come from the distinct names in use.
     """
     makers = manufacturer.select("ManufacturerName")
     if name is not None:
         makers = makers.filter(F.col("ManufacturerName") == name)
-    products = makers.join(product, "ManufacturerName", "left")
-    categories = F.array_join(F.sort_array(F.collect_set("CategoryName")), ",")
+    products = product.select("ManufacturerName", "PID", "product_name", "retail_price")
+    products = products.join(makers, "ManufacturerName")
+    if name is not None:
+        belongto = belongto.join(products.select("PID"), "PID", "left_semi")
+    names = F.array_join(F.sort_array(F.collect_set("CategoryName")), ",")
+    categories = belongto.groupBy("PID").agg(F.nullif(names, F.lit("")).alias("CategoryName"))
+    in_use = product.select("ManufacturerName").distinct()
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in products.schema[1:]}
+    bare = makers.join(in_use, "ManufacturerName", "left_anti").withColumns(nothing)
     return (
-        products.join(belongto, "PID", "left")
-        .groupBy("ManufacturerName", "PID", "product_name", "retail_price")
-        .agg(F.nullif(categories, F.lit("")).alias("CategoryName"))
+        products.unionByName(bare)
+        .join(categories, "PID", "left")
         .select("ManufacturerName", "PID", "product_name", "CategoryName", "retail_price")
         .orderBy("ManufacturerName", F.desc("retail_price"), "PID")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
     create_tables,
+    is_loaded,
     read_table,
     replace_table,
     write_table,
@@ -44,6 +45,10 @@ class Warehouse(Mapping[str, DataFrame]):
     work of a load is never repeated in a report. ``buckets`` is the number of buckets of
     the large tables, by default ``spark.sql.shuffle.partitions``; at about one for each
     128 MB of sales a bucket fits a task.
+
+    ``database`` opens the warehouse of that name: tables that were loaded before are read
+    as they were left, edits included, and only what is absent is created. It lasts as
+    long as the session's catalog does; ``raw`` is read only for tables not loaded yet.
     """
 
     def __init__(
@@ -53,19 +58,20 @@ class Warehouse(Mapping[str, DataFrame]):
         order: Mapping[str, Sequence[str]] | None = None,
         location: str | None = None,
         buckets: int | None = None,
+        database: str | None = None,
     ) -> None:
-        name = f"retailmart_{uuid.uuid4().hex[:12]}"
+        name = database or f"retailmart_{uuid.uuid4().hex[:12]}"
         self.spark = spark
         self.database = name
         self.location = location or f"{shared_folder(spark)}/{name}"
         # Sale prices are checked against the stored products: one that did not
         # load fails the foreign key of its prices anyway.
         self._clean = prepare_tables(raw, order, prices=self)
-        self._loaded: set[str] = set()
         self._view_category: str | None = None
         create_tables(
             spark, name, self.location, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         )
+        self._loaded = {table for table in TABLES if database and is_loaded(spark, name, table)}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -100,9 +106,15 @@ class Warehouse(Mapping[str, DataFrame]):
         create_views(self, category)
         self._view_category = category
 
-    def _load(self, name: str) -> None:
+    def rejects(self, name: str) -> DataFrame:
+        """The cleaned rows that a load of the table leaves out, as text with the reason."""
+        return self._check(name)[1]
+
+    def _check(self, name: str) -> tuple[DataFrame, DataFrame]:
         spec = TABLES[name]
         parents = {key.parent: self[key.parent] for key in spec.foreign_keys}
-        rows, _ = check_table(spec, self._clean[name], parents, cleaned=True)
-        write_table(self.spark, self.database, name, rows)
+        return check_table(spec, self._clean[name], parents, cleaned=True)
+
+    def _load(self, name: str) -> None:
+        write_table(self.spark, self.database, name, self._check(name)[0])
         self._loaded.add(name)

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..schema import TABLES, TableSpec
 
+# Table property of a table that was written in full.
+LOADED = "retailmart.loaded"
+
+
 def table_ddl(spec: TableSpec, table: str, location: str, buckets: int) -> str:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()} NOT NULL" for f in spec.schema)
     ddl = f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet"
@@ -50,7 +54,15 @@ def read_table(spark: SparkSession, database: str, name: str) -> DataFrame:
 
 def write_table(spark: SparkSession, database: str, name: str, rows: DataFrame) -> None:
     """Fill a created table, replacing what it holds; safe to repeat after a failure."""
-    _insert(spark, _qualified(database, name), TABLES[name], rows)
+    table = _qualified(database, name)
+    _insert(spark, table, TABLES[name], rows)
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{LOADED}' = 'true')")
+
+
+def is_loaded(spark: SparkSession, database: str, name: str) -> bool:
+    """Whether the table was ever written in full; one that holds no row may be loaded too."""
+    shown = spark.sql(f"SHOW TBLPROPERTIES {_qualified(database, name)}")
+    return not shown.filter(F.col("key") == LOADED).isEmpty()
 
 
 def _insert(spark: SparkSession, table: str, spec: TableSpec, rows: DataFrame) -> None:

@@ -162,6 +162,21 @@ def test_edit_is_stored_in_a_fresh_folder(spark, raw):
     assert spark.read.parquet(*old_files).count() == 1  # the earlier version stays
 
 
+def test_warehouse_opens_again_by_name(spark, raw):
+    first = Warehouse(spark, raw, buckets=2)
+    first.replace("City", first["City"].withColumn("population", F.lit(1)))
+    assert rows(first["Sold"]) == LOADED["Sold"]
+    again = Warehouse(spark.newSession(), {}, database=first.database, location=first.location)
+    assert rows(again["City"]) == [("A, S", "A", "S", 1, "Medium")]  # the edit, and no raw data read
+    assert rows(again["Sold"]) == LOADED["Sold"]
+    assert "OnSale" not in again._loaded
+
+
+def test_warehouse_names_what_a_load_leaves_out(spark, raw):
+    found = {(r["CalendarDate"], r["reason"]) for r in Warehouse(spark, raw).rejects("Holiday").collect()}
+    assert found == {("2030-01-01", "no parent for (CalendarDate)")}
+
+
 def test_views_show_an_edit_at_the_next_read(spark, raw):
     stored = Warehouse(spark, raw)
     stored.create_views("K")
