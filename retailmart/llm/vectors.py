@@ -61,7 +61,7 @@ def _valid_rows(batches) -> Iterator[pa.RecordBatch]:
 def _visits(batches, centres: dict[int, np.ndarray], reach: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = batch.column(1).to_pylist()
-        home, cells = np.zeros(len(vectors), np.int64), [[]] * len(vectors)
+        home, cells, met = np.zeros(len(vectors), np.int64), [[]] * len(vectors), [b"\0"] * len(vectors)
         size = np.array([len(v) // 8 for v in vectors])
         for d in np.unique(size):
             c = centres.get(int(d))
@@ -79,19 +79,25 @@ def _visits(batches, centres: dict[int, np.ndarray], reach: float) -> Iterator[p
                 home[own] = best
                 for k, r in enumerate(own):
                     cells[r] = np.flatnonzero(near[k]).tolist()
+                    met[r] = np.packbits(near[k]).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(size, pa.int64()), pa.array(home, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
-            [*batch.schema.names, "d", "home", "cells"],
+            [*batch.columns, pa.array(size, pa.int64()), pa.array(home, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(met, pa.binary())],
+            [*batch.schema.names, "d", "home", "cells", "met"],
         )
 
 
 def _product(rows: pa.Table, least: float) -> pa.Table:
-    """(node, links, root): what the pairs of two blocks add to each node, and their span."""
+    """(node, links, root): what the pairs of two blocks add to each node, and their span.
+
+    Products are made in single precision first; a pair that its rounding leaves in doubt is
+    decided in double precision.
+    """
     node, weight, side, home, cell = (
         rows.column(c).to_numpy() for c in ("node", "weight", "side", "home", "cell")
     )
     visitors = bool(rows.column("visitors")[0].as_py())
     x = _unit(rows.column("v").to_pylist())
+    narrow, doubt = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-23
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     same = not visitors and not len(two)
     if same:
@@ -99,24 +105,28 @@ def _product(rows: pa.Table, least: float) -> pa.Table:
     links = np.zeros(len(node))
     root = np.arange(len(node))
     lefts, rights = [], []
-    if visitors and len(one) and len(two):  # a pair that also meets in the visitor's home counts in the lower cell
-        cells = rows.column("cells").to_pylist()
-        here = int(cell[0])
-        homes = {h: np.array([h in cells[i] for i in one]) for h in np.unique(home[two]).tolist() if h < here}
-    for i in range(0, len(one), 512):
-        own = one[i : i + 512]
-        near = x[own] @ x[two].T >= least
+    if visitors and len(one) and len(two):
+        bits = rows.column("met").to_pylist()
+        met = np.unpackbits(np.stack([np.frombuffer(bits[i], np.uint8) for i in one]), axis=1).view(bool)
+    for i in range(0, len(one) if len(two) else 0, 256):
+        dots = narrow[one[i : i + 256]] @ narrow[two].T
+        a, b = np.nonzero(dots >= least - doubt)
+        near = dots[a, b] > least + doubt
+        a, b = one[i + a], two[b]
+        unsure = np.flatnonzero(~near)
+        for j in range(0, len(unsure), 1 << 16):
+            some = unsure[j : j + (1 << 16)]
+            near[some] = np.einsum("ij,ij->i", x[a[some]], x[b[some]]) >= least
         if same:
-            near &= own[:, None] != two
-        if visitors:
-            for h, both in homes.items():
-                near &= ~(both[i : i + 512, None] & (home[two] == h))
-        a, b = np.nonzero(near)
-        np.add.at(links, own[a], weight[two[b]])
+            near &= a != b
+        if visitors:  # a pair that also meets in the visitor's home counts in the lower cell
+            near &= ~((home[b] < cell[0]) & met[np.searchsorted(one, a), home[b]])
+        a, b = a[near], b[near]
+        links += np.bincount(a, weight[b], len(node))
         if not same:
-            np.add.at(links, two[b], weight[own[a]])
-        lefts.append(own[a])
-        rights.append(two[b])
+            links += np.bincount(b, weight[a], len(node))
+        lefts.append(a)
+        rights.append(b)
         if sum(map(len, lefts)) > 1 << 20:
             root = spans_of(np.concatenate([*lefts, np.arange(len(node))]), np.concatenate([*rights, root]), len(node))
             lefts, rights = [], []
@@ -156,12 +166,12 @@ def near_duplicate_vectors(
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) / 2
     dealt = nodes.select("node", "v", "weight").mapInArrow(
         partial(_visits, centres=centres, reach=reach),
-        "node bigint, v binary, weight bigint, d bigint, home bigint, cells array<bigint>",
+        "node bigint, v binary, weight bigint, d bigint, home bigint, cells array<bigint>, met binary",
     )
     dealt = stored(dealt, "cells")
 
     at_home = dealt.withColumn("cell", F.col("home"))
-    away = dealt.withColumn("cell", F.explode("cells"))
+    away = dealt.withColumn("cell", F.explode("cells")).withColumn("met", F.lit(None).cast("binary"))  # only the hosts' is read
     counts = at_home.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     counts = counts.select(F.col("d").alias("__d"), F.col("cell").alias("__cell"), "blocks")
     visits = away.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).alias("visit_blocks"))
@@ -170,7 +180,7 @@ def near_duplicate_vectors(
     sizes_of = stored(counts.join(visits, (F.col("__d") == F.col("__vd")) & (F.col("__cell") == F.col("__vcell")), "left")
                       .select("__d", "__cell", "blocks", F.coalesce("visit_blocks", F.lit(0)).alias("visit_blocks")), "blocks")
     numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    keep = ["d", "cell", "node", "v", "weight", "home", "cells"]
+    keep = ["d", "cell", "node", "v", "weight", "home", "met"]
     owned = at_home.join(sizes_of, here).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     among = owned.withColumn("c", numbers("blocks")).select(
         *keep, F.lit(False).alias("visitors"), F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"),
@@ -180,7 +190,6 @@ def near_duplicate_vectors(
     hosts = hosts.select(*keep, F.lit(True).alias("visitors"), F.col("b").alias("i"), "j", F.lit(0).alias("side"))
     guests = away.join(sizes_of, here).withColumn("j", F.pmod(F.xxhash64("node"), F.col("visit_blocks")))
     guests = guests.withColumn("i", numbers("blocks"))
-    guests = guests.withColumn("cells", F.lit(None).cast("array<bigint>"))  # only the hosts' are read
     guests = guests.select(*keep, F.lit(True).alias("visitors"), "i", "j", F.lit(1).alias("side"))
     met = among.unionByName(hosts).unionByName(guests)
     spans = stored(
