@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import in_period, money, money_sum, money_units, year_month_label
 from ..functions.columns import BAND_NAMES
 from ..operators.constraints import union_all
-from ..operators.revenue import match_sale_price, priced_sales, revenue_units
+from ..operators.revenue import match_sale_price
 
 # The categories, rates and limits the standard reports use.
 PREDICTION_CATEGORY = "GPS"
@@ -204,11 +204,26 @@ def states(city: DataFrame) -> DataFrame:
 
 
 def _store_years(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:
-    """Revenue by store and year, in exact units."""
+    """Revenue by store and year, in exact units.
+
+    Stored sales meet their sale prices in place and are summed by store, product and
+    year before the prices of products join, so that no single sale is shuffled by a hot
+    product.
+    """
+    discounted = money_units(F.col("SalePrice") * F.col("SaleQuantity"))
+    sums = (
+        match_sale_price(sold, onsale)
+        .groupBy("StoreNumber", "PID", _year())
+        .agg(
+            F.sum("RetailQuantity").alias("RetailQuantity"),
+            money_units(money_sum(discounted)).alias("_discounted"),
+        )
+    )
+    full = F.coalesce(F.col("retail_price") * F.col("RetailQuantity"), F.lit(0.0))
     return (
-        priced_sales(sold, onsale, product)
-        .groupBy("StoreNumber", _year())
-        .agg(money_sum(revenue_units()).alias("_units"))
+        sums.join(product.select("PID", "retail_price"), "PID", "left")
+        .groupBy("StoreNumber", "Year")
+        .agg(money_sum(money_units(full) + F.col("_discounted")).alias("_units"))
     )
 
 
@@ -283,12 +298,25 @@ def sale_months(sold: DataFrame) -> DataFrame:
     return sold.select(_month()).distinct()
 
 
+def _period_sales(sold: DataFrame, year: int | None, month: int | None) -> DataFrame:
+    period = in_period(F.col("CalendarDate"), year, month)
+    return sold if period is None else sold.filter(period)
+
+
 def _category_sales(
     sold: DataFrame, belongto: DataFrame, year: int | None, month: int | None
 ) -> DataFrame:
-    period = in_period(F.col("CalendarDate"), year, month)
-    lines = sold if period is None else sold.filter(period)
-    return lines.join(belongto.filter("CategoryName IS NOT NULL"), "PID")
+    """Units by category, product, store and open period.
+
+    Sales are summed before they meet the categories, which repeat them, and before the
+    shuffle on the product, which may be a hot one.
+    """
+    units = (
+        _period_sales(sold, year, month)
+        .groupBy("PID", "StoreNumber", *_periods(year, month))
+        .agg(F.sum("quantity").alias("quantity"))
+    )
+    return units.join(belongto.filter("CategoryName IS NOT NULL"), "PID")
 
 
 def _periods(year: int | None, month: int | None) -> list:
@@ -309,7 +337,7 @@ def top_state_per_category(
 
     Without a year or month every year and month in the sales is ranked.
     """
-    periods = _periods(year, month)
+    periods = [c for c, part in (("Year", year), ("Month", month)) if part is None]
     units = (
         _category_sales(sold, belongto, year, month)
         .join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
@@ -361,7 +389,7 @@ def top_state_drilldown(
     members = belongto.filter(F.col("CategoryName") == category)
     local = city.filter(F.col("State") == state)
     staffed = _staffed_stores(store, local, assigned, manager)
-    selling = _category_sales(sold, members, year, month).select("StoreNumber").distinct()
+    selling = _period_sales(sold, year, month).join(members, "PID").select("StoreNumber").distinct()
     return (
         staffed.join(selling, "StoreNumber")
         .select(*DRILLDOWN_COLUMNS)
