@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailmart.llm.common import stored
+from retailmart.llm.common import small_table, stored
 from retailmart.llm.words import words_of
 
 FEATURES = 256
@@ -179,7 +179,7 @@ def mix(labelled: DataFrame, budget: float, power: Mapping[str, float], targets:
         for at in [tuple(place[a][r[k]] for a, k in enumerate(keys))]
     ]
     fields = ", ".join(f"__c{a} string" for a in range(3))
-    rates = spark.createDataFrame(table, f"{fields}, weight double, probability double")
+    rates = small_table(spark, table, f"{fields}, weight double, probability double")
     same = [F.col(k) == F.col(f"__c{a}") for a, k in enumerate(keys)]
     u = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 52)) / (1 << 52)
     rows = labelled.join(F.broadcast(rates), same[0] & same[1] & same[2], "left")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailmart.llm.common import gapless, stored
+from retailmart.llm.common import gapless, small_table, stored
 
 CAPACITY = 2048
 GROUPS = 384
@@ -261,7 +261,7 @@ def pack(rows: DataFrame, order: list[str], capacity: int = CAPACITY, groups: in
     before = dict(zip(lengths, np.cumsum([0, *(histogram[n] for n in lengths)]).tolist()[:-1], strict=True))
     plan, sequences = plan_large({n: histogram[n] for n in lengths}, capacity, groups)
 
-    starts = spark.createDataFrame([(n, b) for n, b in before.items()], "__length bigint, __before bigint")
+    starts = small_table(spark, [(n, b) for n, b in before.items()], "__length bigint, __before bigint")
     large = gapless(rows.where(F.col("length") > small), ["length"], order, "__rank")
     large = large.join(F.broadcast(starts), F.col("length") == F.col("__length"))
     large = large.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__length", "__before")

@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailmart.llm.common import clean_text, gapless, stored
+from retailmart.llm.common import clean_text, gapless, small_table, stored
 
 MAX_BLOCKS = 1 << 17
 FIRST_BITS = 14
@@ -125,7 +125,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, tuple[int, ...]]:
         if not unsure:
             break
         step = max(1, min(64 - bits, (MAX_BLOCKS // len(unsure)).bit_length() - 1))
-        wanted = spark.createDataFrame([(blocks[i][0],) for i in unsure], "block bigint")
+        wanted = small_table(spark, [(blocks[i][0],) for i in unsure], "block bigint")
         here = F.shiftleft(F.shiftright("key", 64 - bits), 64 - bits)
         inside = groups.join(F.broadcast(wanted), here == F.col("block"), "left_semi")
         finer = _block_sums(inside, bits := bits + step)
