@@ -478,9 +478,19 @@ def own_queries() -> dict[str, Query]:
             "Manufacturer",
             "Product",
         ),
+        "manufacturer_product_top": _report(
+            reports.manufacturer_product, "Manufacturer", "Product", limit=10
+        ),
         "manufacturer_product_detail": _report(
             reports.manufacturer_product_detail, "Manufacturer", "Product", "BelongTo"
         ),
+        "manufacturer_product_detail_named": _report(
+            reports.manufacturer_product_detail,
+            "Manufacturer",
+            "Product",
+            "BelongTo",
+            name="Brand#11",
+        ),
         "category_report": _report(
             reports.category_report,
             "Category",
@@ -543,6 +553,7 @@ def own_queries() -> dict[str, Query]:
         "activate_managers": _set_status(edit.activate_managers),
         "activate_managers_results": _set_status(edit.activate_managers, part=1),
         "deactivate_managers": _set_status(edit.deactivate_managers),
+        "deactivate_managers_results": _set_status(edit.deactivate_managers, part=1),
         "assign_managers": _edit(
             edit.assign_managers, ("AssignedTo", "Manager", "Store"), assignment_changes
         ),

@@ -676,6 +676,11 @@ BODIES |= {
                CAST(NULL AS VARCHAR) AS reason
         FROM batch_unassignments""",
 }
+BODIES["manufacturer_product_top"] = BODIES["manufacturer_product"].replace("LIMIT 100", "LIMIT 10")
+BODIES["manufacturer_product_detail_named"] = f"""
+        SELECT * FROM ({BODIES["manufacturer_product_detail"]}) AS every
+        WHERE ManufacturerName = 'Brand#11'"""
+BODIES["deactivate_managers_results"] = BODIES["activate_managers_results"]
 BODIES["read_raw"] = BODIES["clean_sold"]
 BODIES["view_states"] = BODIES["states"]
 BODIES["view_groundhog"] = BODIES["groundhog"]
