@@ -1,8 +1,9 @@
 """The corpus pipeline: language, near-duplicates, personal data, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last
-return the columns of documents. Rows that share a doc_id share one verdict: they stay if any
-of them would. Null ids count as one id, null texts as empty; an empty table gives an empty one.
+return the columns of documents. Every row has its own verdict, also where its doc_id is null or
+stands for several texts; only rows equal in doc_id, text, lang and source share one. Null texts
+count as empty; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,24 +17,33 @@ from retailmart.llm.common import stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is among the distinct ids, with the other columns of ids."""
-    ids = stored(ids.withColumnRenamed("doc_id", "__id"), "verdicts")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key: the doc_id and 128 hash bits of text, lang and source."""
+    said = ["text", "lang", "source"]
+    parts = [*said, *[F.col(c).isNull() for c in said]]
+    return docs.withColumn("row_key", F.concat_ws(":", "doc_id", F.xxhash64(*parts), F.xxhash64(F.lit("row"), *parts)))
+
+
+def _of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed docs whose row_key is among the distinct keys, with the other columns of keys."""
+    keys = stored(keys.withColumnRenamed("row_key", "__key"), "verdicts")
+    return docs.join(keys, F.col("row_key") == F.col("__key")).drop("__key")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is established, with lang set to it."""
     own.ship(spark)
-    found = language.identify(own.document_evidence(docs), own.text_model(docs), id="doc_id")
-    kept = found.where("kept").groupBy("doc_id").agg(F.min("language").alias("__language"))
-    return _of_ids(docs, kept).withColumn("lang", F.col("__language")).select(*COLUMNS)
+    docs = _keyed(docs)
+    by_key = docs.withColumn("doc_id", F.col("row_key"))
+    found = language.identify(own.document_evidence(by_key), own.text_model(by_key), id="doc_id")
+    kept = found.where("kept").groupBy(F.col("doc_id").alias("row_key")).agg(F.min("language").alias("__language"))
+    return _of_keys(docs, kept).withColumn("lang", F.col("__language")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8."""
     own.ship(spark)
-    return jaccard.keep_one(docs, n=5, percent=80).select(*COLUMNS)
+    return jaccard.keep_rows(docs, n=5, percent=80).select(*COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +57,10 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that source, language and topic have their target shares."""
     own.ship(spark)
-    rows, _ = mixing.mix(mixing.label(docs), own.MIX_BUDGET, own.MIX_POWER)
-    chosen = rows.where("sampled").select(F.col("id").alias("doc_id")).distinct()
-    return _of_ids(docs, chosen).select(*COLUMNS)
+    docs = _keyed(docs)
+    rows, _ = mixing.mix(mixing.label(docs, id="row_key"), own.MIX_BUDGET, own.MIX_POWER)
+    chosen = rows.where("sampled").select(F.col("id").alias("row_key")).distinct()
+    return _of_keys(docs, chosen).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,13 +359,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest id.
+    """docs with one row for each id that is the smallest of its group of near-duplicates.
 
-    Rows that share id and set count as copies. Texts without words are kept, but for repeats of one id.
-    A row without an id stays only if its group has no id at all.
+    For tables whose ids are there and differ: rows of one id, or without one, count as one row
+    whatever their texts, and one of them stays. ``keep_rows`` goes by rows.
     """
     found = near_duplicates(docs, n, percent, id, text)
     chosen = found.where(F.col(id).eqNullSafe(F.col("component_id")))
     chosen = chosen.select(F.col(id).alias("__id")).distinct()
     one = docs.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col("__id"))).drop("__id")
     return one.dropDuplicates([id])
+
+
+def keep_rows(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest id.
+
+    Rows are known by id and text, so an id may be null or stand for several texts. A row without
+    an id stays only if its group has no id at all; of several texts of the smallest id that of the
+    smallest hash stays. Texts without words are kept. Rows equal in id and text are copies.
+    """
+    fields = {
+        "no_id": F.col(f"`{id}`").isNull(), "id": F.col(f"`{id}`"),
+        "a": F.xxhash64(F.col(f"`{text}`")), "b": F.xxhash64(F.lit("row"), F.col(f"`{text}`")),
+    }
+    keyed = docs.withColumn("__row", F.struct(*[v.alias(c) for c, v in fields.items()]))
+    found = near_duplicates(keyed, n, percent, "__row", text)
+    chosen = found.where(F.col("__row") == F.col("component_id"))
+    chosen = stored(chosen.select(*[F.col(f"__row.{c}").alias(f"__{c}") for c in fields]).distinct(), "chosen")
+    same = (F.col("__row.a") == F.col("__a")) & (F.col("__row.b") == F.col("__b")) & F.col("__row.id").eqNullSafe(F.col("__id"))
+    one = keyed.join(chosen, same).dropDuplicates(["__a", "__b", "__id"])
+    return one.drop("__row", *[f"__{c}" for c in fields])

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retailmart.llm import chat, jaccard, language, mixing, packing, pii, quality, sharding, vectors, wordpiece
 from retailmart.llm.common import components, stored
@@ -336,6 +337,21 @@ def test_jaccard_on_odd_rows(spark):
     assert jaccard.near_duplicates(no_docs(spark)).count() == 0 and jaccard.keep_one(no_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(WORDS[k : k + 40]) for k in (0, 100, 200))
+    near = a.replace("w39", "w399")
+    rows = [(1, near), (5, a), (3, b), (3, c), (None, b), (None, "only here"), (None, "nor there"), (None, "nor there"), (None, None), (7, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(1.5))
+    got = jaccard.keep_rows(docs)
+    assert got.columns == docs.columns
+    kept = [(1, near), (3, b), (3, c), (None, "only here"), (None, "nor there"), (None, None), (7, "")]
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"]) == sorted(k for k in kept if k[0])
+    assert Counter(r["text"] for r in got.collect() if not r["doc_id"]) == Counter(k[1] for k in kept if not k[0])
+    odd = jaccard.keep_rows(odd_docs(spark)).collect()
+    assert sorted(r["doc_id"] or 0 for r in odd) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
+    assert jaccard.keep_rows(no_docs(spark)).count() == 0
+
+
 def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 

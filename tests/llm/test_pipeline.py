@@ -28,6 +28,16 @@ def test_stages_on_no_rows(spark):
         assert stage(spark, docs, SF_DIR).count() == 0
 
 
+def test_rows_without_an_id_have_their_own_verdict(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    bare = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        with_id, without = ({(r["text"], r["lang"]) for r in stage(spark, d, SF_DIR).collect()} for d in (docs, bare))
+        assert len(with_id) > 100 and len(with_id ^ without) <= 0.04 * len(with_id)
+    sampled = corpus_pipeline.mix_sources(spark, bare, SF_DIR).count()
+    assert 0.6 * docs.count() < sampled < docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     frame = queries.queries()[name](spark, SF_DIR)
