@@ -82,6 +82,49 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+#: Sizes of the groups that card numbers are written in, the usual first.
+_CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), *((n,) for n in (16, 15, 14, 13, 19, 18, 17)))
+_CARD_GROUPS += ((8, 8), (6, 13), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 3), (4, 4, 4, 2))
+
+
+def _card_spans(run: str, usual: bool) -> Iterator[tuple[int, int]]:
+    """Spans that may be cards in a run of groups of digits: those in usual groups, or else the
+    whole run, then any other groups of which all but the last have three digits or more."""
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", run)]
+    sizes = [b - a for a, b in groups]
+    if usual:
+        for shape in _CARD_GROUPS:
+            for i in range(len(groups) - len(shape) + 1):
+                if tuple(sizes[i : i + len(shape)]) == shape:
+                    yield groups[i][0], groups[i + len(shape) - 1][1]
+        return
+    if sum(sizes) <= 19:
+        yield 0, len(run)
+    for i in range(len(groups)):
+        ends, total = [], 0
+        for j in range(i, len(groups)):
+            total += sizes[j]
+            if total > 19:
+                break
+            if total >= 13:
+                ends.append(groups[j][1])
+            if sizes[j] < 3:
+                break
+        yield from ((groups[i][0], end) for end in reversed(ends))
+
+
+def _cards(text: str, key: bytes, usual: bool) -> Iterator[tuple[int, int, str]]:
+    for match in _CARD_RUN.finditer(text):
+        run, first = match.group(), match.start()
+        if text[first - 1 : first] == "+" and len(_digits(run)) <= 15:  # a phone number
+            continue
+        taken: list[tuple[int, int]] = []
+        for a, b in _card_spans(run, usual):
+            if all(b <= c or d <= a for c, d in taken) and (fresh := _card(run[a:b], key)) is not None:
+                taken.append((a, b))
+                yield first + a, first + b, fresh
+
+
 def _card(text: str, key: bytes) -> str | None:
     digits = _digits(text)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1]:
@@ -95,6 +138,34 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _ibans(text: str, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Of each start the length of its country first, then all ends of words, the longest first."""
+    at = 0
+    while match := _IBAN_RUN.search(text, at):
+        run, at = match.group(), match.start() + 1
+        ends = [k for k in range(15, len(run) + 1) if run[k - 1] != " " and not re.match(r"\w", text[match.start() + k : match.start() + k + 1])]
+        own = _IBAN_LENGTHS.get(run[:2])
+        ends.sort(key=lambda k: (len(run[:k].replace(" ", "")) != own, -k))
+        for end in ends:
+            if (fresh := _iban(run[:end], key)) is not None:
+                yield match.start(), match.start() + end, fresh
+                at = match.start() + end
+                break
+
+
 def _iban(text: str, key: bytes) -> str | None:
     plain = text.replace(" ", "")
     country, check, body = plain[:2], plain[2:4], plain[4:]
@@ -139,16 +210,17 @@ _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
 
 def _date(text: str, key: bytes) -> str | None:
     a, mark, b, _, c = re.split(r"([-/.])", text)
-    for year, month, day in ((a, b, c),) if len(a) == 4 else ((c, b, a), (c, a, b)):
+    parts = (int(a), int(b), int(c))
+    for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
         try:
-            ordinal = dt.date(int(year), int(month), int(day)).toordinal()
+            ordinal = dt.date(*(parts[order.index(p)] for p in "ymd")).toordinal()
         except ValueError:
             continue
         if not _FIRST <= ordinal < _LAST:
             return None
         moved = dt.date.fromordinal(_FIRST + feistel(ordinal - _FIRST, _LAST - _FIRST, key, "date"))
-        put = {id(year): f"{moved.year:04d}", id(month): f"{moved.month:02d}", id(day): f"{moved.day:02d}"}
-        return mark.join(put[id(x)] for x in (a, b, c))
+        put = {"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}
+        return mark.join(put[p] for p in order)
     return None
 
 
@@ -167,14 +239,29 @@ _SECRET_PARTS = r"""((?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*["']?
 _PATTERNS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "secret": (r"\b" + re.sub(r"\((?!\?)", "(?:", _SECRET_PARTS), _secret),
     "email": (r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", _email),
-    "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b", _iban),
     "ip": (r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)", _ip),
     "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)", _date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "phone": (r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+.-])\+\d{8,14}(?!\w)", _phone),
-    "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
 }
-_COMPILED = [(kind, re.compile(_PATTERNS[kind][0], re.I if kind == "secret" else 0), _PATTERNS[kind][1]) for kind in KINDS]
+_COMPILED = {kind: (re.compile(pattern, re.I if kind == "secret" else 0), own) for kind, (pattern, own) in _PATTERNS.items()}
+_IBAN_RUN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+_CARD_RUN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])")
+
+
+def _matches(text: str, key: bytes, kind: str) -> Iterator[tuple[int, int, str]]:
+    pattern, own = _COMPILED[kind]
+    for match in pattern.finditer(text):
+        if (fresh := own(match.group(), key)) is not None:
+            yield match.start(), match.end(), fresh
+
+
+#: (kind, finder of (start, end, pseudonym)). Cards in usual groups go before phones, which could
+#: take their first groups; other runs of groups after, as two phones side by side are one.
+_FINDERS: list[tuple[str, Callable[[str, bytes], Iterator[tuple[int, int, str]]]]] = [
+    (kind, _ibans if kind == "iban" else partial(_matches, kind=kind)) for kind in ("secret", "email", "iban", "ip", "date", "ssn")
+]
+_FINDERS += [("card", partial(_cards, usual=True)), ("phone", partial(_matches, kind="phone")), ("card", partial(_cards, usual=False))]
 _ANY = re.compile(r"[0-9@]|token|secret|passw|api.?key", re.I)
 
 
@@ -187,18 +274,15 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, Counter]:
         parts = [pseudonymise(part, key) for part in text.split("\x00")]
         return "\x00".join(p[0] for p in parts), sum((p[1] for p in parts), counts)
     done: list[str] = []  # replaced values stand aside, so that no later kind reads them again
-
-    def put(match: re.Match, kind: str, own: Callable) -> str:
-        fresh = own(match.group(), key)
-        if fresh is None:
-            return match.group()
-        counts[kind] += 1
-        done.append(fresh)
-        return f"\x00{chr(0xF0000 + len(done) - 1)}\x00"
-
     held = text
-    for kind, pattern, own in _COMPILED:
-        held = pattern.sub(partial(put, kind=kind, own=own), held)
+    for kind, find in _FINDERS:
+        parts, at = [], 0
+        for a, b, fresh in sorted(find(held, key)):
+            counts[kind] += 1
+            done.append(fresh)
+            parts += [held[at:a], f"\x00{chr(0xF0000 + len(done) - 1)}\x00"]
+            at = b
+        held = "".join([*parts, held[at:]])
     if done:
         held = re.sub(r"\x00([^\x00])\x00", lambda m: done[ord(m.group(1)) - 0xF0000], held)
     return held, counts

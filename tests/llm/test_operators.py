@@ -130,6 +130,38 @@ def test_pseudonyms_keep_format_checks_and_links(spark):
     assert pii.pseudonymise_documents(no_docs(spark), b"k").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("order 7 4111111111111111", "4111111111111111", "card"),
+        ("4111111111111111 123", "4111111111111111", "card"),
+        ("4111111111111111 12/26", "4111111111111111", "card"),
+        ("no 12 4111 1111 1111 1111 99", "4111 1111 1111 1111", "card"),
+        ("card 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("card 3782 822463 10005 12", "3782 822463 10005", "card"),
+        ("GB82 WEST 1234 5698 7654 32 EUR 500", "GB82 WEST 1234 5698 7654 32", "iban"),
+        ("DE89370400440532013000 BIC COBADEFF", "DE89370400440532013000", "iban"),
+        ("AB12 GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32", "iban"),
+    ],
+)
+def test_values_are_found_beside_other_words_and_digits(text, value, kind):
+    fresh, counts = pii.pseudonymise(text, b"key")
+    assert counts == {kind: 1}
+    alone = pii.pseudonymise(value, b"key")[0]
+    assert alone != value and fresh == text.replace(value, alone)
+    joined = pii.pseudonymise(value.replace(" ", ""), b"key")[0]
+    assert alone.replace(" ", "") == joined  # spaced and unspaced forms stay linked
+
+
+def test_phones_side_by_side_and_dates_of_equal_parts():
+    fresh, counts = pii.pseudonymise("call 555 123 4567 555 987 6543", b"key")
+    assert counts == {"phone": 2}
+    for day in ("5/5/2020", "12.12.2020", "5-5-2020", "1/31/2020"):
+        fresh, counts = pii.pseudonymise(day, b"key")
+        assert counts == {"date": 1} and pii.pseudonymise(fresh, b"other")[1] == {"date": 1}
+    assert pii.pseudonymise("5/5/2020", b"key")[0] == pii.pseudonymise("05/05/2020", b"key")[0]
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     mass = rng.uniform(1, 9, (4, 3, 2))
