@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
+BLOCK = 64
 KINDS = ("secret", "email", "iban", "ip", "date", "ssn", "phone", "card")
 
 
@@ -47,7 +48,10 @@ _PLACE = {c: (group, i) for group in _CLASSES for i, c in enumerate(group)}
 
 
 def permute_text(text: str, key: bytes, tweak: str) -> str:
-    """Permute the letters and digits of a text, each within its class; others stay."""
+    """Permute the letters and digits of a text, each within its class; others stay. A text longer
+    than BLOCK goes block by block: a digest has 256 bits, and each half of a block fewer."""
+    if len(text) > BLOCK:
+        return "".join(permute_text(text[k : k + BLOCK], key, f"{tweak}|{k}") for k in range(0, len(text), BLOCK))
     value, size = 0, 1
     for c in text:
         if c in _PLACE:
@@ -189,7 +193,7 @@ def _ssn(text: str, key: bytes) -> str | None:
 
 
 def _phone(text: str, key: bytes) -> str | None:
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
     head = code.group() if code else ""
     rest = text[len(head) :]
     if not 7 <= len(_digits(rest)) <= 14:
@@ -239,14 +243,14 @@ _SECRET_PARTS = r"""((?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*["']?
 _PATTERNS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "secret": (r"\b" + re.sub(r"\((?!\?)", "(?:", _SECRET_PARTS), _secret),
     "email": (r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", _email),
-    "ip": (r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)", _ip),
-    "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)", _date),
-    "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
-    "phone": (r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+.-])\+\d{8,14}(?!\w)", _phone),
+    "ip": (r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)", _ip),
+    "date": (r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])", _date),
+    "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
+    "phone": (r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w+.-])\+[0-9]{8,14}(?!\w)", _phone),
 }
 _COMPILED = {kind: (re.compile(pattern, re.I if kind == "secret" else 0), own) for kind, (pattern, own) in _PATTERNS.items()}
-_IBAN_RUN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
-_CARD_RUN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])")
+_IBAN_RUN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_CARD_RUN = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])")
 
 
 def _matches(text: str, key: bytes, kind: str) -> Iterator[tuple[int, int, str]]:
@@ -273,19 +277,21 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, Counter]:
     if "\x00" in text:  # the mark used below
         parts = [pseudonymise(part, key) for part in text.split("\x00")]
         return "\x00".join(p[0] for p in parts), sum((p[1] for p in parts), counts)
-    done: list[str] = []  # replaced values stand aside, so that no later kind reads them again
-    held = text
+    found: list[tuple[int, int, str]] = []
+    held = text  # found values are blanked out, so that no later kind reads them again
     for kind, find in _FINDERS:
         parts, at = [], 0
         for a, b, fresh in sorted(find(held, key)):
             counts[kind] += 1
-            done.append(fresh)
-            parts += [held[at:a], f"\x00{chr(0xF0000 + len(done) - 1)}\x00"]
+            found.append((a, b, fresh))
+            parts += [held[at:a], "\x00" * (b - a)]
             at = b
         held = "".join([*parts, held[at:]])
-    if done:
-        held = re.sub(r"\x00([^\x00])\x00", lambda m: done[ord(m.group(1)) - 0xF0000], held)
-    return held, counts
+    parts, at = [], 0
+    for a, b, fresh in sorted(found):
+        parts += [text[at:a], fresh]
+        at = b
+    return "".join([*parts, text[at:]]), counts
 
 
 def _rows(batches, key: bytes, place: int) -> Iterator[pa.RecordBatch]:

@@ -162,6 +162,19 @@ def test_phones_side_by_side_and_dates_of_equal_parts():
     assert pii.pseudonymise("5/5/2020", b"key")[0] == pii.pseudonymise("05/05/2020", b"key")[0]
 
 
+def test_pseudonyms_of_long_and_multilingual_texts():
+    many = "97.51.17.173 " * 140_000
+    fresh, counts = pii.pseudonymise(many, b"key")
+    assert counts == {"ip": 140_000} and set(fresh.split()) == {pii.pseudonymise("97.51.17.173", b"key")[0]}
+    shape = "٠١٢-٣٤-٥٦٧٨ ٢٠٠١-٠٢-٢٨ ٩٧.٥١.١٧.١٧٣ +٤٩ ٣٠ ١٢٣٤ ٥٦٧٨"
+    fresh, counts = pii.pseudonymise(f"{shape} bob@site.example.com", b"key")
+    assert fresh.startswith(shape) and counts == {"email": 1}
+    secret = "".join(random.Random(0).choices("abcdefghij0123456789", k=9000))
+    fresh, counts = pii.pseudonymise(f"token={secret}", b"key")
+    assert counts == {"secret": 1} and len(fresh) == len(f"token={secret}")
+    assert all(fresh[6 + k : 14 + k] != secret[k : k + 8] for k in range(8993))
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     mass = rng.uniform(1, 9, (4, 3, 2))
