@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed by (source, language, topic); the table is raked until its marginals are the
-targets; each document is then sampled with the probability that gives its cell the raked
-share of the token budget.
+Tokens are summed by (source, language, topic); the table is raked, within what each cell holds,
+until its marginals are the targets; each document is then sampled with the probability that
+gives its cell the raked share of the token budget.
 """
 
 from __future__ import annotations
@@ -109,11 +109,78 @@ def calibrate(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray
     return np.minimum(1, high * weight)
 
 
+def fill(own: np.ndarray, wanted: np.ndarray, budget: float) -> np.ndarray:
+    """min(own, factor * wanted) of sum ``budget``, or all that is wanted at all if that is less."""
+    goal = np.where(wanted > 0, own, 0.0)
+    if goal.sum() <= budget:
+        return goal
+    at = np.flatnonzero(goal > 0)
+    at = at[np.argsort(own[at] / wanted[at], kind="stable")]
+    before = np.concatenate(([0.0], np.cumsum(own[at])[:-1]))
+    rest = np.cumsum(wanted[at][::-1])[::-1]
+    factor = (budget - before) / rest
+    first = int(np.argmax(factor * wanted[at] < own[at]))  # those before have less than their part
+    goal[at[first:]] = factor[first] * wanted[at[first:]]
+    return goal
+
+
+@dataclass(frozen=True)
+class Axis:
+    names: list[str]
+    target: np.ndarray  # shares wanted
+    goal: np.ndarray  # tokens to keep: the target's part of the budget, or all where there are fewer
+    kept: np.ndarray  # tokens expected to be kept
+
+
+def rake_within(
+    codes: list[np.ndarray], mass: np.ndarray, goals: list[np.ndarray], budget: float, rounds: int = 500, tolerance: float = 1e-9
+) -> np.ndarray:
+    """The probability min(1, product of a factor of each axis) of each cell, with which the kept
+    mass has the goals as its marginals.
+
+    codes: the place of each cell's value on each axis; all masses are above 0. Each step fits one
+    axis: cells at 1 stay there while the others of their value are scaled to what is left of
+    its goal. Where goals contradict each other, the table of the last round is scaled to the budget.
+    """
+    live = np.ones(len(mass), bool)
+    for code, goal in zip(codes, goals, strict=True):
+        live &= goal[code] > 0
+    out = np.zeros(len(mass))
+    codes, m = [code[live] for code in codes], mass[live]
+    if not len(m):
+        return out
+    owns = [np.bincount(code, m, len(goal)) for code, goal in zip(codes, goals, strict=True)]
+    x = np.full(len(m), budget / m.sum())
+    for _ in range(rounds):
+        worst = 0.0
+        for code, goal, own in zip(codes, goals, owns, strict=True):
+            n = len(goal)
+            worst = max(worst, float(np.abs(np.bincount(code, m * np.minimum(1, x), n) - goal)[own > 0].max()) / budget)
+            all_of_it = (goal >= own * (1 - 1e-12)) & (own > 0)
+            least = np.full(n, np.inf)
+            np.minimum.at(least, code, x)
+            for _ in range(30):  # Newton steps on a concave function of each value's factor
+                full = np.bincount(code, m * (x >= 1), n)
+                part = np.bincount(code, m * np.where(x < 1, x, 0), n)
+                step = np.divide(goal - full, part, out=np.zeros(n), where=part > 0)
+                low = np.divide(goal, np.bincount(code, m * x, n), out=np.ones(n), where=own > 0)
+                step = np.where(step > 0, step, low)
+                step[all_of_it] = np.maximum(1, 1 / least[all_of_it])
+                least[all_of_it] = 1
+                x = np.clip(x * step[code], 1e-100, 1e100)
+                if np.abs(step[(own > 0) & ~all_of_it] - 1).max(initial=0) < 1e-12:
+                    break
+        if worst < tolerance:
+            break
+    out[live] = calibrate(m, x, budget)
+    return out
+
+
 @dataclass(frozen=True)
 class Mix:
-    names: list[list[str]]
+    axes: list[Axis]
+    codes: list[np.ndarray]
     mass: np.ndarray
-    raked: np.ndarray
     probability: np.ndarray
 
 
@@ -142,7 +209,9 @@ def mix(labelled: DataFrame, budget: float, power: Mapping[str, float], targets:
     """(rows, Mix): labelled with weight, probability and sampled.
 
     budget: share of all tokens to keep. targets: wanted token share of each value of an axis;
-    an axis without has its shares raised to ``power``. A value below LEAST_SHARE of the tokens is
+    an axis without has its shares raised to ``power``. A value with fewer tokens than its target
+    asks for is kept whole and the others of its axis share the rest in proportion to their
+    targets; Mix has the target, the goal and what is expected to be kept of each value. A value below LEAST_SHARE of the tokens is
     raked as part of OTHER, so an axis has at most 1 / LEAST_SHARE + 1 values and the table on
     the driver a fixed bound; topics are few by parameter. A row is kept if a hash of its id is
     below its cell's probability: rows of one id fare alike, and null ids as one. Rows without
@@ -156,32 +225,39 @@ def mix(labelled: DataFrame, budget: float, power: Mapping[str, float], targets:
     for axis in AXES:
         labelled = labelled.withColumn(f"__{axis}", _folded(axis, big[axis]))
     keys = [f"__{axis}" for axis in AXES]
-    cells = labelled.groupBy(*keys).agg(F.sum("tokens").alias("t")).collect()
-    names = [sorted({r[k] for r in cells}) for k in keys]
-    place = [{v: i for i, v in enumerate(n)} for n in names]
-    mass = np.zeros([len(n) for n in names])
-    for r in cells:
-        mass[tuple(place[a][r[k]] for a, k in enumerate(keys))] = r["t"]
-    wanted = []
+    cells = labelled.groupBy(*keys).agg(F.sum("tokens").alias("t")).toArrow()
+    codes, names = [], []
+    for k in keys:
+        values = cells.column(k).combine_chunks().dictionary_encode()
+        codes.append(values.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        names.append(values.dictionary.to_pylist())
+    mass = cells.column("t").to_numpy().astype(float)
+    some = mass > 0
+    kept = budget * mass.sum()
+    wanted, live = [], some
     for a, axis in enumerate(AXES):
-        own = mass.sum(tuple(b for b in range(3) if b != a))
+        own = np.bincount(codes[a], mass, len(names[a]))
         given = (targets or {}).get(axis)
-        wanted.append(np.array([given.get(v, 0.0) for v in names[a]]) if given else tempered(own / max(own.sum(), 1), power[axis]))
-    raked = rake(mass, wanted)
-    share = mass / max(mass.sum(), 1)
-    weight = np.divide(raked, share, out=np.ones_like(raked), where=share > 0)
-    probability = calibrate(mass, np.where(share > 0, weight, 0), budget * mass.sum())
-    probability = np.where(share > 0, probability, budget)
-    spark = labelled.sparkSession
-    table = [
-        (*[r[k] for k in keys], float(weight[at]), float(probability[at]))
-        for r in cells
-        for at in [tuple(place[a][r[k]] for a, k in enumerate(keys))]
+        target = np.array([given.get(v, 0.0) for v in names[a]], float) if given else tempered(own / max(own.sum(), 1), power[axis])
+        target = np.where(own > 0, target, 0)
+        wanted.append(target / target.sum() if target.sum() else own / max(own.sum(), 1))
+        live = live & (wanted[a][codes[a]] > 0)
+    kept = min(kept, mass[live].sum())
+    goals = [fill(np.bincount(codes[a], mass * live, len(names[a])), wanted[a], kept) for a in range(3)]
+    probability = np.full(len(mass), budget)
+    weight = np.ones(len(mass))
+    if some.any():
+        probability[some] = rake_within([c[some] for c in codes], mass[some], goals, kept)
+        weight[some] = probability[some] * mass.sum() / max(1e-300, (probability * mass).sum())
+    axes = [
+        Axis(names[a], wanted[a], goals[a], np.bincount(codes[a], mass * probability, len(names[a]))) for a in range(3)
     ]
+    spark = labelled.sparkSession
     fields = ", ".join(f"__c{a} string" for a in range(3))
+    table = list(zip(*[cells.column(k).to_pylist() for k in keys], weight.tolist(), probability.tolist(), strict=True))
     rates = small_table(spark, table, f"{fields}, weight double, probability double")
     same = [F.col(k) == F.col(f"__c{a}") for a, k in enumerate(keys)]
     u = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 52)) / (1 << 52)
     rows = labelled.join(F.broadcast(rates), same[0] & same[1] & same[2], "left")
     rows = rows.withColumn("sampled", u < F.col("probability")).drop(*keys, "__c0", "__c1", "__c2")
-    return rows, Mix(names, mass, raked, probability)
+    return rows, Mix(axes, codes, mass, probability)

@@ -187,6 +187,46 @@ def test_raking_meets_the_marginals():
     assert abs((p * mass).sum() - 0.4 * mass.sum()) < 1e-6 and p.max() <= 1
 
 
+def test_raking_within_bounds_meets_the_marginals():
+    rng = np.random.default_rng(1)
+    source = np.array([1 / 3, *[2 / 57] * 19])
+    lang = np.array([0.6, 0.17, 0.15, 0.08])
+    mass = (source[:, None, None] * lang[:, None] * np.full(8, 1 / 8)) * rng.uniform(0.5, 1.5, (20, 4, 8)) * 1e6
+    codes = [c.ravel() for c in np.indices(mass.shape)]
+    sums = [mass.sum(tuple(b for b in range(3) if b != a)) for a in range(3)]
+    for power, budget in ((0.7, 0.8), (0.7, 0.7), (0.5, 0.5), (0.7, 1.0)):
+        kept = budget * mass.sum()
+        targets = [mixing.tempered(s / s.sum(), power) for s in sums]
+        goals = [mixing.fill(s, t, kept) for s, t in zip(sums, targets, strict=True)]
+        p = mixing.rake_within(codes, mass.ravel(), goals, kept)
+        assert 0 <= p.min() and p.max() <= 1 and abs((p * mass.ravel()).sum() / kept - 1) < 1e-9
+        for a in range(3):
+            real = np.bincount(codes[a], p * mass.ravel())
+            assert np.abs(real - goals[a]).max() < 1e-4 * kept
+            short = sums[a] < goals[a] * (1 + 1e-9)  # kept whole; the others in proportion
+            ratio = goals[a][~short] / targets[a][~short]
+            assert short.all() or np.allclose(ratio, ratio[0])
+            assert (goals[a][short] <= ratio.max(initial=np.inf) * targets[a][short]).all()
+    goals = [mixing.fill(s, mixing.tempered(s / s.sum(), 0.3), 0.8 * mass.sum()) for s in sums]  # these contradict each other
+    p = mixing.rake_within(codes, mass.ravel(), goals, 0.8 * mass.sum())
+    assert abs((p * mass.ravel()).sum() / mass.sum() - 0.8) < 1e-9 and p.max() <= 1
+    loose = mixing.rake_within(codes, mass.ravel(), [t * mass.sum() * 0.1 for t in targets], 0.1 * mass.sum())
+    assert np.allclose(loose * mass.ravel() / mass.sum() / 0.1, mixing.rake(mass, targets).ravel(), atol=1e-8)
+
+
+def test_mix_meets_its_targets_at_the_production_budget(spark):
+    rng = random.Random(6)
+    langs, sources = ["en"] * 12 + ["fr"] * 4 + ["de"] * 3 + ["it"], ["hot"] * 10 + [f"s{k}" for k in range(20)]
+    rows = [(i, t, rng.choice(langs), rng.choice(sources)) for i, t in enumerate(texts(3, 4000, 5))]
+    labelled = mixing.label(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    got, mix = mixing.mix(labelled, 0.8, {"source": 0.7, "lang": 0.7, "topic": 0.8})
+    total = mix.mass.sum()
+    for axis in mix.axes:
+        assert np.abs(axis.kept - axis.goal).max() < 1e-4 * total and abs(axis.goal.sum() / total - 0.8) < 1e-9
+    got = got.toPandas()
+    assert abs(got[got.sampled].tokens.sum() / got.tokens.sum() - 0.8) < 0.03
+
+
 def test_mix_keeps_about_the_budget(spark):
     rng = random.Random(5)
     rows = [(i, t, rng.choice(["en", "en", "fr"]), rng.choice(["a", "a", "b"])) for i, t in enumerate(texts(2, 3000, 5))]
