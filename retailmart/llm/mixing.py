@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailmart.llm.common import small_table, stored
@@ -21,8 +21,7 @@ from retailmart.llm.words import words_of
 
 FEATURES = 256
 TOPIC_SAMPLE = 4000  # rows that the topic centres are fitted to, about
-LEAST_SHARE = 0.005  # values of a smaller share of the tokens are raked together, as OTHER
-OTHER = "(other)"
+RATES_A_PLAN = 100_000  # rates that one plan carries
 AXES = ("source", "lang", "topic")
 
 
@@ -189,10 +188,6 @@ def tempered(shares: np.ndarray, power: float) -> np.ndarray:
     return raised / raised.sum() if raised.sum() else shares
 
 
-def _folded(axis: str, big: list[str]) -> Column:
-    return F.when(F.col(axis).isin(big), F.col(axis)).otherwise(OTHER) if big else F.lit(OTHER)
-
-
 def label(docs: DataFrame, topics: int = 8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored (id, source, lang, tokens, topic): tokens are words; null labels become '(none)'."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in AXES[:2]]
@@ -211,23 +206,16 @@ def mix(labelled: DataFrame, budget: float, power: Mapping[str, float], targets:
     budget: share of all tokens to keep. targets: wanted token share of each value of an axis;
     an axis without has its shares raised to ``power``. A value with fewer tokens than its target
     asks for is kept whole and the others of its axis share the rest in proportion to their
-    targets; Mix has the target, the goal and what is expected to be kept of each value. A value below LEAST_SHARE of the tokens is
-    raked as part of OTHER, so an axis has at most 1 / LEAST_SHARE + 1 values and the table on
-    the driver a fixed bound; topics are few by parameter. A row is kept if a hash of its id is
+    targets; Mix has the target, the goal and what is expected to be kept of each value. All
+    values are raked; the driver holds labels and a few numbers for each (source, lang, topic)
+    that occurs. A row is kept if a hash of its id is
     below its cell's probability: rows of one id fare alike, and null ids as one. Rows without
     tokens have no weight of their own and take their cell's probability.
     """
-    total = labelled.agg(F.sum("tokens")).first()[0] or 0
-    big: dict[str, list[str]] = {}
-    for axis in AXES:
-        sums = labelled.groupBy(axis).agg(F.sum("tokens").alias("t")).where(F.col("t") >= max(1.0, LEAST_SHARE * total))
-        big[axis] = sorted(r[axis] for r in sums.collect())
-    for axis in AXES:
-        labelled = labelled.withColumn(f"__{axis}", _folded(axis, big[axis]))
-    keys = [f"__{axis}" for axis in AXES]
-    cells = labelled.groupBy(*keys).agg(F.sum("tokens").alias("t")).toArrow()
+    cells = labelled.groupBy(*AXES).agg(F.sum("tokens").alias("t")).toArrow()
+    cells = cells.sort_by([(k, "ascending") for k in AXES])
     codes, names = [], []
-    for k in keys:
+    for k in AXES:
         values = cells.column(k).combine_chunks().dictionary_encode()
         codes.append(values.indices.to_numpy(zero_copy_only=False).astype(np.int64))
         names.append(values.dictionary.to_pylist())
@@ -254,10 +242,14 @@ def mix(labelled: DataFrame, budget: float, power: Mapping[str, float], targets:
     ]
     spark = labelled.sparkSession
     fields = ", ".join(f"__c{a} string" for a in range(3))
-    table = list(zip(*[cells.column(k).to_pylist() for k in keys], weight.tolist(), probability.tolist(), strict=True))
-    rates = small_table(spark, table, f"{fields}, weight double, probability double")
-    same = [F.col(k) == F.col(f"__c{a}") for a, k in enumerate(keys)]
+    found = []
+    for first in range(0, max(len(mass), 1), RATES_A_PLAN):
+        part = slice(first, first + RATES_A_PLAN)
+        table = list(zip(*[cells.column(k)[part].to_pylist() for k in AXES], weight[part].tolist(), probability[part].tolist(), strict=True))
+        found.append(stored(small_table(spark, table, f"{fields}, weight double, probability double"), "rates"))
+    rates = reduce(DataFrame.union, found)
+    same = [F.col(k) == F.col(f"__c{a}") for a, k in enumerate(AXES)]
     u = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 52)) / (1 << 52)
-    rows = labelled.join(F.broadcast(rates), same[0] & same[1] & same[2], "left")
-    rows = rows.withColumn("sampled", u < F.col("probability")).drop(*keys, "__c0", "__c1", "__c2")
+    rows = labelled.join(rates, same[0] & same[1] & same[2], "left")
+    rows = rows.withColumn("sampled", u < F.col("probability")).drop("__c0", "__c1", "__c2")
     return rows, Mix(axes, codes, mass, probability)

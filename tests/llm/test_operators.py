@@ -227,6 +227,26 @@ def test_mix_meets_its_targets_at_the_production_budget(spark):
     assert abs(got[got.sampled].tokens.sum() / got.tokens.sum() - 0.8) < 0.03
 
 
+def test_mix_rakes_every_value_of_an_axis(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RATES_A_PLAN", 500)
+    rng = random.Random(7)
+    rows = [(i, t, "en", "big" if i % 2 else f"h{rng.randrange(600)}") for i, t in enumerate(texts(4, 4000, 5))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labelled = mixing.label(docs, topics=2)
+    power = {"source": 0.7, "lang": 1.0, "topic": 1.0}
+    got, mix = mixing.mix(labelled, 0.3, power)
+    source = mix.axes[0]
+    assert set(source.names) == {r[3] for r in rows} and np.abs(source.kept - source.goal).max() < 1e-5 * mix.mass.sum()
+    rates = np.array([k / m for k, m in zip(source.kept, np.bincount(mix.codes[0], mix.mass), strict=True)])
+    by_name = dict(zip(source.names, rates, strict=True))
+    small = [n for n in source.names if n != "big"]
+    assert min(by_name[n] for n in small) > by_name["big"] and max(by_name[n] for n in small) > 1.2 * min(by_name[n] for n in small)
+    assert got.count() == 4000 and got.where("probability is null").count() == 0
+    named = {"source": {"h1": 0.5, "h2": 0.5}}  # sources of far less than 0.5 % of the tokens
+    got = mixing.mix(labelled, 0.001, power, named)[0].toPandas()
+    assert (got[got.source.isin(["h1", "h2"])].probability > 0).all() and (got[~got.source.isin(["h1", "h2"]) & (got.tokens > 0)].probability == 0).all()
+
+
 def test_mix_keeps_about_the_budget(spark):
     rng = random.Random(5)
     rows = [(i, t, rng.choice(["en", "en", "fr"]), rng.choice(["a", "a", "b"])) for i, t in enumerate(texts(2, 3000, 5))]
