@@ -20,7 +20,9 @@ from retailmart.llm.common import small_table, stored
 from retailmart.llm.words import words_of
 
 FEATURES = 256
-TOPIC_SAMPLE = 4000  # rows that the topic centres are fitted to, about
+TOPIC_SAMPLE = 4000  # rows that the first topic centres are drawn from, about
+TOPIC_ROUNDS = 20
+UNIT = 1 << 24  # vectors are summed as whole numbers of this part, so no order of tasks shows
 RATES_A_PLAN = 100_000  # rates that one plan carries
 AXES = ("source", "lang", "topic")
 
@@ -36,36 +38,71 @@ def _features(array: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _vectors(batches) -> Iterator[pa.RecordBatch]:
+    """id, text, source, lang to id, source, lang, tokens, v."""
     for batch in batches:
-        rows = [v.tobytes() for _, vectors in _features(batch.column(0)) for v in vectors.astype(np.float32)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["v"])
+        words, rows = [], []
+        for n, vectors in _features(batch.column(1)):
+            words += n.tolist()
+            rows += [v.tobytes() for v in vectors.astype(np.float32)]
+        columns = [batch.column(0), *batch.columns[2:], pa.array(words, pa.int64()), pa.array(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "source", "lang", "tokens", "v"])
+
+
+def _matrix(array: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(array.to_pylist()), np.float32).reshape(-1, FEATURES)
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (vectors.astype(np.float64) @ centres.T).round(9).argmax(1)
+
+
+def _topic_sums(batches, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((len(centres), FEATURES), np.int64)
+    for batch in batches:
+        vectors = _matrix(batch.column(0))
+        best, units = _nearest(vectors, centres), np.rint(vectors.astype(np.float64) * UNIT).astype(np.int64)
+        for k in np.unique(best):
+            sums[k] += units[best == k].sum(0)
+    used = np.flatnonzero(sums.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([sums[k].tobytes() for k in used], pa.binary())], ["topic", "sums"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    total = np.zeros(FEATURES, np.int64)
+    for part in parts.column("sums").to_pylist():
+        total += np.frombuffer(part, np.int64)
+    return pa.table({"topic": parts.column("topic")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
 
+def fit_topics(vectors: DataFrame, topics: int, sample: int = TOPIC_SAMPLE) -> np.ndarray:
+    """Centres of ``topics`` topics, by k-means over all stored ``vectors`` (id, v).
 
-def fit_topics(docs: DataFrame, topics: int, id: str, text: str, rows: int, sample: int = TOPIC_SAMPLE) -> np.ndarray:
-    """Centres of ``topics`` topics, by k-means over about ``sample`` of the ``rows`` documents,
-    chosen by a hash of the id. Documents may be fewer than topics."""
-    u = F.pmod(F.xxhash64(F.col(f"`{id}`"), F.lit("topic sample")), F.lit(1 << 30)) / (1 << 30)
-    chosen = docs.where(u < min(1.0, sample / max(rows, 1))).select(F.col(f"`{text}`").alias("text"))
-    found = sorted(bytes(r["v"]) for r in chosen.mapInArrow(_vectors, "v binary").collect())
-    x = np.array([np.frombuffer(v, np.float32) for v in found], np.float64).reshape(-1, FEATURES)
+    The first centres are drawn from about ``sample`` rows chosen by a hash of the id; each round
+    sums all vectors by their nearest centre on the executors. Documents may be fewer than topics.
+    """
+    u = F.pmod(F.xxhash64("id", F.lit("topic sample")), F.lit(1 << 30)) / (1 << 30)
+    chosen = vectors.where(u < min(1.0, sample / max(vectors.count(), 1))).select("v")
+    x = _matrix(pa.array(sorted(bytes(r["v"]) for r in chosen.collect()), pa.binary())).astype(np.float64)
+    if not len(x):  # one id for all rows may miss the sample
+        x = _matrix(pa.array(sorted(bytes(r["v"]) for r in vectors.select("v").limit(topics).collect()), pa.binary())).astype(np.float64)
     if not len(x):
         return np.zeros((1, FEATURES))
     centres = x[np.linspace(0, len(x) - 1, topics).astype(int)]
-    for _ in range(20):
-        best = (x @ centres.T).argmax(1)
-        sums = np.stack([x[best == k].sum(0) if (best == k).any() else centres[k] for k in range(topics)])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    for _ in range(TOPIC_ROUNDS):
+        parts = vectors.select("v").mapInArrow(partial(_topic_sums, centres=centres), "topic bigint, sums binary")
+        sums = centres.copy()
+        for r in parts.groupBy("topic").applyInArrow(_added, "topic bigint, sums binary").collect():
+            sums[r["topic"]] = np.frombuffer(r["sums"], np.int64) / UNIT
+        before, centres = centres, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        if np.abs(centres - before).max() < 1e-6:
+            break
     return centres
 
 
 def _label(batches, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, topic = [], []
-        for n, vectors in _features(batch.column(1)):
-            words += n.tolist()
-            topic += [f"topic{k}" for k in (vectors @ centres.T).round(9).argmax(1)]
-        columns = [batch.column(0), *batch.columns[2:], pa.array(words, pa.int64()), pa.array(topic, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "source", "lang", "tokens", "topic"])
+        topic = [f"topic{k}" for k in _nearest(_matrix(batch.column(4)), centres)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topic, pa.string())], ["id", "source", "lang", "tokens", "topic"])
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
@@ -192,9 +229,10 @@ def label(docs: DataFrame, topics: int = 8, id: str = "doc_id", text: str = "tex
     """Stored (id, source, lang, tokens, topic): tokens are words; null labels become '(none)'."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in AXES[:2]]
     plain = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), *named)
-    centres = fit_topics(plain, topics, "id", "text", docs.count())
     kind = plain.schema["id"].dataType.simpleString()
-    rows = plain.mapInArrow(
+    rows = stored(plain.mapInArrow(_vectors, f"id {kind}, source string, lang string, tokens bigint, v binary"), "features")
+    centres = fit_topics(rows, topics)
+    rows = rows.mapInArrow(
         partial(_label, centres=centres), f"id {kind}, source string, lang string, tokens bigint, topic string"
     )
     return stored(rows, "labelled")

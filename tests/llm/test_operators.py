@@ -227,6 +227,20 @@ def test_mix_meets_its_targets_at_the_production_budget(spark):
     assert abs(got[got.sampled].tokens.sum() / got.tokens.sum() - 0.8) < 0.03
 
 
+def test_topics_are_fitted_to_all_documents(spark):
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts(11, 900, 20) + [f"q{k % 7} zz yy xx q{k % 5}" for k in range(100)])]
+    docs = spark.createDataFrame(rows, "id bigint, text string, source string, lang string")
+    features = stored(docs.mapInArrow(mixing._vectors, "id bigint, source string, lang string, tokens bigint, v binary"), "features")
+    centres = mixing.fit_topics(features, 3, sample=60)
+    x = np.stack([np.frombuffer(r["v"], np.float32) for r in features.collect()]).astype(np.float64)
+    best = mixing._nearest(x, centres)
+    for k in np.unique(best):  # each centre is the mean direction of all documents nearest to it
+        mean = x[best == k].sum(0)
+        assert np.abs(centres[k] - mean / np.linalg.norm(mean)).max() < 0.02
+    again = mixing.fit_topics(features.repartition(5), 3, sample=60)
+    assert np.array_equal(centres, again)
+
+
 def test_mix_rakes_every_value_of_an_axis(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RATES_A_PLAN", 500)
     rng = random.Random(7)
