@@ -374,18 +374,16 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id",
 def keep_rows(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest id.
 
-    Rows are known by id and text, so an id may be null or stand for several texts. A row without
+    Rows are known by 64 hash bits of id and text, so an id may be null or stand for several texts. A row without
     an id stays only if its group has no id at all; of several texts of the smallest id that of the
     smallest hash stays. Texts without words are kept. Rows equal in id and text are copies.
     """
-    fields = {
-        "no_id": F.col(f"`{id}`").isNull(), "id": F.col(f"`{id}`"),
-        "a": F.xxhash64(F.col(f"`{text}`")), "b": F.xxhash64(F.lit("row"), F.col(f"`{text}`")),
-    }
-    keyed = docs.withColumn("__row", F.struct(*[v.alias(c) for c, v in fields.items()]))
-    found = near_duplicates(keyed, n, percent, "__row", text)
-    chosen = found.where(F.col("__row") == F.col("component_id"))
-    chosen = stored(chosen.select(*[F.col(f"__row.{c}").alias(f"__{c}") for c in fields]).distinct(), "chosen")
-    same = (F.col("__row.a") == F.col("__a")) & (F.col("__row.b") == F.col("__b")) & F.col("__row.id").eqNullSafe(F.col("__id"))
-    one = keyed.join(chosen, same).dropDuplicates(["__a", "__b", "__id"])
-    return one.drop("__row", *[f"__{c}" for c in fields])
+    own = F.col(f"`{id}`")
+    keyed = docs.withColumn("__row", F.xxhash64(own, own.isNull(), F.col(f"`{text}`"), F.col(f"`{text}`").isNull()))
+    found = near_duplicates(keyed, n, percent, "__row", text).select(F.col("__row").alias("__key"), "component_id").distinct()
+    ids = keyed.select("__row", own.isNull().alias("no_id"), own.alias("id")).distinct()
+    ids = ids.join(stored(found, "found"), F.col("__row") == F.col("__key"))
+    chosen = ids.groupBy("component_id").agg(F.min(F.struct("no_id", "id", "__row")).alias("least"))
+    chosen = stored(chosen.select(F.col("least.__row").alias("__key")), "chosen")
+    one = keyed.join(chosen, F.col("__row") == F.col("__key")).drop("__key")
+    return one.dropDuplicates(["__row"]).drop("__row")
