@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailmart.llm import chat, jaccard, language, mixing, packing, pii, quality, sharding, vectors, wordpiece
+from retailmart.llm import chat, contamination, jaccard, language, mixing, packing, pii, quality, ranking, sharding, vectors, whitening, wordpiece
 from retailmart.llm.common import small_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,23 @@ def op10_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op11_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, spans, names = contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination.report(rows, spans, names)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = {
         "op1_minimax_shards": op1_minimax_shards,
@@ -158,9 +175,16 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_linear_grouping_pack": op10_linear_grouping_pack,
+        "op11_qd_whitening": op11_qd_whitening,
+        "op12_nra_search": op12_nra_search,
+        "op13_prefix_decontaminate": op13_prefix_decontaminate,
     }
     return {name: _with_code(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.ORACLE_SQL}
+    return {
+        "op8_chat_format": chat.ORACLE_SQL,
+        "op12_nra_search": ranking.ORACLE_SQL,
+        "op13_prefix_decontaminate": contamination.ORACLE_SQL,
+    }

@@ -1,6 +1,7 @@
 """Words and word n-grams of whole texts, hashed for many texts at once inside a task.
 
-A word is a run of bytes other than space and tab to carriage return. Words and n-grams are
+A word is a run of bytes other than space and tab to carriage return, or of the bytes that a
+caller names (``ALNUM``). Words and n-grams are
 known by 64-bit hashes that don't depend on process or machine; two different n-grams of one
 comparison share a hash with a probability of about 2^-64 for each pair.
 """
@@ -17,8 +18,10 @@ CHUNK_BYTES = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SOLID = np.ones(256, bool)  # bytes of a word: all but white space
+SOLID[[0x20, *range(0x09, 0x0E)]] = False
+ALNUM = np.ones(256, bool)  # bytes of a term: digits, letters, and whatever is not ASCII
+ALNUM[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
-def words_of(array: pa.Array, lower: bool = False) -> Iterator[Words]:
+def words_of(array: pa.Array, lower: bool = False, solid_bytes: np.ndarray = SOLID) -> Iterator[Words]:
     """Whole texts in row order, about CHUNK_BYTES at a time (a longer text by itself)."""
     cuts, data = text_buffers(array)
     table = _BYTE_LOWER if lower else _BYTE
@@ -95,7 +98,7 @@ def words_of(array: pa.Array, lower: bool = False) -> Iterator[Words]:
         after = min(max(after, first + 1), len(array))
         piece, own = data[cuts[first] : cuts[after]], cuts[first : after + 1] - cuts[first]
         n = len(piece)
-        solid = ~_SPACE[piece]
+        solid = solid_bytes[piece]
         fresh = np.zeros(n + 1, bool)  # a text begins here, or the data end
         fresh[own] = True
         start = np.flatnonzero(solid & (fresh[:-1] | ~np.concatenate(([False], solid[:-1]))))
