@@ -12,7 +12,7 @@ import importlib.util
 import os
 import sys
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -63,16 +63,13 @@ def _clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return prepare_tables(raw_from_testdata(spark, sf_dir), LINE_ORDER)
 
 
-def _common_types(df: DataFrame, digits: Mapping[str, int] | None = None) -> DataFrame:
-    """Whole numbers as bigint; sums and means rounded, as in the SQL."""
-    digits = digits or {}
+def _common_types(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, as in the SQL."""
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.IntegralType):
             column = column.cast("bigint")
-        elif field.name in digits:
-            column = F.round(column, digits[field.name])
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
@@ -102,7 +99,6 @@ def _rejected(child: str, parent: str, key: str) -> Query:
 def _report(
     function: Callable[..., DataFrame],
     *tables: str,
-    digits: Mapping[str, int] | None = None,
     **parameters,
 ) -> Query:
     """A report over stored tables, given by name in the order of its arguments."""
@@ -110,7 +106,7 @@ def _report(
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         stored = warehouse(spark, sf_dir)
         frame = function(*(stored[name] for name in tables), **parameters)
-        return _common_types(frame, digits)
+        return _common_types(frame)
 
     return query
 
@@ -498,12 +494,13 @@ def own_queries() -> dict[str, Query]:
             "Product",
             "Manufacturer",
         ),
-        "priced_sales": _report(priced_sales, *_PRICED, digits={"Revenue": 2}),
+        "priced_sales": _report(priced_sales, *_PRICED),
         "actual_vs_predicted": _report(
             reports.actual_vs_predicted,
             *_PRICED,
             "BelongTo",
-            category=CATEGORY, digits={"ActualRevenue": 4, "PredictedRevenue": 4, "Difference": 4}),
+            category=CATEGORY,
+        ),
         "states": _report(reports.states, "City"),
         "store_revenue_by_year": _report(
             reports.store_revenue_by_year, *_LOCATED

@@ -188,8 +188,9 @@ CTES: dict[str, str] = {
     # --------------------------------------------------- shared by several reports
     "joined_prices": """
         SELECT s.*, p.retail_price, o.SalePrice,
-               CAST(s.quantity * CASE WHEN o.SalePrice IS NULL THEN p.retail_price
-                                      ELSE o.SalePrice END AS DECIMAL(28, 10)) AS amount
+               CAST(s.quantity AS DECIMAL(15, 0)) * CAST(CAST(
+                   CASE WHEN o.SalePrice IS NULL THEN p.retail_price ELSE o.SalePrice END
+                   AS VARCHAR) AS DECIMAL(20, 10)) AS amount
         FROM loaded_sold AS s
         LEFT JOIN loaded_product AS p USING (PID)
         LEFT JOIN loaded_onsale AS o USING (PID, CalendarDate)""",
@@ -226,7 +227,7 @@ CTES: dict[str, str] = {
         WHERE m.EmploymentStatus = 1""",
     "joined_bands": """
         SELECT Year, city_size AS Population_Category,
-               CAST(sum(revenue) AS DOUBLE) / count(*) AS Average_Revenue
+               CAST(CAST(sum(revenue) AS VARCHAR) AS DOUBLE) / count(*) AS Average_Revenue
         FROM (SELECT year(CalendarDate) AS Year, CityState, city_size, sum(amount) AS revenue
               FROM joined_prices LEFT JOIN joined_stores USING (StoreNumber)
               GROUP BY ALL)
@@ -384,7 +385,7 @@ BODIES: dict[str, str] = {
     "simple_count": "SELECT count(*) AS count FROM loaded_sold",
     "manufacturer_product": """
         SELECT m.ManufacturerName, m.max_discount, count(p.PID) AS TotalProduct,
-               CAST(CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DECIMAL(28, 6)) AS DOUBLE)
+               CAST(CAST(sum(CAST(CAST(p.retail_price AS VARCHAR) AS DECIMAL(20, 10))) AS VARCHAR) AS DOUBLE)
                    / count(p.retail_price) AS ave_retail_price,
                min(p.retail_price) AS min_retail_price, max(p.retail_price) AS max_retail_price
         FROM loaded_manufacturer AS m LEFT JOIN loaded_product AS p USING (ManufacturerName)
@@ -397,7 +398,7 @@ BODIES: dict[str, str] = {
     "category_report": """
         SELECT c.CategoryName, count(b.PID) AS TotalProduct,
                count(DISTINCT m.ManufacturerName) AS TotalManufacturer,
-               CAST(CAST(sum(CAST(p.retail_price AS DECIMAL(28, 10))) AS DECIMAL(28, 6)) AS DOUBLE)
+               CAST(CAST(sum(CAST(CAST(p.retail_price AS VARCHAR) AS DECIMAL(20, 10))) AS VARCHAR) AS DOUBLE)
                    / count(p.retail_price) AS AvePrice
         FROM loaded_category AS c
         LEFT JOIN loaded_belongto AS b USING (CategoryName)
@@ -411,7 +412,7 @@ BODIES: dict[str, str] = {
                    AS RetailQuantity,
                CAST(CASE WHEN SalePrice IS NULL THEN 0 ELSE quantity END AS BIGINT)
                    AS SaleQuantity,
-               CAST(CAST(amount AS DECIMAL(28, 6)) AS DOUBLE) AS Revenue
+               CAST(CAST(amount AS VARCHAR) AS DOUBLE) AS Revenue
         FROM joined_prices""",
     "actual_vs_predicted": """
         SELECT * FROM (
@@ -421,11 +422,11 @@ BODIES: dict[str, str] = {
                        AS TotalUnitsSoldNoDiscount,
                    CAST(coalesce(sum(quantity) FILTER (SalePrice IS NOT NULL), 0) AS BIGINT)
                        AS TotalUnitsSoldWithDiscount,
-                   CAST(CAST(sum(amount) AS DECIMAL(28, 6)) AS DOUBLE) AS ActualRevenue,
-                   CAST(CAST(sum(predicted) AS DECIMAL(28, 6)) AS DOUBLE) AS PredictedRevenue,
-                   CAST(CAST(sum(amount - predicted) AS DECIMAL(28, 6)) AS DOUBLE) AS Difference
-            FROM (SELECT *, CAST(retail_price * quantity
-                            * CASE WHEN SalePrice IS NULL THEN 1.00 ELSE 0.75 END AS DECIMAL(28, 10)) AS predicted
+                   CAST(CAST(sum(amount) AS VARCHAR) AS DOUBLE) AS ActualRevenue,
+                   CAST(CAST(sum(predicted) AS VARCHAR) AS DOUBLE) AS PredictedRevenue,
+                   CAST(CAST(sum(amount - predicted) AS VARCHAR) AS DOUBLE) AS Difference
+            FROM (SELECT *, CAST(CAST(retail_price AS VARCHAR) AS DECIMAL(20, 10)) * CAST(quantity AS DECIMAL(10, 0))
+                            * CASE WHEN SalePrice IS NULL THEN 1.00 ELSE 0.75 END AS predicted
                   FROM joined_prices)
             JOIN (SELECT PID, product_name FROM loaded_product) USING (PID)
             WHERE PID IN (SELECT PID FROM loaded_belongto WHERE CategoryName = 'ECONOMY')
@@ -434,12 +435,12 @@ BODIES: dict[str, str] = {
     "states": "SELECT DISTINCT State FROM loaded_city",
     "store_revenue_by_year": """
         SELECT State, StoreNumber, street_address, CityName, year(CalendarDate) AS Year,
-               CAST(CAST(sum(amount) AS DECIMAL(28, 6)) AS DOUBLE) AS TotalRevenue
+               CAST(CAST(sum(amount) AS VARCHAR) AS DOUBLE) AS TotalRevenue
         FROM joined_prices JOIN joined_stores USING (StoreNumber)
         GROUP BY ALL""",
     "store_revenue_by_year_asia": """
         SELECT StoreNumber, street_address, CityName, year(CalendarDate) AS Year,
-               CAST(CAST(sum(amount) AS DECIMAL(28, 6)) AS DOUBLE) AS TotalRevenue
+               CAST(CAST(sum(amount) AS VARCHAR) AS DOUBLE) AS TotalRevenue
         FROM joined_prices JOIN joined_stores USING (StoreNumber)
         WHERE State = 'ASIA'
         GROUP BY ALL""",

@@ -8,16 +8,16 @@ from .columns import (
     repair_discount,
     year_month_label,
 )
-from .money import money, money_sum, money_units
+from .money import amount, money, money_sum
 
 __all__ = [
     "city_state",
     "date_from_parts",
     "full_name",
     "in_period",
+    "amount",
     "money",
     "money_sum",
-    "money_units",
     "parse_form_date",
     "population_band",
     "repair_discount",

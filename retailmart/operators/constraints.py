@@ -41,7 +41,7 @@ def domain_failures(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
     for target in schema:
         column, source = F.col(target.name), df.schema[target.name].dataType
         if isinstance(source, (T.DoubleType, T.FloatType)):
-            unfit = F.isnan(column) | column.try_cast(target.dataType).isNull()
+            unfit = F.isnan(column) | (F.abs(column) == float("inf")) | column.try_cast(target.dataType).isNull()
         elif source != target.dataType:
             unfit = column.try_cast(target.dataType).isNull()
         else:

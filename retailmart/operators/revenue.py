@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import amount, money
+
 
 def match_sale_price(sold: DataFrame, onsale: DataFrame) -> DataFrame:
     """Split each sale's quantity into full-price and discounted units.
@@ -23,10 +25,15 @@ def match_sale_price(sold: DataFrame, onsale: DataFrame) -> DataFrame:
     )
 
 
+def sale_amount():
+    """The exact amount of a matched sale, its product's retail_price joined; null without one
+    that is needed. A sale is either at full price or at the day's."""
+    price = F.when(F.col("RetailQuantity") != 0, F.col("retail_price")).otherwise(F.col("SalePrice"))
+    return amount(price, F.col("RetailQuantity") + F.col("SaleQuantity"))
+
+
 def priced_sales(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:
     """Sales with retail_price, SalePrice, RetailQuantity, SaleQuantity and Revenue."""
     prices = product.select("PID", "retail_price")
     matched = match_sale_price(sold, onsale)
-    full = F.col("retail_price") * F.col("RetailQuantity")
-    discounted = F.col("SalePrice") * F.col("SaleQuantity")
-    return matched.join(prices, "PID", "left").withColumn("Revenue", full + discounted)
+    return matched.join(prices, "PID", "left").withColumn("Revenue", money(sale_amount()))

@@ -8,14 +8,15 @@ its sides, and would shuffle the sales to meet it.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import in_period, money, money_sum, money_units, year_month_label
+from ..functions import amount, in_period, money, money_sum, year_month_label
 from ..functions.columns import BAND_NAMES
 from ..operators.constraints import union_all
-from ..operators.revenue import match_sale_price
+from ..operators.revenue import match_sale_price, sale_amount
 
 # The categories, rates and limits the standard reports use.
 PREDICTION_CATEGORY = "GPS"
@@ -24,6 +25,8 @@ PREDICTION_THRESHOLD = 5000
 GROUNDHOG_CATEGORY = "Air Conditioner"
 DAYS_PER_YEAR = 365.0  # leap years included
 TOP_MANUFACTURERS = 100
+UPLIFT_STEP = Decimal("0.001")
+PREDICTED = "decimal(36,13)"  # an amount times an uplift
 COUNTED_TABLES = ("Store", "Manufacturer", "Product", "Manager")
 
 
@@ -36,7 +39,14 @@ def _month():
 
 
 def _mean_price():
-    return money(money_sum(money_units(F.col("retail_price")))) / F.count("retail_price")
+    return money(money_sum(amount(F.col("retail_price"), F.lit(1)))) / F.count("retail_price")
+
+
+def _broadcast_fits(table: DataFrame) -> bool:
+    """Whether Spark would broadcast the table by its size, as far as it is known."""
+    plan = table._jdf.queryExecution().optimizedPlan()
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(plan.stats().sizeInBytes())) <= limit
 
 
 def simple_count(table: DataFrame) -> DataFrame:
@@ -152,7 +162,8 @@ def actual_vs_predicted(
 ) -> DataFrame:
     """Products whose revenue differs from the one predicted without discounts.
 
-    The prediction sells ``uplift`` of the discounted units at full price. A sale
+    The prediction sells ``uplift`` of the discounted units at full price; it counts to
+    three places. A sale
     price holds for a product and day, so sales are summed by those before they
     meet the prices, and products join only the final sums.
     """
@@ -162,20 +173,16 @@ def actual_vs_predicted(
         .agg(
             F.sum("RetailQuantity").alias("TotalUnitsSoldNoDiscount"),
             F.sum("SaleQuantity").alias("TotalUnitsSoldWithDiscount"),
-            money_sum(money_units(F.col("SalePrice") * F.col("SaleQuantity"))).alias("_discounted"),
+            money_sum(amount(F.col("SalePrice"), F.col("SaleQuantity"))).alias("_discounted"),
         )
     )
     full, discounted = F.col("TotalUnitsSoldNoDiscount"), F.col("TotalUnitsSoldWithDiscount")
-    retail = F.col("retail_price")
+    retail, part = F.col("retail_price"), Decimal(str(uplift)).quantize(UPLIFT_STEP)
+    predicted = (amount(retail, full) + amount(retail, discounted) * F.lit(part)).cast(PREDICTED)
+    actual = (amount(retail, full) + F.col("_discounted")).cast(PREDICTED)
     return (
         units.join(product.select("PID", "product_name", "retail_price"), "PID", "left")
-        .withColumns(
-            {
-                "TotalUnitsSold": full + discounted,
-                "_actual": money_units(retail * full) + F.col("_discounted"),
-                "_predicted": money_units(retail * (full + discounted * uplift)),
-            }
-        )
+        .withColumns({"TotalUnitsSold": full + discounted, "_actual": actual, "_predicted": predicted})
         .withColumns(
             {
                 "ActualRevenue": money(F.col("_actual")),
@@ -204,26 +211,26 @@ def states(city: DataFrame) -> DataFrame:
 
 
 def _store_years(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:
-    """Revenue by store and year, in exact units.
+    """Revenue by store and year, as exact amounts.
 
-    Stored sales meet their sale prices in place and are summed by store, product and
-    year before the prices of products join, so that no single sale is shuffled by a hot
-    product.
+    Stored sales meet their sale prices in place. Where the prices of products can be
+    broadcast, sales are priced and summed where they are read. Else they are summed by
+    store, product and year first, so that no single sale is shuffled by a hot product.
     """
-    discounted = money_units(F.col("SalePrice") * F.col("SaleQuantity"))
-    sums = (
-        match_sale_price(sold, onsale)
-        .groupBy("StoreNumber", "PID", _year())
-        .agg(
-            F.sum("RetailQuantity").alias("RetailQuantity"),
-            money_units(money_sum(discounted)).alias("_discounted"),
-        )
+    prices = product.select("PID", "retail_price")
+    matched = match_sale_price(sold, onsale)
+    if _broadcast_fits(prices):
+        priced = matched.join(prices, "PID", "left").withColumn("_amount", sale_amount())
+        return priced.groupBy("StoreNumber", _year()).agg(money_sum(F.col("_amount")).alias("_amount"))
+    sums = matched.groupBy("StoreNumber", "PID", _year()).agg(
+        F.sum("RetailQuantity").alias("RetailQuantity"),
+        money_sum(amount(F.col("SalePrice"), F.col("SaleQuantity"))).alias("_discounted"),
     )
-    full = F.coalesce(F.col("retail_price") * F.col("RetailQuantity"), F.lit(0.0))
+    full = F.coalesce(amount(F.col("retail_price"), F.col("RetailQuantity")), F.lit(0))
     return (
-        sums.join(product.select("PID", "retail_price"), "PID", "left")
+        sums.join(prices, "PID", "left")
         .groupBy("StoreNumber", "Year")
-        .agg(money_sum(money_units(full) + F.col("_discounted")).alias("_units"))
+        .agg(money_sum(full + F.col("_discounted")).alias("_amount"))
     )
 
 
@@ -248,7 +255,7 @@ def store_revenue_by_year(
         sold = sold.join(local, "StoreNumber", "left_semi")
     years = _store_years(sold, onsale, product)
     located = years.join(store, "StoreNumber").join(places, "CityState")
-    revenue = money(F.col("_units")).alias("TotalRevenue")
+    revenue = money(F.col("_amount")).alias("TotalRevenue")
     columns = ["StoreNumber", "street_address", "CityName", "Year", revenue]
     if state is None:
         columns.insert(0, "State")
@@ -339,15 +346,30 @@ def top_state_per_category(
     """
     periods = [c for c, part in (("Year", year), ("Month", month)) if part is None]
     units = (
-        _category_sales(sold, belongto, year, month)
-        .join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
-        .join(city.select("CityState", "State"), "CityState", "left")
+        _category_states(sold, store, city, belongto, year, month)
         .groupBy("CategoryName", "State", *periods)
         .agg(F.sum("quantity").alias("Quantity"))
     )
     return _leaders(units)
 
 
+def _category_states(
+    sold: DataFrame, store: DataFrame, city: DataFrame, belongto: DataFrame, year: int | None, month: int | None
+) -> DataFrame:
+    """Units by category, product, state and open period.
+
+    Where stores and cities can be broadcast, sales are summed by product and state, of which
+    there are far fewer than of product and store, where they are read.
+    """
+    places, states_of = store.select("StoreNumber", "CityState"), city.select("CityState", "State")
+    if not (_broadcast_fits(places) and _broadcast_fits(states_of)):
+        sums = _category_sales(sold, belongto, year, month)
+        return sums.join(places, "StoreNumber", "left").join(states_of, "CityState", "left")
+    located = _period_sales(sold, year, month).join(places, "StoreNumber", "left").join(states_of, "CityState", "left")
+    sums = located.groupBy("PID", "State", *_periods(year, month)).agg(F.sum("quantity").alias("quantity"))
+    return sums.join(belongto.filter("CategoryName IS NOT NULL"), "PID")
+
+
 def _leaders(units: DataFrame) -> DataFrame:
     parts = [c for c in ("Year", "Month") if c in units.columns]
     best = Window.partitionBy("CategoryName", *parts).orderBy(F.desc("Quantity"))
@@ -458,11 +480,11 @@ def revenue_by_population(
         .join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
         .join(bands, "CityState", "left")
         .groupBy("Year", "_city", "city_size")
-        .agg(F.sum("_units").alias("_units"))
+        .agg(money_sum(F.col("_amount")).alias("_amount"))
     )
     return (
         cities.groupBy("Year", F.col("city_size").alias("Population_Category"))
-        .agg((money(F.sum("_units")) / F.count("*")).alias("Average_Revenue"))
+        .agg((money(money_sum(F.col("_amount"))) / F.count("*")).alias("Average_Revenue"))
         .orderBy("Year", F.desc("Population_Category"))
     )
 

@@ -65,6 +65,15 @@ def test_domain(spark):
     assert rows(rejected, "reason") == [("a is no int",), ("b is no date",)]
 
 
+def test_loads_reject_infinite_prices(spark, tables):
+    rows = table(spark, "Product", [(1, "x", float("inf"), "M"), (2, "y", 2.0, "N"), (3, "z", float("nan"), "N")])
+    accepted, rejected = check_table(TABLES["Product"], rows, tables)
+    assert [x["PID"] for x in accepted.collect()] == [2]
+    assert {(x["PID"], x["reason"]) for x in rejected.collect()} == {
+        ("1", "retail_price is no double"), ("3", "retail_price is no double")
+    }
+
+
 def test_domain_rejects_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "a double")
     accepted, rejected = c.check_domain(df, df.schema)

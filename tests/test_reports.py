@@ -1,6 +1,7 @@
 """Report edges on hand-made tables."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 
@@ -222,3 +223,49 @@ def test_views_follow_the_tables(t, spark):
     assert spark.sql("SELECT * FROM Report7_Before_Pivot").count() == 4
     create_views({**t, "City": t["City"].filter("State = 'T'")}, category="K")
     assert listed(spark.table("States")) == [("T",)]
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_money_of_a_hot_product_is_exact(spark, t, broadcast):
+    """Products and sums of doubles would show their rounding."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    prices = {1: 12.679983, 2: 0.1, 3: 987.654321}
+    days = [D1 + dt.timedelta(days=k) for k in range(300)]
+    sales = [(1 + k % 4, 1 if k % 3 else 2 + k % 2, day, 10_007 * (k + 1)) for k, day in enumerate(days)]
+    offers = [(1, day, 11.123457) for day in days[::7]] + [(2, day, 0.070001) for day in days[::5]]
+    tables = {
+        **t,
+        "Sold": table(spark, "Sold", sales),
+        "OnSale": table(spark, "OnSale", offers),
+        "Product": table(spark, "Product", [(pid, "x", price, "M") for pid, price in prices.items()]),
+    }
+    offered = {(pid, day): price for pid, day, price in offers}
+    exact = {}
+    for store, pid, day, units in sales:
+        part = Decimal(str(offered.get((pid, day), prices[pid]))) * units
+        exact[store, day.year] = exact.get((store, day.year), Decimal(0)) + part
+    located = [tables[n] for n in ("Sold", "OnSale", "Product", "Store", "City")]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        found = {(x["StoreNumber"], x["Year"]): x["TotalRevenue"] for x in r.store_revenue_by_year(*located).collect()}
+        assert found == {key: float(value) for key, value in exact.items() if key[0] != 3}
+        cities = r.revenue_by_population(*located).where("Year = 2001 AND Population_Category = 'Small'").first()
+        assert cities["Average_Revenue"] == float(exact[1, 2001] + exact[4, 2001]) / 2
+        one = r.actual_vs_predicted(*located[:3], t["BelongTo"], category="L", uplift=0.333, threshold=0).first()
+        full = sum(q for _, p, d, q in sales if p == 1 and (p, d) not in offered)
+        less = sum(q for _, p, d, q in sales if p == 1 and (p, d) in offered)
+        retail = Decimal(str(prices[1]))
+        predicted = retail * full + retail * less * Decimal("0.333")
+        actual = retail * full + Decimal("11.123457") * less
+        assert [one[c] for c in ("ActualRevenue", "PredictedRevenue", "Difference")] == [
+            float(actual), float(predicted), float(actual - predicted)
+        ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("price", [float("inf"), 1e12])
+def test_amounts_that_do_not_fit_are_errors(spark, t, price):
+    product = table(spark, "Product", [(1, "x", price, "M"), (2, "y", 20.0, "M"), (3, "z", 5.0, "N")])
+    with pytest.raises(Exception, match="no exact amount of money"):
+        r.store_revenue_by_year(t["Sold"], t["OnSale"].limit(0), product, t["Store"], t["City"]).collect()
