@@ -121,8 +121,9 @@ def _pivot(*tables: DataFrame) -> DataFrame:
 
 def _view(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        warehouse(spark, sf_dir).create_views(CATEGORY)
-        return _common_types(spark.table(name))
+        stored = warehouse(spark, sf_dir)
+        stored.create_views(CATEGORY)
+        return _common_types(stored.view(name))
 
     return query
 

@@ -86,6 +86,10 @@ def check_domain(df: DataFrame, schema: T.StructType) -> Split:
     return accepted.withColumns(casts), rejected
 
 
+def duplicate_key(keys: Sequence[str]) -> Column:
+    return F.lit(f"duplicate key ({', '.join(keys)})")
+
+
 def check_primary_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -99,7 +103,7 @@ def check_primary_key(
     whole hot key.
     """
     keys = list(keys)
-    duplicate = F.lit(f"duplicate key ({', '.join(keys)})")
+    duplicate = duplicate_key(keys)
     accepted = keep_first(df, keys, order)
     lines = [*keys, *(c for c in order if c not in keys)]
     won = accepted.select(*(F.col(c).alias(f"_won_{c}") for c in lines))
@@ -112,7 +116,7 @@ def check_primary_key(
     return accepted.select(*df.columns), rejected.withColumn(REASON, duplicate)
 
 
-def _no_parent(keys: Sequence[str]) -> str:
+def no_parent(keys: Sequence[str]) -> str:
     return f"no parent for ({', '.join(keys)})"
 
 
@@ -133,7 +137,7 @@ def check_foreign_keys(
         known, flag = parent.select(*keys), f"_parent{number}"
         accepted = accepted.join(known, list(keys), "left_semi")
         judged = judged.join(known.withColumn(flag, F.lit(True)), list(keys), "left")
-        failures[_no_parent(keys)] = F.col(flag).isNull()
+        failures[no_parent(keys)] = F.col(flag).isNull()
     _, rejected = split_rows(judged, failures)
     return accepted.select(*child.columns), rejected.select(*child.columns, REASON)
 

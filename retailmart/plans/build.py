@@ -168,6 +168,16 @@ def build_assignedto(stores: DataFrame) -> DataFrame:
     return _distinct(stores, {"manageremail": "Email", "storeid": "StoreNumber"})
 
 
+# The raw dataset that each table is built from.
+DATASETS: Mapping[str, str] = {
+    **dict.fromkeys(("City", "Store", "Manager", "AssignedTo"), "stores"),
+    **dict.fromkeys(("Manufacturer", "Product", "Category", "BelongTo"), "products"),
+    **dict.fromkeys(("Cdate", "Sold"), "sales"),
+    "Holiday": "holidays",
+    "OnSale": "saleprices",
+}
+
+
 def prepare_tables(
     raw: Mapping[str, DataFrame],
     order: Mapping[str, Sequence[str]] | None = None,

@@ -13,14 +13,15 @@ from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
     create_tables,
     is_loaded,
+    read_rejects,
     read_table,
     replace_table,
-    write_table,
+    write_judged,
 )
-from .build import prepare_tables
-from .load import check_table
+from .build import DATASETS, prepare_tables
+from .load import judge_table
 from .reports import GROUNDHOG_CATEGORY
-from .views import create_views
+from .views import VIEW_TABLES, create_catalog_views
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,13 +43,16 @@ class Warehouse(Mapping[str, DataFrame]):
 
     Asking for a table cleans, checks and stores it once, after its parents; later
     uses read the stored files. So a report runs only the loads it needs, and the
-    work of a load is never repeated in a report. ``buckets`` is the number of buckets of
-    the large tables, by default ``spark.sql.shuffle.partitions``; at about one for each
-    128 MB of sales a bucket fits a task.
-
-    ``database`` opens the warehouse of that name: tables that were loaded before are read
-    as they were left, edits included, and only what is absent is created. It lasts as
-    long as the session's catalog does; ``raw`` is read only for tables not loaded yet.
+    work of a load is never repeated in a report. One job stores what a load accepts and
+    what it rejects. ``buckets`` is the number of buckets of the large tables, by default
+    ``spark.sql.shuffle.partitions``; at about one for each 128 MB of sales a bucket fits
+    a task.
+
+    ``location`` opens the tables that an earlier application left in that folder, as their
+    newest versions are, edits, appended rows and rejects included; ``database`` those that
+    the session's catalog still knows by that name. Only what is absent is created, and
+    ``raw`` is read only for tables not loaded yet. One application at a time writes to a
+    location.
     """
 
     def __init__(
@@ -63,15 +67,17 @@ class Warehouse(Mapping[str, DataFrame]):
         name = database or f"retailmart_{uuid.uuid4().hex[:12]}"
         self.spark = spark
         self.database = name
-        self.location = location or f"{shared_folder(spark)}/{name}"
+        self.location = (location or f"{shared_folder(spark)}/{name}").rstrip("/")
         # Sale prices are checked against the stored products: one that did not
         # load fails the foreign key of its prices anyway.
         self._clean = prepare_tables(raw, order, prices=self)
-        self._view_category: str | None = None
+        # Rows accepted and rejected by the loads and appends of this object.
+        self.counts: dict[str, tuple[int, int]] = {}
         create_tables(
             spark, name, self.location, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         )
-        self._loaded = {table for table in TABLES if database and is_loaded(spark, name, table)}
+        reopened = database is not None or location is not None
+        self._loaded = {table for table in TABLES if reopened and is_loaded(spark, name, table)}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -98,23 +104,63 @@ class Warehouse(Mapping[str, DataFrame]):
         """Store a new version of a table, as a change operator returned it."""
         self[name]
         replace_table(self.spark, self.database, self.location, name, rows)
-        if self._view_category is not None:  # views show the edit at their next read
-            create_views(self, self._view_category)
+
+    def replace_all(self, tables: Mapping[str, DataFrame]) -> None:
+        """Store new versions of several tables, such as a cascade changes, parents first.
+
+        The new rows may read the old versions of any of them. Tables given as they are
+        stored, without any operation on them, are left alone.
+        """
+        changed = {n: tables[n] for n in LOAD_ORDER if n in tables and not tables[n].sameSemantics(self[n])}
+        for name, rows in changed.items():
+            self.replace(name, rows)
+
+    def append(
+        self, raw: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None
+    ) -> dict[str, tuple[int, int]]:
+        """Add a further batch of raw datasets: (rows accepted, rows rejected) by table.
+
+        The batch is cleaned by itself, then checked against the stored tables: a key that is
+        stored is a duplicate, so the first insert wins across loads, and parents may be
+        stored or in the batch. Datasets that are left out add nothing. Accepted rows become
+        further files of their buckets. The tables are appended to one after the other,
+        parents first; after a failure the batch can be appended again, as what was stored of
+        it is then rejected as duplicates.
+        """
+        clean = prepare_tables(raw, order, prices=self)
+        counts = {}
+        for name in LOAD_ORDER:
+            stored = self[name]
+            if DATASETS[name] in raw:
+                judged = judge_table(TABLES[name], clean[name], self, cleaned=True, existing=stored)
+                counts[name] = write_judged(self.spark, self.database, name, judged, append=True)
+                self._count(name, counts[name])
+        return counts
 
     def create_views(self, category: str = GROUNDHOG_CATEGORY) -> None:
-        """Register the three views over the stored tables."""
-        create_views(self, category)
-        self._view_category = category
+        """Create or replace the three views in the warehouse's database; loads no table."""
+        create_catalog_views(self.spark, self.database, category)
+
+    def view(self, name: str) -> DataFrame:
+        """A view, after loading only the tables it reads."""
+        for table in VIEW_TABLES[name]:
+            self[table]
+        if not self.spark.catalog.tableExists(f"`{self.database}`.`{name}`"):
+            self.create_views()
+        return self.spark.table(f"`{self.database}`.`{name}`")
 
     def rejects(self, name: str) -> DataFrame:
-        """The cleaned rows that a load of the table leaves out, as text with the reason."""
-        return self._check(name)[1]
+        """The cleaned rows that the loads of a table left out, as text with the reason."""
+        self[name]
+        return read_rejects(self.spark, self.database, name)
 
-    def _check(self, name: str) -> tuple[DataFrame, DataFrame]:
-        spec = TABLES[name]
-        parents = {key.parent: self[key.parent] for key in spec.foreign_keys}
-        return check_table(spec, self._clean[name], parents, cleaned=True)
+    def _count(self, name: str, counts: tuple[int, int]) -> None:
+        before = self.counts.get(name, (0, 0))
+        self.counts[name] = (before[0] + counts[0], before[1] + counts[1])
 
     def _load(self, name: str) -> None:
-        write_table(self.spark, self.database, name, self._check(name)[0])
+        spec = TABLES[name]
+        parents = {key.parent: self[key.parent] for key in spec.foreign_keys}
+        judged = judge_table(spec, self._clean[name], parents, cleaned=True)
+        self._count(name, write_judged(self.spark, self.database, name, judged))
         self._loaded.add(name)

@@ -1,4 +1,7 @@
 import datetime as dt
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -6,13 +9,16 @@ from pyspark.sql import functions as F
 
 from retailmart.operators.changes import update_population
 from retailmart.plans.build import prepare_tables
-from retailmart.plans.load import load_tables
+from retailmart.operators.constraints import delete_cascade
+from retailmart.operators.revenue import match_sale_price
+from retailmart.plans.load import check_table, judge_table, load_tables
+from retailmart.plans.views import VIEW_NAMES, create_views
 from retailmart.plans.warehouse import Warehouse, shared_folder
 from retailmart.schema import RAW_SCHEMAS, TABLES, load_levels
 from retailmart.sources import catalog
 from retailmart.sources.files import read_clean, read_raw, write_clean
 
-D1, D2 = dt.date(2001, 3, 4), dt.date(2001, 3, 5)
+D1, D2, D3 = dt.date(2001, 3, 4), dt.date(2001, 3, 5), dt.date(2001, 3, 6)
 
 RAW_ROWS = {
     "stores": [
@@ -180,11 +186,24 @@ def test_warehouse_names_what_a_load_leaves_out(spark, raw):
 def test_views_show_an_edit_at_the_next_read(spark, raw):
     stored = Warehouse(spark, raw)
     stored.create_views("K")
-    assert rows(spark.table("Report7_Before_Pivot")) == [(2001, "Medium", 20.0)]
+    assert rows(stored.view("States")) == [("S",)]
+    assert stored._loaded == {"City"}  # no other table was needed
+    assert rows(stored.view("Report7_Before_Pivot")) == [(2001, "Medium", 20.0)]
     stored.replace("City", stored["City"].withColumn("city_size", F.lit("Small")))
-    assert rows(spark.table("Report7_Before_Pivot")) == [(2001, "Small", 20.0)]
+    assert rows(stored.view("Report7_Before_Pivot")) == [(2001, "Small", 20.0)]
     stored.replace("City", stored["City"].filter("State = 'none'"))
-    assert rows(spark.sql("SELECT * FROM States")) == []
+    assert rows(spark.sql(f"SELECT * FROM {stored.database}.States")) == []
+
+
+@pytest.mark.parametrize("category", ["K", "it's \\\\ odd", "none"])
+def test_catalog_views_agree_with_the_reports(spark, raw, category):
+    named = raw["products"].withColumn("categoryname", F.when(F.col("productid") == 1, category).otherwise(F.col("categoryname")))
+    stored = Warehouse(spark, {**raw, "products": named})
+    stored.create_views(category)
+    create_views(stored, category)
+    for name in VIEW_NAMES:
+        assert rows(stored.view(name)) == rows(spark.table(name))
+    assert len(rows(stored.view("Report5_ACGroundhog"))) == 1
 
 
 def test_bucketed_table_can_be_replaced(spark, raw):
@@ -195,6 +214,127 @@ def test_bucketed_table_can_be_replaced(spark, raw):
     assert stored_tables(spark, stored) == set(TABLES)
 
 
+def test_one_job_stores_what_is_accepted_and_rejected(spark, raw):
+    stored = Warehouse(spark, raw, buckets=2)
+    stored.load_all()
+    assert {n: rows(stored[n]) for n in stored} == LOADED
+    _, rejects = load_tables(prepare_tables(raw))
+    for name in stored:
+        assert rows(stored.rejects(name)) == rows(rejects[name])
+        assert stored.counts[name] == (len(LOADED[name]), rejects[name].count())
+    assert stored.rejects("Sold").count() == 1
+    before = stored._clean
+    stored._clean = {}  # rejects are read, not made again
+    assert rows(stored.rejects("Holiday")) == [("2030-01-01", "far", "no parent for (CalendarDate)")]
+    stored._clean = before
+
+
+DIRTY = {
+    "Store": [
+        ("1", "p", "a", "A, S"), ("1", "q", "b", "A, S"), ("1", "q", "b", "A, S"), ("x", "p", "a", "A, S"), ("2.0", "p", "a", "A, S"),
+        ("3", None, "a", "A, S"), ("4", "p" * 51, "a", "A, S"), ("5", "p", "a", "gone"), (None, "p", "a", "A, S"), ("6", "p", "a", "A, S"),
+    ],
+    "City": [("A, S", "A", "S", "1", "Small"), ("A, S", "A", "S", "1", "Small"), ("B, S", "B", "S", "-1", "Small"), ("C, S", "C", "S", "many", "Small")],
+}
+
+
+@pytest.mark.parametrize("name", DIRTY)
+@pytest.mark.parametrize("order", [(), ("line",)])
+def test_verdicts_agree_with_the_lazy_checks(spark, name, order):
+    spec = TABLES[name]
+    schema = ", ".join(f"{c} string" for c in spec.columns)
+    table = spark.createDataFrame(DIRTY[name], schema).coalesce(1).withColumn("line", F.monotonically_increasing_id())
+    parents = {"City": spark.createDataFrame([("A, S",)], "CityState string")}
+    accepted, rejected = check_table(spec, table, parents, order)
+    judged = judge_table(spec, table, parents, order)
+    assert rows(judged.filter("reason IS NULL").select(*spec.columns)) == rows(accepted)
+    assert sorted(r["reason"] for r in judged.filter("reason IS NOT NULL").collect()) == sorted(r["reason"] for r in rejected.collect())
+    assert judged.count() == len(DIRTY[name])
+
+
+def test_append_keeps_the_first_insert(spark, raw):
+    stored = Warehouse(spark, raw, buckets=2)
+    stored.load_all()
+    sale = lambda *rows: spark.createDataFrame(rows, RAW_SCHEMAS["sales"])
+    store = (1, 7, "p7", "a7", "C", "T", 10, "Fd", "Ld", "d@x")
+    batch = {
+        "stores": spark.createDataFrame([store, (2, 1, "new", "new", "A", "S", 3, "Fa", "La", "a@x")], RAW_SCHEMAS["stores"]),
+        "sales": sale((1, 1, 1, D1, 999), (2, 7, 1, D1, 2), (3, 7, 2, D3, 5), (4, 9, 1, D1, 1), (5, 7, 1, D1, 8)),
+    }
+    counts = stored.append(batch)
+    assert rows(stored["Sold"]) == [(1, 1, D1, 4), (7, 1, D1, 2), (7, 2, D3, 5)]
+    assert rows(stored["Store"]) == [(1, "p1", "a1", "A, S"), (7, "p7", "a7", "C, T")]
+    assert rows(stored["Cdate"]) == [(D1,), (D2,), (D3,)] and rows(stored["Holiday"]) == [(D1, "h")]
+    assert counts["Sold"] == (2, 2) and counts["Store"] == (1, 1) and "Product" not in counts
+    reasons = {(r["StoreNumber"], r["reason"]) for r in stored.rejects("Sold").collect()}
+    assert reasons == {
+        ("2", "no parent for (StoreNumber)"), ("1", "duplicate key (StoreNumber, PID, CalendarDate)"), ("9", "no parent for (StoreNumber)")
+    }
+    again = stored.append(batch)  # as after a failure
+    assert again["Sold"] == (0, 4) and len(rows(stored["Sold"])) == 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # sales still meet their prices in place
+        joined = match_sale_price(stored["Sold"], stored["OnSale"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_location_opens_without_the_catalog(spark, raw, tmp_path):
+    """As in another application: the catalog forgets the first warehouse, the files stay."""
+    folder = str(tmp_path / "house")
+    first = Warehouse(spark, raw, buckets=3, location=folder)
+    first.load_all()
+    first.replace("City", first["City"].withColumn("population", F.lit(1)))
+    sales = spark.createDataFrame([(1, 1, 2, D2, 6)], RAW_SCHEMAS["sales"])
+    first.append({"sales": sales})
+    left_out = rows(first.rejects("Sold"))
+    spark.sql(f"DROP DATABASE {first.database} CASCADE")
+    broken = f"{folder}/City/000009_3_{'0' * 32}"
+    spark.createDataFrame([("x",)], "CityState string").write.parquet(f"{broken}/verdict=accepted")  # a load that did not finish
+    again = Warehouse(spark, {}, location=folder, buckets=8)
+    assert again.database != first.database
+    assert rows(again["City"]) == [("A, S", "A", "S", 1, "Medium")]
+    assert rows(again["Sold"]) == [(1, 1, D1, 4), (1, 2, D2, 6)]
+    assert rows(again.rejects("Sold")) == left_out
+    assert rows(again.view("States")) == [("S",)]
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {again.database}.Sold")
+    assert described.filter("col_name = 'Num Buckets'").first()[1] == "3"
+    again.replace("City", again["City"].withColumn("population", F.lit(2)))
+    assert rows(Warehouse(spark, {}, location=folder)["City"]) == [("A, S", "A", "S", 2, "Medium")]
+
+
+def test_another_application_opens_a_location(spark, raw, tmp_path):
+    folder = str(tmp_path / "house")
+    first = Warehouse(spark, raw, buckets=2, location=folder)
+    first.replace("City", first["City"].withColumn("population", F.lit(1)))
+    first["Sold"]
+    script = f"""
+from pyspark.sql import SparkSession
+from retailmart.plans.warehouse import Warehouse
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.warehouse.dir", "{tmp_path}/other").getOrCreate())
+house = Warehouse(spark, {{}}, location="{folder}")
+print([tuple(r) for r in house["City"].collect()], house["Sold"].count(), house.rejects("Sold").count(), house.view("States").count())
+"""
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120, cwd=root)
+    assert done.stdout.strip() == "[('A, S', 'A', 'S', 1, 'Medium')] 1 1 1", done.stderr[-2000:]
+
+
+def test_a_cascade_is_stored_as_a_whole(spark, raw):
+    stored = Warehouse(spark, raw, buckets=2)
+    stored.load_all()
+    left, _ = delete_cascade(stored, "City", stored["City"].select("CityState"))
+    places = {n: stored[n].inputFiles() for n in stored}
+    stored.replace_all(left)
+    assert {n: len(rows(stored[n])) for n in ("City", "Store", "Sold", "AssignedTo", "Manager")} == {
+        "City": 0, "Store": 0, "Sold": 0, "AssignedTo": 0, "Manager": 3
+    }
+    assert stored["Product"].inputFiles() == places["Product"]
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
