@@ -38,10 +38,10 @@ from retailmart.operators.constraints import (
 from retailmart.operators.revenue import priced_sales
 from retailmart.plans import reports
 from retailmart.plans.build import prepare_tables
-from retailmart.plans.load import check_table
+from retailmart.plans.load import check_table, judge_table
 from retailmart.plans.warehouse import Warehouse, shared_folder
 from retailmart.schema import LOAD_ORDER, RAW_SCHEMAS, TABLES
-from retailmart.sources.files import read_clean, read_raw, write_clean
+from retailmart.sources.files import read_clean, read_raw, read_raw_rejects, write_clean
 from retailmart.sources.testdata import LINE_ORDER, raw_from_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,16 +128,23 @@ def _view(name: str) -> Query:
     return query
 
 
-def _write_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product through CSV files in the shared folder."""
-    folder = f"{shared_folder(spark)}/clean_{uuid.uuid4().hex}"
-    write_clean({"Product": _clean(spark, sf_dir)["Product"]}, folder, "csv")
-    return read_clean(spark, folder, "csv", ["Product"])["Product"]
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
-def _read_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sold cleaned from raw files: the five datasets stored first, then read back."""
-    folder = f"{shared_folder(spark)}/raw_{uuid.uuid4().hex}"
+def _write_clean(name: str) -> Query:
+    """A cleaned table through CSV files in the shared folder."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = _new_folder(spark, "clean")
+        write_clean({name: _clean(spark, sf_dir)[name]}, folder, "csv")
+        return _common_types(read_clean(spark, folder, "csv", [name])[name])
+
+    return query
+
+
+def _numbered_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A raw dataset with the columns of its schema, the line order as one number."""
     line = {
         "stores": F.col("storeid"),
         "products": F.col("productid"),
@@ -145,13 +152,136 @@ def _read_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "saleprices": F.floor(F.col("row_id") / 10**10),
         "holidays": F.unix_date("date"),
     }
-    raw = raw_from_testdata(spark, sf_dir)
-    for name, schema in RAW_SCHEMAS.items():
-        numbered = raw[name].withColumn("row_id", line[name].cast("bigint"))
-        numbered.select(*schema.fieldNames()).write.parquet(f"{folder}/{name}")
+    numbered = raw_from_testdata(spark, sf_dir)[name].withColumn("row_id", line[name].cast("bigint"))
+    return numbered.select(*RAW_SCHEMAS[name].fieldNames())
+
+
+def _read_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sold cleaned from raw files: the five datasets stored first, then read back."""
+    folder = _new_folder(spark, "raw")
+    for name in RAW_SCHEMAS:
+        _numbered_raw(spark, sf_dir, name).write.parquet(f"{folder}/{name}")
     return _common_types(prepare_tables(read_raw(spark, folder))["Sold"])
 
 
+def _read_raw_dataset(name: str) -> Query:
+    """A raw dataset as it is read from CSV and from Parquet."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = []
+        for fmt in ("csv", "parquet"):
+            folder = _new_folder(spark, "raw")
+            for other, schema in RAW_SCHEMAS.items():
+                rows = _numbered_raw(spark, sf_dir, other) if other == name else spark.createDataFrame([], schema)
+                rows.write.format(fmt).option("header", True).save(f"{folder}/{other}")
+            found.append(read_raw(spark, folder, fmt)[name].withColumn("format", F.lit(fmt)))
+        return _common_types(union_all(found))
+
+    return query
+
+
+def _read_raw_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of JSON lines: sales with numbers and dates that are none, and lines cut short."""
+    folder, key = _new_folder(spark, "raw"), F.col("l_orderkey")
+    for name in RAW_SCHEMAS:
+        if name != "sales":
+            _numbered_raw(spark, sf_dir, name).write.json(f"{folder}/{name}")
+    row_id, day = key * 10 + F.col("l_linenumber"), F.col("l_shipdate").cast("date")
+    store, quantity = F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    fields = F.struct(
+        row_id.alias("row_id"),
+        F.when(key % 30 == 2, F.concat(F.lit("S"), store)).otherwise(store).alias("storeid"),
+        F.col("l_partkey").alias("productid"),
+        F.when(key % 35 == 3, F.date_format(day, "dd.MM.yyyy")).otherwise(day.cast("string")).alias("date"),
+        F.when(key % 45 == 4, F.lit("many")).otherwise(quantity).alias("quantity"),
+    )
+    cut = F.format_string('{"row_id":%d,"storeid"', row_id)
+    lines = F.when(key % 40 == 1, cut).otherwise(F.to_json(fields))
+    _table(spark, sf_dir, "lineitem").select(lines).write.text(f"{folder}/sales")
+    return _common_types(read_raw_rejects(spark, folder, "json"))
+
+
+def _stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the loads of all tables rejected and stored, by table and reason."""
+    stored = warehouse(spark, sf_dir)
+    stored.load_all()
+    return union_all(
+        [
+            stored.rejects(name).groupBy(F.lit(name).alias("name"), "reason").agg(F.count("*").alias("count"))
+            for name in LOAD_ORDER
+        ]
+    )
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """A warehouse of its own whose sales came as two batches with keys in common."""
+    raw, order = raw_from_testdata(spark, sf_dir), F.floor(F.col("row_id") / 10**11)
+    stored = Warehouse(spark, {**raw, "sales": raw["sales"].filter(order % 3 != 0)}, LINE_ORDER)
+    stored.load_all()
+    stored.append({"sales": raw["sales"].filter((order % 3 == 0) | (order % 5 == 0))}, LINE_ORDER)
+    return stored
+
+
+def _append_sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _common_types(_two_batches(spark, sf_dir)["Sold"])
+
+
+def _append_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = _two_batches(spark, sf_dir).rejects("Sold")
+    return rejects.groupBy("StoreNumber", "reason").agg(F.count("*").alias("count"))
+
+
+def _dirty_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores as text, one per customer, that break each constraint now and then."""
+    key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    number = F.when(key % 17 == 3, F.concat(F.lit("S"), text)).when(key % 17 != 4, (key - key % 2).cast("string"))
+    place = F.when(key % 29 == 7, "Nowhere, X").otherwise(F.concat("n_name", F.lit(", "), "r_name"))
+    return (
+        _table(spark, sf_dir, "customer")
+        .join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            number.alias("StoreNumber"),
+            F.when(key % 19 != 5, F.lpad(text, 12, "0")).alias("phone_number"),
+            F.when(key % 23 == 6, F.repeat(F.lit("x"), 51)).otherwise(F.col("c_name")).alias("street_address"),
+            place.alias("CityState"),
+        )
+    )
+
+
+def _dirty_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with prices below zero, infinite and none, and makers nobody knows."""
+    key = F.col("p_partkey")
+    price = F.when(key % 13 == 1, -F.col("p_retailprice")).when(key % 13 == 2, float("inf")).when(key % 13 == 3, float("nan"))
+    maker = F.when(key % 11 == 4, "Nobody").when(key % 11 != 5, F.col("p_brand"))
+    return _table(spark, sf_dir, "part").select(
+        (key - key % 3).alias("PID"), F.lpad(key.cast("string"), 12, "0").alias("product_name"),
+        F.when(key % 13 < 1, F.lit(None)).when(key % 13 > 3, F.col("p_retailprice")).otherwise(price).alias("retail_price"),
+        maker.alias("ManufacturerName"),
+    )
+
+
+def _load_dirty(name: str, source: Callable[[SparkSession, str], DataFrame], accepted: bool) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        judged = judge_table(TABLES[name], source(spark, sf_dir), warehouse(spark, sf_dir))
+        if accepted:
+            return _common_types(judged.filter("reason IS NULL").select(*TABLES[name].columns))
+        return judged.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("count"))
+
+    return query
+
+
+def _stored_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all tables after the deletion of a maker's cascade was stored."""
+    stored = Warehouse(spark, raw_from_testdata(spark, sf_dir), LINE_ORDER)
+    stored.load_all()
+    doomed = stored["Manufacturer"].filter("ManufacturerName LIKE 'Brand#1%'").select("ManufacturerName")
+    stored.replace_all(delete_cascade(stored, "Manufacturer", doomed)[0])
+    return union_all(
+        [reports.simple_count(stored[name]).select(F.lit(name).alias("name"), "count") for name in LOAD_ORDER]
+    )
+
+
 # ----------------------------------------------------- single operators on raw datasets
 
 
@@ -381,8 +511,8 @@ def _without_cities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return delete_cascade(stored, "City", doomed)[0]
 
 
-def _delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _common_types(_without_cities(spark, sf_dir)["Sold"])
+def _delete_cascade(name: str) -> Query:
+    return lambda spark, sf_dir: _common_types(_without_cities(spark, sf_dir)[name])
 
 
 def _delete_cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,7 +573,17 @@ def own_queries() -> dict[str, Query]:
         "reject_fk_holiday": _rejected("Holiday", "Cdate", "CalendarDate"),
         "load_rejects": _load_rejects,
         "read_raw": _read_raw,
-        "write_clean": _write_clean,
+        **{f"read_raw_{name}": _read_raw_dataset(name) for name in RAW_SCHEMAS},
+        "read_raw_rejects": _read_raw_rejects,
+        "write_clean": _write_clean("Product"),
+        **{f"write_clean_{name.lower()}": _write_clean(name) for name in LOAD_ORDER},
+        "stored_rejects": _stored_rejects,
+        "append_sold": _append_sold,
+        "append_rejects": _append_rejects,
+        "load_dirty_store": _load_dirty("Store", _dirty_stores, accepted=True),
+        "load_dirty_store_rejects": _load_dirty("Store", _dirty_stores, accepted=False),
+        "load_dirty_product": _load_dirty("Product", _dirty_prices, accepted=True),
+        "load_dirty_product_rejects": _load_dirty("Product", _dirty_prices, accepted=False),
         "drop_nulls": _on_raw("products", cleaning.drop_nulls),
         "keep_first": _on_raw("sales", _first_sales),
         "city_state_and_full_name": _on_raw("stores", _names),
@@ -569,10 +709,13 @@ def own_queries() -> dict[str, Query]:
             edit.update_population, ("City",), population_changes, part=1
         ),
         "replace_table": _replace_table,
-        "delete_cascade": _delete_cascade,
+        "delete_cascade": _delete_cascade("Sold"),
+        **{f"delete_cascade_{name.lower()}": _delete_cascade(name) for name in ("City", "Store", "AssignedTo")},
+        "stored_cascade": _stored_cascade,
         "delete_cascade_counts": _delete_cascade_counts,
         "delete_cascade_refused": _delete_cascade_refused,
         "update_key_cascade": lambda spark, sf_dir: _renamed_makers(spark, sf_dir)[0]["Product"],
+        "update_key_cascade_manufacturer": lambda spark, sf_dir: _renamed_makers(spark, sf_dir)[0]["Manufacturer"],
         "update_key_cascade_refused": lambda spark, sf_dir: _renamed_makers(spark, sf_dir)[1],
         "update_key_cascade_sold": _renumbered_sold,
     }

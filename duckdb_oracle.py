@@ -689,6 +689,136 @@ BODIES["view_revenue_by_population"] = BODIES["revenue_by_population"]
 BODIES["write_clean"] = BODIES["clean_product"]
 BODIES["replace_table"] = BODIES["update_population"]
 
+BODIES |= {f"write_clean_{t}": f"SELECT {cols} FROM clean_{t}" for t, cols in _COLUMNS.items()}
+BODIES["stored_rejects"] = BODIES["load_rejects"]
+
+_FORMATS = "(VALUES ('csv'), ('parquet')) AS formats(format)"
+_FIRST_SALES = """
+    SELECT storeid AS StoreNumber, productid AS PID, date AS CalendarDate, quantity
+    FROM (SELECT * FROM raw_sales WHERE {part}
+          QUALIFY row_number() OVER (PARTITION BY storeid, productid, date ORDER BY o, ln, ep) = 1)
+    WHERE quantity > 0"""
+CTES |= {
+    "batch_sold_one": _FIRST_SALES.format(part="o % 3 <> 0"),
+    "batch_sold_two": _FIRST_SALES.format(part="o % 3 = 0 OR o % 5 = 0"),
+    "judged_sold": """
+        SELECT b.*, CASE WHEN b.batch = 2 AND (b.StoreNumber, b.PID, b.CalendarDate) IN (
+                             SELECT (StoreNumber, PID, CalendarDate) FROM batch_sold_one
+                             WHERE StoreNumber IN (SELECT StoreNumber FROM loaded_store))
+                         THEN 'duplicate key (StoreNumber, PID, CalendarDate)'
+                         WHEN b.StoreNumber NOT IN (SELECT StoreNumber FROM loaded_store)
+                         THEN 'no parent for (StoreNumber)' END AS reason
+        FROM (SELECT *, 1 AS batch FROM batch_sold_one
+              UNION ALL SELECT *, 2 FROM batch_sold_two) AS b""",
+    "raw_dirty_store": """
+        SELECT *, try_cast(StoreNumber AS BIGINT) AS n,
+               CASE WHEN StoreNumber IS NOT NULL AND try_cast(StoreNumber AS BIGINT) IS NULL
+                    THEN 'StoreNumber is no bigint'
+                    WHEN StoreNumber IS NULL THEN 'null in StoreNumber'
+                    WHEN phone_number IS NULL THEN 'null in phone_number'
+                    WHEN length(street_address) > 50 THEN 'street_address longer than 50' END AS broken
+        FROM (SELECT CASE WHEN c_custkey % 17 = 3 THEN 'S' || c_custkey
+                          WHEN c_custkey % 17 <> 4 THEN CAST(c_custkey - c_custkey % 2 AS VARCHAR) END AS StoreNumber,
+                     CASE WHEN c_custkey % 19 <> 5 THEN lpad(CAST(c_custkey AS VARCHAR), 12, '0') END AS phone_number,
+                     CASE WHEN c_custkey % 23 = 6 THEN repeat('x', 51) ELSE c_name END AS street_address,
+                     CASE WHEN c_custkey % 29 = 7 THEN 'Nowhere, X' ELSE n_name || ', ' || r_name END AS CityState
+              FROM customer JOIN nation ON c_nationkey = n_nationkey
+              JOIN region ON n_regionkey = r_regionkey)""",
+    "judged_dirty_store": """
+        SELECT *, coalesce(broken,
+                           CASE WHEN row_number() OVER (PARTITION BY n, broken ORDER BY phone_number) > 1
+                                THEN 'duplicate key (StoreNumber)'
+                                WHEN CityState NOT IN (SELECT CityState FROM loaded_city)
+                                THEN 'no parent for (CityState)' END) AS reason
+        FROM raw_dirty_store""",
+    "raw_dirty_product": """
+        SELECT *, CASE WHEN isnan(retail_price) OR isinf(retail_price) THEN 'retail_price is no double'
+                       WHEN retail_price IS NULL THEN 'null in retail_price'
+                       WHEN ManufacturerName IS NULL THEN 'null in ManufacturerName'
+                       WHEN retail_price < 0 THEN 'check retail_price_nonnegative' END AS broken
+        FROM (SELECT p_partkey - p_partkey % 3 AS PID, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS product_name,
+                     CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 1 THEN -p_retailprice
+                          WHEN 2 THEN CAST('inf' AS DOUBLE) WHEN 3 THEN CAST('nan' AS DOUBLE)
+                          ELSE p_retailprice END AS retail_price,
+                     CASE p_partkey % 11 WHEN 4 THEN 'Nobody' WHEN 5 THEN NULL ELSE p_brand END AS ManufacturerName
+              FROM part)""",
+    "judged_dirty_product": """
+        SELECT *, coalesce(broken,
+                           CASE WHEN row_number() OVER (PARTITION BY PID, broken ORDER BY product_name) > 1
+                                THEN 'duplicate key (PID)'
+                                WHEN ManufacturerName NOT IN (SELECT ManufacturerName FROM loaded_manufacturer)
+                                THEN 'no parent for (ManufacturerName)' END) AS reason
+        FROM raw_dirty_product""",
+}
+BODIES |= {
+    "read_raw_stores": f"""
+        SELECT CAST(storeid AS BIGINT) AS row_id, CAST(storeid AS BIGINT) AS storeid, phone, address, name, state,
+               CAST(population AS BIGINT) AS population, managerfirstname, managerlastname, manageremail, format
+        FROM raw_stores, {_FORMATS}""",
+    "read_raw_products": f"SELECT CAST(productid AS BIGINT) AS row_id, {_PRODUCTS}, format FROM raw_products, {_FORMATS}",
+    "read_raw_sales": f"""
+        SELECT CAST(o * 10 + ln AS BIGINT) AS row_id, CAST(storeid AS BIGINT) AS storeid,
+               CAST(productid AS BIGINT) AS productid, date, CAST(quantity AS BIGINT) AS quantity, format
+        FROM raw_sales, {_FORMATS}""",
+    "read_raw_saleprices": f"""
+        SELECT CAST(o * 10 + ln AS BIGINT) AS row_id, CAST(productid AS BIGINT) AS productid, date, saleprice, format
+        FROM raw_saleprices, {_FORMATS}""",
+    "read_raw_holidays": f"""
+        SELECT CAST(date - DATE '1970-01-01' AS BIGINT) AS row_id, date, holidayname, format
+        FROM raw_holidays, {_FORMATS}""",
+    "read_raw_rejects": """
+        WITH faults AS (
+            SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS row_id, l_orderkey % 40 = 1 AS short,
+                   unnest([
+                       CASE WHEN l_orderkey % 30 = 2
+                            THEN {'field': 'storeid', 'value': 'S' || l_suppkey, 'reason': 'storeid is no bigint'} END,
+                       CASE WHEN l_orderkey % 35 = 3
+                            THEN {'field': 'date', 'value': strftime(l_shipdate, '%d.%m.%Y'), 'reason': 'date is no date'} END,
+                       CASE WHEN l_orderkey % 45 = 4
+                            THEN {'field': 'quantity', 'value': 'many', 'reason': 'quantity is no int'} END]) AS f
+            FROM lineitem)
+        SELECT 'sales' AS dataset, row_id, f.field AS field, f.value AS value, f.reason AS reason
+        FROM faults WHERE NOT short AND f IS NOT NULL
+        UNION ALL
+        SELECT 'sales', NULL, NULL, '{"row_id":' || (l_orderkey * 10 + l_linenumber) || ',"storeid"', 'malformed record'
+        FROM lineitem WHERE l_orderkey % 40 = 1""",
+    "append_sold": f"SELECT {_COLUMNS['sold']} FROM judged_sold WHERE reason IS NULL",
+    "append_rejects": """
+        SELECT CAST(StoreNumber AS VARCHAR) AS StoreNumber, reason, count(*) AS count
+        FROM judged_sold WHERE reason IS NOT NULL GROUP BY ALL""",
+    "load_dirty_store": """
+        SELECT n AS StoreNumber, phone_number, street_address, CityState FROM judged_dirty_store WHERE reason IS NULL""",
+    "load_dirty_store_rejects": """
+        SELECT reason, count(*) AS count FROM judged_dirty_store WHERE reason IS NOT NULL GROUP BY reason""",
+    "load_dirty_product": f"SELECT {_COLUMNS['product']} FROM judged_dirty_product WHERE reason IS NULL",
+    "load_dirty_product_rejects": """
+        SELECT reason, count(*) AS count FROM judged_dirty_product WHERE reason IS NOT NULL GROUP BY reason""",
+    "delete_cascade_city": f"SELECT {_COLUMNS['city']} FROM loaded_city WHERE CityName NOT LIKE '%3'",
+    "delete_cascade_store": f"""
+        SELECT {_COLUMNS['store']} FROM loaded_store
+        WHERE CityState NOT IN (SELECT CityState FROM loaded_city WHERE CityName LIKE '%3')""",
+    "delete_cascade_assignedto": f"""
+        SELECT {_COLUMNS['assignedto']} FROM loaded_assignedto
+        WHERE StoreNumber NOT IN (SELECT StoreNumber FROM joined_stores WHERE CityName LIKE '%3')""",
+    "update_key_cascade_manufacturer": """
+        SELECT CASE WHEN ManufacturerName LIKE 'Brand#1%'
+                    THEN replace(ManufacturerName, 'Brand', 'Maker') ELSE ManufacturerName END AS ManufacturerName,
+               CAST(max_discount AS DOUBLE) AS max_discount
+        FROM loaded_manufacturer""",
+    "stored_cascade": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS count FROM loaded_{name.lower()} WHERE {left}"
+        for name, left in {
+            **dict.fromkeys(("City", "Store", "Category", "Cdate", "Holiday", "Manager", "AssignedTo"), "TRUE"),
+            "Manufacturer": "ManufacturerName NOT LIKE 'Brand#1%'",
+            "Product": "ManufacturerName NOT LIKE 'Brand#1%'",
+            **dict.fromkeys(
+                ("BelongTo", "Sold", "OnSale"),
+                "PID NOT IN (SELECT PID FROM loaded_product WHERE ManufacturerName LIKE 'Brand#1%')",
+            ),
+        }.items()
+    ),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: _with(body) for name, body in BODIES.items()}

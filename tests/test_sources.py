@@ -16,7 +16,7 @@ from retailmart.plans.views import VIEW_NAMES, create_views
 from retailmart.plans.warehouse import Warehouse, shared_folder
 from retailmart.schema import RAW_SCHEMAS, TABLES, load_levels
 from retailmart.sources import catalog
-from retailmart.sources.files import read_clean, read_raw, write_clean
+from retailmart.sources.files import read_clean, read_raw, read_raw_rejects, write_clean
 
 D1, D2, D3 = dt.date(2001, 3, 4), dt.date(2001, 3, 5), dt.date(2001, 3, 6)
 
@@ -346,3 +346,57 @@ def test_levels_put_parents_first():
             assert {key.parent for key in TABLES[name].foreign_keys} <= seen
         seen |= set(level)
     assert seen == set(TABLES)
+
+
+def write_lines(folder, name, lines):
+    (folder / name).mkdir()
+    (folder / name / "part.txt").write_text("\n".join(lines) + "\n")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_reader_rejects_fields_and_records(spark, raw, tmp_path, fmt):
+    for name, df in raw.items():
+        if name != "sales":
+            df.write.format(fmt).option("header", True).save(f"{tmp_path}/{name}")
+    if fmt == "csv":
+        lines = [
+            "row_id,storeid,productid,date,quantity",
+            "1,1,1,2001-03-04,4", "2,x,1,2001-13-04,4.0", "3,1,,2001-03-05,many", "4,1,1", "5,1,1,2001-03-04,4,6", "6.0,1,1,2001-03-04,-2.9",
+        ]
+        whole = ["4,1,1", "5,1,1,2001-03-04,4,6"]
+    else:
+        lines = [
+            '{"row_id":1,"storeid":1,"productid":1,"date":"2001-03-04","quantity":4}',
+            '{"row_id":2,"storeid":"x","productid":1,"date":"2001-13-04","quantity":4.0}',
+            '{"row_id":3,"storeid":1,"date":"2001-03-05","quantity":"many"}',
+            '{"row_id":4,"storeid":', "no json",
+            '{"row_id":6.0,"storeid":1,"productid":1,"date":"2001-03-04","quantity":-2.9}',
+        ]
+        whole = ['{"row_id":4,"storeid":', "no json"]
+    write_lines(tmp_path, "sales", lines)
+    sales = read_raw(spark, str(tmp_path), fmt)["sales"]
+    assert rows(sales) == sorted(
+        [(1, 1, 1, D1, 4), (2, None, 1, None, 4), (3, 1, None, D2, None), (6, 1, 1, D1, -2)], key=repr
+    )
+    assert sales.count() == 4 and sales.select("quantity").count() == 4
+    assert rows(read_raw_rejects(spark, str(tmp_path), fmt)) == sorted(
+        [
+            ("sales", 2, "storeid", "x", "storeid is no bigint"),
+            ("sales", 2, "date", "2001-13-04", "date is no date"),
+            ("sales", 3, "quantity", "many", "quantity is no int"),
+            *[("sales", None, None, line, "malformed record") for line in whole],
+        ],
+        key=repr,
+    )
+
+
+def test_typed_formats_reject_what_does_not_convert(spark, raw, tmp_path):
+    for name, df in raw.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    assert read_raw_rejects(spark, str(tmp_path)).count() == 0
+    wrong = raw["sales"].withColumn("quantity", F.when(F.col("row_id") == 4, "three").otherwise(F.col("quantity").cast("string")))
+    wrong = wrong.withColumn("storeid", F.when(F.col("row_id") == 2, 1e30).otherwise(F.col("storeid").cast("double")))
+    wrong.write.mode("overwrite").parquet(f"{tmp_path}/sales")
+    found = {(r["row_id"], r["field"]) for r in read_raw_rejects(spark, str(tmp_path)).collect()}
+    assert found == {(4, "quantity"), (2, "storeid")}
+    assert rows(read_raw(spark, str(tmp_path))["sales"].filter("row_id = 4")) == [(4, 2, 1, D1, None)]
