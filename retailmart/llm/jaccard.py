@@ -13,7 +13,8 @@ incidence with bounds from the set sizes.
 4. In the other lists, pairs of different components stay candidates if their sizes and the
    places of the n-gram in both orders leave room for the overlap they need. Nodes reachable
    by candidates form a family; the product of its incidence with itself is accumulated in
-   blocks of nodes over all n-grams, and pairs below the bound go.
+   blocks of nodes over all n-grams, and pairs below the bound go. A long list is compared
+   part by part, every two parts in a group of their own.
 
 A list or block passes on no more rows than it has nodes: those that span its components.
 Comparisons count all n-grams of both sets, so no link is missed or made up.
@@ -35,6 +36,7 @@ from retailmart.llm.words import shingle_sets
 
 LEAST_BLOCKS = 512
 GRAMS_A_BLOCK = 1 << 20
+LIST_ROWS = 1024  # longer lists are compared part by part
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -65,17 +67,17 @@ def _set_rows(batches, n: int, percent: int) -> Iterator[pa.RecordBatch]:
             last = next(k for k, end in enumerate(ends) if end >= need)
             bands.append(ends[: last + 1])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["id", "node", "n", "bands"],
+            [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            ["id", "key", "node", "n", "bands"],
         )
 
 
 def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs: id, text. (id, node, n, bands): the set's digest (null if empty), its size, and how
-    many n-grams lie in the bands up to each that its prefix can reach."""
+    """docs: id, text, key. (id, key, node, n, bands): the set's digest (null if empty), its size, and
+    how many n-grams lie in the bands up to each that its prefix can reach."""
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
-        partial(_set_rows, n=n, percent=percent), f"id {kind}, node bigint, n bigint, bands array<bigint>"
+        partial(_set_rows, n=n, percent=percent), f"id {kind}, key bigint, node bigint, n bigint, bands array<bigint>"
     )
 
 
@@ -162,33 +164,52 @@ def _need(a, b, percent: int):
     return ((a + b) * percent + 99 + percent) / (100 + percent)
 
 
+def _dealt_lists(lists: DataFrame, blocks: int) -> DataFrame:
+    """Lists of one part together in blocks; of the others every two parts by themselves, and each
+    part with itself."""
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    dealt = lists.withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("c", other)
+    long = F.col("parts") > 1
+    return dealt.select(
+        "gram", "node", "n", "place", "root", long.alias("long"),
+        F.when(long, F.col("gram")).otherwise(F.pmod("gram", F.lit(blocks))).alias("block"),
+        F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), (F.col("b") > F.col("c")).cast("int").alias("side"),
+    )
+
+
 def _candidates(rows: pa.Table, percent: int) -> pa.Table:
-    """(x, y) that span the candidate pairs of each list of one block."""
-    gram, node, n, place, root = (
-        rows.column(c).to_numpy() for c in ("gram", "node", "n", "place", "root")
+    """(x, y) that span the candidate pairs of each list of one block, or of two parts of a list."""
+    gram, node, n, place, root, side = (
+        rows.column(c).to_numpy() for c in ("gram", "node", "n", "place", "root", "side")
     )
+    within = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
     order = np.argsort(gram, kind="stable")
-    gram, node, n, place, root = gram[order], node[order], n[order], place[order], root[order]
+    gram, node, n, place, root, side = (c[order] for c in (gram, node, n, place, root, side))
     cuts = [*np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))).tolist(), len(gram)]
-    xs, ys = [], []
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         m, left, right = b - a, [], []
         v, size, after, top = node[a:b], n[a:b], n[a:b] - place[a:b], root[a:b]
-        step = max(1, (1 << 20) // m)
-        for i in range(0, m, step):
-            j = slice(i, i + step)
-            need = ((size[j, None] + size) * percent + 99 + percent) // (100 + percent)
-            room = 1 + np.minimum(after[j, None], after)
-            own, other = np.nonzero((room >= need) & (top[j, None] != top))
-            keep = own + i < other
-            found = spans_of(own[keep] + i, other[keep], m)
+        one = np.flatnonzero(side[a:b] == 0)
+        two = one if within else np.flatnonzero(side[a:b] == 1)
+        step = max(1, (1 << 20) // max(1, len(two)))
+        for i in range(0, len(one), step):
+            j = one[i : i + step]
+            need = ((size[j, None] + size[two]) * percent + 99 + percent) // (100 + percent)
+            room = 1 + np.minimum(after[j, None], after[two])
+            own, other = np.nonzero((room >= need) & (top[j, None] != top[two]))
+            own, other = j[own], two[other]
+            if within:
+                own, other = own[own < other], other[own < other]
+            found = spans_of(own, other, m)
             moved = np.flatnonzero(found != np.arange(m))
             left.append(moved)
             right.append(found[moved])
-        found = spans_of(np.concatenate(left), np.concatenate(right), m)
-        moved = np.flatnonzero(found != np.arange(m))
-        xs.append(v[moved])
-        ys.append(v[found[moved]])
+        if left:
+            found = spans_of(np.concatenate(left), np.concatenate(right), m)
+            moved = np.flatnonzero(found != np.arange(m))
+            xs.append(v[moved])
+            ys.append(v[found[moved]])
     return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
 
@@ -312,9 +333,9 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     star = stored(star.select("x", F.col("best.y").alias("y")), "star")
 
     members = stored(shared.select("node").distinct(), "members")
-    keep = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("__id"))
-    keep = keep.join(members, "node")
-    rows = docs.join(keep, F.col("id").eqNullSafe(F.col("__id"))).select("node", "text")
+    keep = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("__key"))
+    keep = keep.join(members, "node")  # one row of each, known by its hash: ids may be null or shared
+    rows = docs.join(keep, F.col("key") == F.col("__key")).select("node", "text")
     full = rows.mapInArrow(partial(_full_rows, n=n), "node bigint, grams binary")
     full = stored(full.dropDuplicates(["node"]), "full")
 
@@ -323,10 +344,11 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     placed = lists.join(joined, F.col("node") == F.col("__n"), "left").select(
         "gram", "node", "n", "place", F.coalesce("root", "node").alias("root")
     )
-    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_lists = placed.join(stored(apart.select("gram"), "apart"), "gram")
+    rows_of = F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("parts")
+    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), rows_of).where("low <> high")
+    open_lists = placed.join(stored(apart.select("gram", "parts"), "apart"), "gram")
     blocks = max(LEAST_BLOCKS, -(-lists.count() // GRAMS_A_BLOCK))
-    spans = open_lists.groupBy(F.pmod("gram", F.lit(blocks)).alias("block")).applyInArrow(
+    spans = _dealt_lists(open_lists, blocks).groupBy("long", "block", "i", "j").applyInArrow(
         lambda t: _candidates(t, percent), "x bigint, y bigint"
     )
     families = components(stored(spans, "spans"), "x", "y")
@@ -342,7 +364,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     Equal rows come back as often as they came; a null id is never the smallest, and other
     columns, whatever their names, are not read. An empty table gives no rows.
     """
-    plain = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    own, said = F.col(f"`{id}`"), F.col(f"`{text}`")
+    plain = docs.select(own.alias("id"), said.alias("text"), F.xxhash64(own, own.isNull(), said, said.isNull()).alias("key"))
     sets = stored(sets_of(plain, n, percent), "sets")
     links = stored(_links(plain, sets, n, percent), "links")
     roots = components(links, "x", "y").withColumnRenamed("node", "__n")
@@ -358,19 +381,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     )
 
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row for each id that is the smallest of its group of near-duplicates.
-
-    For tables whose ids are there and differ: rows of one id, or without one, count as one row
-    whatever their texts, and one of them stays. ``keep_rows`` goes by rows.
-    """
-    found = near_duplicates(docs, n, percent, id, text)
-    chosen = found.where(F.col(id).eqNullSafe(F.col("component_id")))
-    chosen = chosen.select(F.col(id).alias("__id")).distinct()
-    one = docs.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col("__id"))).drop("__id")
-    return one.dropDuplicates([id])
-
-
 def keep_rows(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest id.
 

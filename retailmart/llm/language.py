@@ -21,6 +21,7 @@ from retailmart.llm.common import stored
 from retailmart.llm.words import mix, text_buffers
 
 TABLE = 1 << 16
+SLICES = 64  # parts of a table that are added up apart
 SAMPLE_A_LANGUAGE = 2000  # labelled rows of each language that the text models are fitted to, about
 TEXT_TRUST = 0.25  # neighbouring n-grams overlap: each counts as a quarter of a free observation
 PIECE = 1 << 17
@@ -51,19 +52,28 @@ def _pieces(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = after
 
 
-def _count(batches, languages: list[str]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros((len(languages), TABLE), np.int64)
-    place = {c: i for i, c in enumerate(languages)}
+def _count(batches) -> Iterator[pa.RecordBatch]:
+    """(language, slice, counts): a task's n-gram counts, where a slice of the table has any."""
+    totals: dict[str, np.ndarray] = {}
     for batch in batches:
         names = batch.column(0).to_pylist()
         for first, cuts, data in _pieces(batch.column(1)):
             at, counts = _grams(data)
             for r in range(len(cuts) - 1):
                 own = slice(cuts[r], cuts[r + 1])
-                totals[place[names[first + r]]] += np.bincount(at[own][counts[own]], minlength=TABLE)
+                total = totals.setdefault(names[first + r], np.zeros(TABLE, np.int64))
+                total += np.bincount(at[own][counts[own]], minlength=TABLE)
+    parts = [(c, k, part) for c, t in totals.items() for k, part in enumerate(np.split(t, SLICES)) if part.any()]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(languages), pa.array([t.tobytes() for t in totals], pa.binary())], ["language", "counts"]
-    )
+        [pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.int32()),
+         pa.array([p[2].tobytes() for p in parts], pa.binary())],
+        ["language", "slice", "counts"],
+    )
+
+
+def _added(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(c, np.int64) for c in rows.column("counts").to_pylist()], axis=0)
+    return pa.table([[key[0].as_py()], [key[1].as_py()], [total.tobytes()]], pa.schema([("language", pa.string()), ("slice", pa.int32()), ("counts", pa.binary())]))
 
 
 @dataclass(frozen=True)
@@ -74,7 +84,10 @@ class TextModel:
 
 def fit_text_model(labelled: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> TextModel:
     """labelled: language, text, id. Uses about ``sample`` rows of each language, chosen by a hash
-    of the id; a language of fewer rows is used whole. Null languages and texts don't count."""
+    of the id; a language of fewer rows is used whole. Null languages and texts don't count.
+
+    Tasks give up counts only where they met sampled rows, slices are added up on executors, and
+    one table for each language is collected once, whatever the number of splits."""
     known = labelled.where("language is not null and text is not null")
     sizes = {r["language"]: r["count"] for r in known.groupBy("language").count().collect()}
     languages = sorted(sizes)
@@ -83,10 +96,12 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Text
     share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))])
     u = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
     chosen = known.where(u < share[F.col("language")]).select("language", "text")
-    parts = chosen.mapInArrow(partial(_count, languages=languages), "language string, counts binary")
+    schema = "language string, slice int, counts binary"
+    parts = chosen.mapInArrow(_count, schema)
     totals = {c: np.zeros(TABLE) for c in languages}
-    for row in parts.toLocalIterator():
-        totals[row["language"]] += np.frombuffer(row["counts"], np.int64)
+    width = TABLE // SLICES
+    for row in parts.groupBy("language", "slice").applyInArrow(_added, schema).collect():
+        totals[row["language"]][row["slice"] * width :][:width] = np.frombuffer(row["counts"], np.int64)
     table = np.stack([totals[c] + 0.5 for c in languages], axis=1)
     table = np.log(table / table.sum(0))
     return TextModel(languages, (table - table.mean(1, keepdims=True)).astype(np.float32))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,21 @@ def test_language_on_held_out_rows(spark):
     assert [r["kept"] for r in language.identify(spark.createDataFrame(plain[:1], names), empty).collect()] == [False]
 
 
+def test_text_models_take_the_same_jobs_whatever_the_splits(spark):
+    rows = [(i, "en" if i % 2 else "de", f"the quick {i}" if i % 2 else f"die schnelle {i}") for i in range(200)]
+    frame, models, jobs = spark.createDataFrame(rows, "id bigint, language string, text string"), [], []
+    for parts in (2, 40):
+        split = stored(frame.repartition(parts, "id"), "labelled")
+        spark.sparkContext.setJobGroup(f"fit-{parts}", "")
+        models.append(language.fit_text_model(split))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{parts}")))
+        spark.sparkContext.setJobGroup("after", "")
+    assert (models[0].log_odds == models[1].log_odds).all() and models[0].languages == ["de", "en"]
+    assert jobs[0] == jobs[1] < 10
+    totals = language._count([pa.RecordBatch.from_pydict({"language": ["en"], "text": ["abc"]})])
+    assert sum(np.frombuffer(c, np.int64).sum() for batch in totals for c in batch.column(2).to_pylist()) == 3
+
+
 def test_page_evidence(spark):
     html = '<html lang="fr-CA"><script>x<b></script><p>Bon</p><!-- no --> jour</html>'
     rows = [(1, "https://www.a.example.org:80/x", html), (2, None, None)]
@@ -450,10 +466,28 @@ def test_jaccard_on_odd_rows(spark):
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()]
     assert len(rows) == 11 and rows.count((1, 2, 1)) == 2 and {(5, 401, 5), (6, 401, 5)} <= set(rows)
     assert {(2, 0, 2), (3, 0, 3), (4, 0, 4), (None, 0, None)} <= set(rows)
-    one = jaccard.keep_one(odd_docs(spark))
-    assert one.columns == odd_docs(spark).columns
-    assert sorted(r["doc_id"] or 0 for r in one.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
-    assert jaccard.near_duplicates(no_docs(spark)).count() == 0 and jaccard.keep_one(no_docs(spark)).count() == 0
+    assert jaccard.near_duplicates(no_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("rows_a_part", [3, 1024])
+def test_jaccard_of_long_lists_and_shared_ids(spark, monkeypatch, rows_a_part):
+    """Rare n-grams that many different texts hold, compared in parts; one id for all rows, or none."""
+    monkeypatch.setattr(jaccard, "LIST_ROWS", rows_a_part)
+    rng = random.Random(5)
+    frame = "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 q0 q1 q2 q3 q4 q5 q6 q7 q8 q9".split()
+    rows = []
+    for k in range(150):
+        own = frame + [rng.choice(WORDS) for _ in range(rng.choice([1, 2, 3, 9]))]
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, 4, 85).collect()}
+    assert got == brute_jaccard(rows, 4, 85)[1]
+    groups = Counter(Counter(got.values()).values())
+    for shared in (None, 7):
+        found = jaccard.near_duplicates(docs.withColumn("doc_id", F.lit(shared).cast("bigint")), 4, 85).collect()
+        assert len(found) == 150 and {r["doc_id"] for r in found} == {shared}
+        nodes = jaccard.keep_rows(docs.withColumn("doc_id", F.lit(shared).cast("bigint")), 4, 85).count()
+        assert nodes == sum(groups.values())
 
 
 def test_one_row_of_each_group_stays_whatever_the_ids(spark):
