@@ -3,7 +3,9 @@
 A value that passes its format's validation is read as a number below the size of the format
 and permuted there by a Feistel network, walking on while the result is outside. Check digits
 are worked out anew. The same value and key give the same pseudonym everywhere, so equal values
-stay linked across documents, and no table of values is kept.
+stay linked across documents, and no table of values is kept. What is permuted is the value
+without its writing: marks and spaces in cards, IBANs and phone numbers, upper case in IBANs and
+e-mail addresses, and a time of day behind a date come back as they were.
 """
 
 from __future__ import annotations
@@ -118,6 +120,10 @@ def _card_spans(run: str, usual: bool) -> Iterator[tuple[int, int]]:
 
 
 def _cards(text: str, key: bytes, usual: bool) -> Iterator[tuple[int, int, str]]:
+    if usual:
+        for match in _CARD_DOTTED.finditer(text):
+            if (fresh := _card(match.group(), key)) is not None:
+                yield match.start(), match.end(), fresh
     for match in _CARD_RUN.finditer(text):
         run, first = match.group(), match.start()
         if text[first - 1 : first] == "+" and len(_digits(run)) <= 15:  # a phone number
@@ -161,7 +167,7 @@ def _ibans(text: str, key: bytes) -> Iterator[tuple[int, int, str]]:
     while match := _IBAN_RUN.search(text, at):
         run, at = match.group(), match.start() + 1
         ends = [k for k in range(15, len(run) + 1) if run[k - 1] != " " and not re.match(r"\w", text[match.start() + k : match.start() + k + 1])]
-        own = _IBAN_LENGTHS.get(run[:2])
+        own = _IBAN_LENGTHS.get(run[:2].upper())
         ends.sort(key=lambda k: (len(run[:k].replace(" ", "")) != own, -k))
         for end in ends:
             if (fresh := _iban(run[:end], key)) is not None:
@@ -171,12 +177,13 @@ def _ibans(text: str, key: bytes) -> Iterator[tuple[int, int, str]]:
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     country, check, body = plain[:2], plain[2:4], plain[4:]
     if not 11 <= len(body) <= 30 or iban_check(country, body) != check:
         return None
     body = permute_text(body, key, f"iban|{country}")
-    left = iter(country + iban_check(country, body) + body)
+    fresh = country + iban_check(country, body) + body
+    left = iter(fresh.lower() if text == text.lower() else fresh)
     return "".join(c if c == " " else next(left) for c in text)
 
 
@@ -198,7 +205,7 @@ def _phone(text: str, key: bytes) -> str | None:
     rest = text[len(head) :]
     if not 7 <= len(_digits(rest)) <= 14:
         return None
-    return head + permute_text(rest, key, f"phone|{head}")
+    return head + _refill(rest, permute_text(_digits(rest), key, f"phone|{head}"))
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -231,7 +238,16 @@ def _date(text: str, key: bytes) -> str | None:
 def _email(text: str, key: bytes) -> str | None:
     local, _, domain = text.rpartition("@")
     host, dot, top = domain.rpartition(".")
-    return f"{permute_text(local, key, 'local')}@{permute_text(host, key, 'host')}{dot}{top}"
+    return f"{_permute_lower(local, key, 'local')}@{_permute_lower(host, key, 'host')}{dot}{top}"
+
+
+def _permute_lower(text: str, key: bytes, tweak: str) -> str:
+    """Permute a text whatever its case, and put its case back."""
+    low = text.lower()
+    if len(low) != len(text):
+        return permute_text(text, key, tweak)
+    fresh = permute_text(low, key, tweak)
+    return "".join(f if c == lower else f.upper() for f, c, lower in zip(fresh, text, low, strict=True))
 
 
 def _secret(text: str, key: bytes) -> str | None:
@@ -244,12 +260,13 @@ _PATTERNS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "secret": (r"\b" + re.sub(r"\((?!\?)", "(?:", _SECRET_PARTS), _secret),
     "email": (r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", _email),
     "ip": (r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)", _ip),
-    "date": (r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])", _date),
+    "date": (r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?=T[0-9]{2}:?[0-9]{2}|(?![\w/-]|\.[0-9]))", _date),
     "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
-    "phone": (r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w+.-])\+[0-9]{8,14}(?!\w)", _phone),
+    "phone": (r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-]|\.[0-9])|(?<![\w+.-])\+[0-9]{8,14}(?!\w)", _phone),
 }
 _COMPILED = {kind: (re.compile(pattern, re.I if kind == "secret" else 0), own) for kind, (pattern, own) in _PATTERNS.items()}
-_IBAN_RUN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN_RUN = re.compile(r"\b[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
+_CARD_DOTTED = re.compile(r"(?<![\w.-])(?:[0-9]{4}(?:\.[0-9]{4}){3}|[0-9]{4}\.[0-9]{6}\.[0-9]{5})(?![\w-]|\.[0-9])")
 _CARD_RUN = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])")
 
 
