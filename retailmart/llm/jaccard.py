@@ -36,7 +36,7 @@ from retailmart.llm.words import shingle_sets
 
 LEAST_BLOCKS = 512
 GRAMS_A_BLOCK = 1 << 20
-LIST_ROWS = 1024  # longer lists are compared part by part
+LIST_ROWS = 512  # longer lists are compared part by part
 
 
 def prefix_size(n: int, percent: int) -> int:
