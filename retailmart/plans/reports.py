@@ -244,15 +244,17 @@ def store_revenue_by_year(
 ) -> DataFrame:
     """Revenue of each store and year in one state, or in all with a State column.
 
-    Sales of other states leave before any price is looked up; addresses join the
+    Sales of other states leave before any price is looked up where the stores can be
+    broadcast. Else a join would shuffle all sales out of their buckets, so they are
+    priced and summed in place and the sums of other states leave. Addresses join the
     finished sums.
     """
     places = city.select("CityState", "CityName", "State")
     if state is not None:
         places = places.filter(F.col("State") == state)
-    if state is not None:
         local = store.join(places, "CityState", "left_semi").select("StoreNumber")
-        sold = sold.join(local, "StoreNumber", "left_semi")
+        if _broadcast_fits(store.select("StoreNumber", "CityState")):
+            sold = sold.join(local, "StoreNumber", "left_semi")
     years = _store_years(sold, onsale, product)
     located = years.join(store, "StoreNumber").join(places, "CityState")
     revenue = money(F.col("_amount")).alias("TotalRevenue")
@@ -420,6 +422,23 @@ def top_state_drilldown(
     )
 
 
+LEADER_SALTS = 64
+
+
+def _with_stores(leaders: DataFrame, selling: DataFrame) -> DataFrame:
+    """Leaders with their selling stores, or one row of nulls.
+
+    Most stores may sell for one leader: leaders, which are few, are repeated over salts that
+    the stores are dealt to, and those without a store come from an anti join.
+    """
+    pair = ["CategoryName", "State"]
+    salts = F.explode(F.sequence(F.lit(0), F.lit(LEADER_SALTS - 1))).alias("_salt")
+    dealt = selling.withColumn("_salt", F.pmod(F.hash("StoreNumber", "Email"), F.lit(LEADER_SALTS)))
+    found = dealt.join(leaders.select("*", salts), [*pair, "_salt"]).drop("_salt")
+    bare = leaders.join(selling.select(*pair).distinct(), pair, "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
+
+
 def top_state_bundle(
     sold: DataFrame,
     store: DataFrame,
@@ -453,7 +472,7 @@ def top_state_bundle(
         .join(_staffed_stores(store, city, assigned, manager), "StoreNumber")
     )
     return (
-        leaders.join(selling, ["CategoryName", "State"], "left")
+        _with_stores(leaders, selling)
         .select(
             "CategoryName",
             year_month_label(F.lit(year), F.lit(month)).alias("YearMonth"),

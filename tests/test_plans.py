@@ -65,7 +65,9 @@ def test_bundle_reuses_its_sales_aggregate(spark):
     assert "ReusedExchange" in final
 
 
-@pytest.mark.parametrize("name", ["store_revenue_by_year", "revenue_by_population", "priced_sales"])
+@pytest.mark.parametrize(
+    "name", ["store_revenue_by_year", "store_revenue_by_year_asia", "revenue_by_population", "priced_sales"]
+)
 def test_pricing_joins_in_place(spark, name):
     """Even without broadcasts, Sold and OnSale meet without a shuffle of either."""
     with broadcast_below(spark, "-1"):

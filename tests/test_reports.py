@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from retailmart.operators.revenue import priced_sales
 from retailmart.plans import reports as r
@@ -269,3 +270,25 @@ def test_amounts_that_do_not_fit_are_errors(spark, t, price):
     product = table(spark, "Product", [(1, "x", price, "M"), (2, "y", 20.0, "M"), (3, "z", 5.0, "N")])
     with pytest.raises(Exception, match="no exact amount of money"):
         r.store_revenue_by_year(t["Sold"], t["OnSale"].limit(0), product, t["Store"], t["City"]).collect()
+
+
+def test_stores_of_one_leader_are_spread(spark):
+    """90 % of the stores sell for one leader; no task gets much more than the others."""
+    names = "CategoryName string, State string"
+    leaders = spark.createDataFrame([("K", "S", 9), ("L", "T", 5), ("M", "U", 1), ("N", None, 2)], f"{names}, Quantity long")
+    rows = [("K" if k % 10 else "L", "S" if k % 10 else "T", k, "a@x") for k in range(4000)] + [("M", "S", 1, "a@x"), ("N", None, 1, "a@x")]
+    selling = spark.createDataFrame(rows, f"{names}, StoreNumber long, Email string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = r._with_stores(leaders, selling)
+        tasks = joined.filter("StoreNumber IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()
+        sizes = sorted(x["count"] for x in tasks)
+        assert len(sizes) == 8 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+        assert {(x["CategoryName"], x["State"]) for x in joined.filter("StoreNumber IS NULL").collect()} == {("M", "U"), ("N", None)}
+        assert joined.count() == 4002
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
