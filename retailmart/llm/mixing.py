@@ -63,22 +63,16 @@ def _topic_sums(batches, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
         best, units = _nearest(vectors, centres), np.rint(vectors.astype(np.float64) * UNIT).astype(np.int64)
         for k in np.unique(best):
             sums[k] += units[best == k].sum(0)
-    used = np.flatnonzero(sums.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([sums[k].tobytes() for k in used], pa.binary())], ["topic", "sums"])
-
-
-def _added(parts: pa.Table) -> pa.Table:
-    total = np.zeros(FEATURES, np.int64)
-    for part in parts.column("sums").to_pylist():
-        total += np.frombuffer(part, np.int64)
-    return pa.table({"topic": parts.column("topic")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    topic, place = np.nonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(place), pa.array(sums[topic, place])], ["topic", "place", "sum"])
 
 
 def fit_topics(vectors: DataFrame, topics: int, sample: int = TOPIC_SAMPLE) -> np.ndarray:
     """Centres of ``topics`` topics, by k-means over all stored ``vectors`` (id, v).
 
     The first centres are drawn from about ``sample`` rows chosen by a hash of the id; each round
-    sums all vectors by their nearest centre on the executors. Documents may be fewer than topics.
+    sums all vectors by their nearest centre on the executors, entry by entry, so that no task
+    holds the sums of all the others. Documents may be fewer than topics.
     """
     u = F.pmod(F.xxhash64("id", F.lit("topic sample")), F.lit(1 << 30)) / (1 << 30)
     chosen = vectors.where(u < min(1.0, sample / max(vectors.count(), 1))).select("v")
@@ -89,10 +83,11 @@ def fit_topics(vectors: DataFrame, topics: int, sample: int = TOPIC_SAMPLE) -> n
         return np.zeros((1, FEATURES))
     centres = x[np.linspace(0, len(x) - 1, topics).astype(int)]
     for _ in range(TOPIC_ROUNDS):
-        parts = vectors.select("v").mapInArrow(partial(_topic_sums, centres=centres), "topic bigint, sums binary")
-        sums = centres.copy()
-        for r in parts.groupBy("topic").applyInArrow(_added, "topic bigint, sums binary").collect():
-            sums[r["topic"]] = np.frombuffer(r["sums"], np.int64) / UNIT
+        parts = vectors.select("v").mapInArrow(partial(_topic_sums, centres=centres), "topic bigint, place bigint, sum bigint")
+        found = np.zeros(centres.shape)
+        for r in parts.groupBy("topic", "place").agg(F.sum("sum").alias("sum")).collect():
+            found[r["topic"], r["place"]] = r["sum"] / UNIT
+        sums = np.where(found.any(1, keepdims=True), found, centres)
         before, centres = centres, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         if np.abs(centres - before).max() < 1e-6:
             break
