@@ -213,11 +213,13 @@ def _stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _two_batches(spark: SparkSession, sf_dir: str) -> Warehouse:
+def _two_batches(spark: SparkSession, sf_dir: str, daily: bool = False) -> Warehouse:
     """A warehouse of its own whose sales came as two batches with keys in common."""
     raw, order = raw_from_testdata(spark, sf_dir), F.floor(F.col("row_id") / 10**11)
     stored = Warehouse(spark, {**raw, "sales": raw["sales"].filter(order % 3 != 0)}, LINE_ORDER)
     stored.load_all()
+    if daily:
+        stored.daily_revenue()
     stored.append({"sales": raw["sales"].filter((order % 3 == 0) | (order % 5 == 0))}, LINE_ORDER)
     return stored
 
@@ -226,6 +228,24 @@ def _append_sold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _common_types(_two_batches(spark, sf_dir)["Sold"])
 
 
+def _from_daily(function: Callable[..., DataFrame], **parameters) -> Query:
+    """A report of revenue from the stored revenue by store and day."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stored = warehouse(spark, sf_dir)
+        frame = function(*(stored[name] for name in _LOCATED), daily=stored.daily_revenue(), **parameters)
+        return _common_types(frame)
+
+    return query
+
+
+def _append_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store revenue from the stored summary after an append moved it."""
+    stored = _two_batches(spark, sf_dir, daily=True)
+    frame = reports.store_revenue_by_year(*(stored[name] for name in _LOCATED), daily=stored.daily_revenue())
+    return _common_types(frame)
+
+
 def _append_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejects = _two_batches(spark, sf_dir).rejects("Sold")
     return rejects.groupBy("StoreNumber", "reason").agg(F.count("*").alias("count"))
@@ -580,6 +600,10 @@ def own_queries() -> dict[str, Query]:
         "stored_rejects": _stored_rejects,
         "append_sold": _append_sold,
         "append_rejects": _append_rejects,
+        "append_daily_revenue": _append_daily,
+        "daily_store_revenue_by_year": _from_daily(reports.store_revenue_by_year),
+        "daily_store_revenue_by_year_asia": _from_daily(reports.store_revenue_by_year, state=STATE),
+        "daily_revenue_by_population": _from_daily(reports.revenue_by_population),
         "load_dirty_store": _load_dirty("Store", _dirty_stores, accepted=True),
         "load_dirty_store_rejects": _load_dirty("Store", _dirty_stores, accepted=False),
         "load_dirty_product": _load_dirty("Product", _dirty_prices, accepted=True),

@@ -691,6 +691,8 @@ BODIES["replace_table"] = BODIES["update_population"]
 
 BODIES |= {f"write_clean_{t}": f"SELECT {cols} FROM clean_{t}" for t, cols in _COLUMNS.items()}
 BODIES["stored_rejects"] = BODIES["load_rejects"]
+for _name in ("store_revenue_by_year", "store_revenue_by_year_asia", "revenue_by_population"):
+    BODIES[f"daily_{_name}"] = BODIES[_name]
 
 _FORMATS = "(VALUES ('csv'), ('parquet')) AS formats(format)"
 _FIRST_SALES = """
@@ -783,6 +785,18 @@ BODIES |= {
         SELECT 'sales', NULL, NULL, '{"row_id":' || (l_orderkey * 10 + l_linenumber) || ',"storeid"', 'malformed record'
         FROM lineitem WHERE l_orderkey % 40 = 1""",
     "append_sold": f"SELECT {_COLUMNS['sold']} FROM judged_sold WHERE reason IS NULL",
+    "append_daily_revenue": """
+        SELECT l.State, s.StoreNumber, l.street_address, l.CityName, year(s.CalendarDate) AS Year,
+               CAST(CAST(sum(CAST(s.quantity AS DECIMAL(15, 0)) * CAST(CAST(coalesce(o.SalePrice, p.retail_price)
+                   AS VARCHAR) AS DECIMAL(20, 10))) AS VARCHAR) AS DOUBLE) AS TotalRevenue
+        FROM judged_sold AS s
+        JOIN joined_stores AS l USING (StoreNumber)
+        LEFT JOIN loaded_product AS p USING (PID)
+        LEFT JOIN (SELECT * FROM loaded_onsale  -- loaded when only the first batch's days were known
+                   WHERE CalendarDate IN (SELECT date FROM raw_sales WHERE o % 3 <> 0)) AS o
+            USING (PID, CalendarDate)
+        WHERE s.reason IS NULL
+        GROUP BY ALL""",
     "append_rejects": """
         SELECT CAST(StoreNumber AS VARCHAR) AS StoreNumber, reason, count(*) AS count
         FROM judged_sold WHERE reason IS NOT NULL GROUP BY ALL""",

@@ -234,6 +234,32 @@ def _store_years(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> Data
     )
 
 
+def daily_revenue(sold: DataFrame, onsale: DataFrame, product: DataFrame) -> DataFrame:
+    """Exact revenue by store and day: (StoreNumber, CalendarDate, amount)."""
+    priced = match_sale_price(sold, onsale).join(product.select("PID", "retail_price"), "PID", "left")
+    return priced.groupBy("StoreNumber", "CalendarDate").agg(money_sum(sale_amount()).alias("amount"))
+
+
+def daily_revenue_change(
+    new_sold: DataFrame, sold: DataFrame, new_onsale: DataFrame, onsale: DataFrame, product: DataFrame
+) -> DataFrame:
+    """What appended sales and sale prices add to ``daily_revenue``; may hold several rows a day.
+
+    ``sold`` and ``onsale`` hold the appended rows too. New sales count at the prices known
+    before; then every sale of a day that got its price now counts by the difference.
+    """
+    before = onsale.join(new_onsale.select("PID", "CalendarDate"), ["PID", "CalendarDate"], "left_anti")
+    fresh = daily_revenue(new_sold, before, product)
+    moved = sold.join(new_onsale, ["PID", "CalendarDate"]).join(product.select("PID", "retail_price"), "PID")
+    change = amount(F.col("SalePrice"), F.col("quantity")) - amount(F.col("retail_price"), F.col("quantity"))
+    moved = moved.groupBy("StoreNumber", "CalendarDate").agg(money_sum(change).alias("amount"))
+    return fresh.unionByName(moved)
+
+
+def _years_of(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("StoreNumber", _year()).agg(money_sum(F.col("amount")).alias("_amount"))
+
+
 def store_revenue_by_year(
     sold: DataFrame,
     onsale: DataFrame,
@@ -241,21 +267,24 @@ def store_revenue_by_year(
     store: DataFrame,
     city: DataFrame,
     state: str | None = None,
+    daily: DataFrame | None = None,
 ) -> DataFrame:
     """Revenue of each store and year in one state, or in all with a State column.
 
     Sales of other states leave before any price is looked up where the stores can be
     broadcast. Else a join would shuffle all sales out of their buckets, so they are
     priced and summed in place and the sums of other states leave. Addresses join the
-    finished sums.
+    finished sums. With ``daily``, a stored ``daily_revenue`` of these tables, no sale is read.
     """
     places = city.select("CityState", "CityName", "State")
     if state is not None:
         places = places.filter(F.col("State") == state)
         local = store.join(places, "CityState", "left_semi").select("StoreNumber")
-        if _broadcast_fits(store.select("StoreNumber", "CityState")):
+        if daily is not None:
+            daily = daily.join(local, "StoreNumber", "left_semi")
+        elif _broadcast_fits(store.select("StoreNumber", "CityState")):
             sold = sold.join(local, "StoreNumber", "left_semi")
-    years = _store_years(sold, onsale, product)
+    years = _store_years(sold, onsale, product) if daily is None else _years_of(daily)
     located = years.join(store, "StoreNumber").join(places, "CityState")
     revenue = money(F.col("_amount")).alias("TotalRevenue")
     columns = ["StoreNumber", "street_address", "CityName", "Year", revenue]
@@ -486,17 +515,23 @@ def top_state_bundle(
 
 
 def revenue_by_population(
-    sold: DataFrame, onsale: DataFrame, product: DataFrame, store: DataFrame, city: DataFrame
+    sold: DataFrame,
+    onsale: DataFrame,
+    product: DataFrame,
+    store: DataFrame,
+    city: DataFrame,
+    daily: DataFrame | None = None,
 ) -> DataFrame:
     """Mean yearly revenue of the cities in each population band.
 
     The mean is over cities with sales in the year; stores of no known city count as
-    one city without a band.
+    one city without a band. With ``daily``, a stored ``daily_revenue`` of these tables, no
+    sale is read.
     """
     bands = city.select("CityState", F.col("CityState").alias("_city"), "city_size")
+    years = _store_years(sold, onsale, product) if daily is None else _years_of(daily)
     cities = (
-        _store_years(sold, onsale, product)
-        .join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
+        years.join(store.select("StoreNumber", "CityState"), "StoreNumber", "left")
         .join(bands, "CityState", "left")
         .groupBy("Year", "_city", "city_size")
         .agg(money_sum(F.col("_amount")).alias("_amount"))

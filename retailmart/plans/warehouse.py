@@ -8,16 +8,21 @@ from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.money import AMOUNT, money_sum
 from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
     create_tables,
+    is_finished,
     is_loaded,
     read_rejects,
     read_table,
     replace_table,
+    stored_state,
     write_judged,
 )
+from . import reports
 from .build import DATASETS, prepare_tables
 from .load import judge_table
 from .reports import GROUNDHOG_CATEGORY
@@ -38,6 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="retailmart-")
 
 
+_PRICED = ("Sold", "OnSale", "Product")
+_DAILY = f"StoreNumber bigint, CalendarDate date, amount {AMOUNT}"
+
+
 class Warehouse(Mapping[str, DataFrame]):
     """The twelve stored tables by name.
 
@@ -128,6 +137,9 @@ class Warehouse(Mapping[str, DataFrame]):
         it is then rejected as duplicates.
         """
         clean = prepare_tables(raw, order, prices=self)
+        daily = self._daily_folder()
+        known = is_finished(self.spark, daily)
+        before = {name: set(self[name].inputFiles()) for name in _PRICED if known}
         counts = {}
         for name in LOAD_ORDER:
             stored = self[name]
@@ -135,8 +147,45 @@ class Warehouse(Mapping[str, DataFrame]):
                 judged = judge_table(TABLES[name], clean[name], self, cleaned=True, existing=stored)
                 counts[name] = write_judged(self.spark, self.database, name, judged, append=True)
                 self._count(name, counts[name])
+        if known:
+            self._move_daily(daily, before)
         return counts
 
+    def daily_revenue(self) -> DataFrame:
+        """The stored revenue by store and day, which the reports of revenue take as ``daily``.
+
+        An append moves it by what the new rows change. After any other change of sales or
+        prices it is made anew at the next use; stores and cities are not part of it.
+        """
+        for name in _PRICED:
+            self[name]
+        folder = self._daily_folder()
+        if not is_finished(self.spark, folder):
+            self._write_daily(folder, reports.daily_revenue(*(self[name] for name in _PRICED)))
+        return self.spark.read.schema(_DAILY).parquet(folder)
+
+    def _daily_folder(self) -> str:
+        return f"{self.location}/_daily_revenue/{stored_state(self.spark, self.database, _PRICED)}"
+
+    def _write_daily(self, folder: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(folder)
+
+    def _move_daily(self, last: str, before: dict[str, set[str]]) -> None:
+        """Store the summary of the tables as an append left them, from the one before it."""
+        folder = self._daily_folder()
+        if folder == last:
+            return
+
+        def added(name: str) -> DataFrame:
+            files = sorted(set(self[name].inputFiles()) - before[name])
+            table = TABLES[name].schema
+            return self.spark.read.schema(table).parquet(*files) if files else self.spark.createDataFrame([], table)
+
+        change = reports.daily_revenue_change(added("Sold"), self["Sold"], added("OnSale"), self["OnSale"], self["Product"])
+        rows = self.spark.read.schema(_DAILY).parquet(last).unionByName(change)
+        summed = rows.groupBy("StoreNumber", "CalendarDate").agg(money_sum(F.col("amount")).alias("amount"))
+        self._write_daily(folder, summed)
+
     def create_views(self, category: str = GROUNDHOG_CATEGORY) -> None:
         """Create or replace the three views in the warehouse's database; loads no table."""
         create_catalog_views(self.spark, self.database, category)

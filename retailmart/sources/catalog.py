@@ -9,8 +9,10 @@ application at a time writes to a location.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +63,26 @@ def newest_version(spark: SparkSession, location: str, name: str) -> str | None:
     found = [m for m in map(_VERSION.match, _children(spark, f"{location}/{name}")) if m]
     for match in sorted(found, key=lambda m: (int(m[1]), m[0]), reverse=True):
         folder = f"{location}/{name}/{match[0]}"
-        if "_SUCCESS" in _children(spark, folder):
+        if is_finished(spark, folder):
             return folder
     return None
 
 
+def is_finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a job wrote the folder to its end."""
+    return "_SUCCESS" in _children(spark, folder)
+
+
+def stored_state(spark: SparkSession, database: str, names: Sequence[str]) -> str:
+    """A name for what the tables hold now: it changes with every new version and every append."""
+    said = []
+    for name in names:
+        folder = _version_of(spark, _qualified(database, name))[0]
+        files = len([f for f in _children(spark, f"{folder}/{_ACCEPTED_PART}") if not f.startswith((".", "_"))])
+        said.append(f"{folder.rsplit('/', 1)[1]}:{files}")
+    return hashlib.sha256("|".join(said).encode()).hexdigest()[:32]
+
+
 def _next_version(location: str, name: str, last: str | None, buckets: int) -> str:
     number = int(_VERSION.search(last)[1]) + 1 if last else 1
     return f"{location}/{name}/{number:06d}_{buckets}_{uuid.uuid4().hex}"

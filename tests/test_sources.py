@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from retailmart.operators.changes import update_population
+from retailmart.plans import reports
 from retailmart.plans.build import prepare_tables
 from retailmart.operators.constraints import delete_cascade
 from retailmart.operators.revenue import match_sale_price
@@ -16,6 +17,7 @@ from retailmart.plans.views import VIEW_NAMES, create_views
 from retailmart.plans.warehouse import Warehouse, shared_folder
 from retailmart.schema import RAW_SCHEMAS, TABLES, load_levels
 from retailmart.sources import catalog
+from retailmart.sources.catalog import is_finished
 from retailmart.sources.files import read_clean, read_raw, read_raw_rejects, write_clean
 
 D1, D2, D3 = dt.date(2001, 3, 4), dt.date(2001, 3, 5), dt.date(2001, 3, 6)
@@ -323,6 +325,48 @@ print([tuple(r) for r in house["City"].collect()], house["Sold"].count(), house.
     assert done.stdout.strip() == "[('A, S', 'A', 'S', 1, 'Medium')] 1 1 1", done.stderr[-2000:]
 
 
+def test_the_daily_summary_follows_appends_and_edits(spark, raw):
+    many = [(k, 1, 1 + k % 2, D1 + dt.timedelta(days=k % 5), 3 + k) for k in range(10)]
+    sales = spark.createDataFrame(many, RAW_SCHEMAS["sales"])
+    stored = Warehouse(spark, {**raw, "sales": sales}, buckets=2)
+    stored.load_all()
+
+    def agree(change):
+        tables = [stored[n] for n in ("Sold", "OnSale", "Product", "Store", "City")]
+        for report in (reports.store_revenue_by_year, reports.revenue_by_population):
+            plain = rows(report(*tables))
+            assert plain and rows(report(*tables, daily=stored.daily_revenue())) == plain, change
+        assert rows(reports.store_revenue_by_year(*tables, state="S", daily=stored.daily_revenue())) == rows(
+            reports.store_revenue_by_year(*tables, state="S")
+        )
+        plan = reports.store_revenue_by_year(*tables, daily=stored.daily_revenue())._jdf.queryExecution().toString()
+        assert ".sold[" not in plan.lower() and "_daily_revenue" in plan
+        return stored.daily_revenue().inputFiles()
+
+    first = agree("load")
+    offers = spark.createDataFrame([(1, 1, D2, 2.25), (2, 2, D1, 8.5), (3, 2, D3, 19.0)], RAW_SCHEMAS["saleprices"])
+    more = spark.createDataFrame([(1, 1, 1, D1, 99), (2, 1, 2, D2, 7), (3, 1, 1, D2 + dt.timedelta(days=9), 5), (4, 1, 2, D3, 4)], RAW_SCHEMAS["sales"])
+    known = stored._clean
+    stored.append({"sales": more})
+    assert is_finished(spark, stored._daily_folder())  # moved by the append, not made at the next use
+    second = agree("sales appended")
+    stored.append({"saleprices": offers})
+    assert is_finished(spark, stored._daily_folder())
+    agree("sale prices appended")
+    both = {"sales": spark.createDataFrame([(9, 1, 1, D3, 11)], RAW_SCHEMAS["sales"]), "saleprices": spark.createDataFrame([(9, 1, D3, 6.5)], RAW_SCHEMAS["saleprices"])}
+    stored.append(both)
+    third = agree("both appended")
+    assert not set(first) & set(second) and not set(second) & set(third)
+    stored.replace("City", stored["City"].withColumn("city_size", F.lit("Small")))
+    assert agree("city edited") == third  # no price changed
+    stored.replace("Product", stored["Product"].withColumn("retail_price", F.col("retail_price") * 2))
+    assert not is_finished(spark, stored._daily_folder())
+    agree("prices doubled")
+    stored.replace("Sold", stored["Sold"].filter("quantity > 5"))
+    agree("sales deleted")
+    assert stored._clean is known
+
+
 def test_a_cascade_is_stored_as_a_whole(spark, raw):
     stored = Warehouse(spark, raw, buckets=2)
     stored.load_all()
