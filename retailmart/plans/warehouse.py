@@ -14,6 +14,7 @@ from ..functions.money import AMOUNT, money_sum
 from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
     create_tables,
+    empty_rows,
     is_finished,
     is_loaded,
     read_rejects,
@@ -179,7 +180,7 @@ class Warehouse(Mapping[str, DataFrame]):
         def added(name: str) -> DataFrame:
             files = sorted(set(self[name].inputFiles()) - before[name])
             table = TABLES[name].schema
-            return self.spark.read.schema(table).parquet(*files) if files else self.spark.createDataFrame([], table)
+            return self.spark.read.schema(table).parquet(*files) if files else empty_rows(self.spark, table)
 
         change = reports.daily_revenue_change(added("Sold"), self["Sold"], added("OnSale"), self["OnSale"], self["Product"])
         rows = self.spark.read.schema(_DAILY).parquet(last).unionByName(change)

@@ -149,10 +149,15 @@ def read_rejects(spark: SparkSession, database: str, name: str) -> DataFrame:
 def _stored_rejects(spark: SparkSession, folder: str) -> DataFrame:
     schema = f"{REASON} string, {REJECTED} string"
     if _REJECTED_PART not in _children(spark, folder):
-        return spark.createDataFrame([], schema)
+        return empty_rows(spark, schema)
     return spark.read.schema(schema).parquet(f"{folder}/{_REJECTED_PART}")
 
 
+def empty_rows(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def judged_rows(rows: DataFrame, spec: TableSpec, reason: Column | None = None) -> DataFrame:
     """Rows as they are stored: accepted ones in the table's types, others as text with the reason.
 

@@ -207,9 +207,12 @@ def test_columns_and_constants(spark):
 
 
 def test_money_is_not_rounded_before_it_is_multiplied(spark):
-    df = spark.createDataFrame([(1_000_000, 0.00004), (3, 1.23456), (1, float("inf"))], "n long, p double")
-    total = fn.money(fn.money_sum(fn.money_units(F.col("n") * F.col("p"))))
+    df = spark.createDataFrame([(1_000_000, 0.00004), (3, 1.23456), (None, 1.0), (1, None)], "n long, p double")
+    total = fn.money(fn.money_sum(fn.amount(F.col("p"), F.col("n"))))
     assert df.select(total).first()[0] == 43.70368
     prices = spark.createDataFrame([(0.1,), (0.2,), (19.99,)], "p double")
-    total = fn.money(fn.money_sum(fn.money_units(F.col("p"))))
+    total = fn.money(fn.money_sum(fn.amount(F.col("p"), F.lit(1))))
     assert prices.select(total).first()[0] == 20.29
+    infinite = spark.createDataFrame([(float("inf"),)], "p double")
+    with pytest.raises(Exception, match="no exact amount of money"):  # an error, where it was a silent null
+        infinite.select(fn.amount(F.col("p"), F.lit(1))).collect()
