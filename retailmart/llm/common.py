@@ -17,10 +17,15 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of its own where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of its own.
+
+    A cluster must name one, as its executors don't share the driver's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     application = spark.sparkContext.applicationId
     if application not in _OWN_FOLDER:
         _OWN_FOLDER[application] = tempfile.mkdtemp(prefix="llm-")

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from test_operators import no_docs, odd_docs
 
 from retailmart.llm import contamination, ranking, whitening
+from retailmart.llm.common import shared_folder
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -323,3 +325,15 @@ def test_large_entries_stay_exact(spark):
     assert found == dict(enumerate(brute_whitening([v for _, v in rows])[3]))
     far = spark.createDataFrame([(0, [2.0**55, 0.0]), (1, [0.0, 1.0]), (2, [-(2.0**55), 0.0])], "vec_id bigint, embedding array<double>")
     assert {r["deviation"] for r in whitening.whitened_components(far).where("vec_id <> 1").collect()} == {None}
+
+
+@pytest.mark.parametrize(("master", "fine"), [("local[2]", True), ("yarn", False), ("spark://host:7077", False)])
+def test_a_cluster_must_name_its_shared_folder(master, fine):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master=master, applicationId=f"a-{master}")
+    )
+    if fine:
+        assert shared_folder(session) == shared_folder(session)
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session)
