@@ -576,12 +576,28 @@ def _replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _common_types(stored["City"])
 
 
+def _stored_edits(table: str, *steps: tuple[Callable[..., edit.Change], Query], results: bool = False) -> Query:
+    """A table after edits were stored in a warehouse of its own, or the results of the last."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stored = Warehouse(spark, raw_from_testdata(spark, sf_dir), LINE_ORDER)
+        for operator, batch in steps:
+            last = stored.edit(operator, batch(spark, sf_dir))
+        return _common_types(last if results else stored[table])
+
+    return query
+
+
 # ------------------------------------------------------------------------- registry
 
 _PRICED = ("Sold", "OnSale", "Product")
 _LOCATED = (*_PRICED, "Store", "City")
 _RANKED = ("Sold", "Store", "City", "BelongTo")
 _STAFFED = (*_RANKED, "AssignedTo", "Manager")
+_MANAGER_STEPS = (
+    (edit.add_managers, new_manager_changes),
+    (edit.remove_managers, old_manager_changes),
+)
 
 
 def own_queries() -> dict[str, Query]:
@@ -733,6 +749,16 @@ def own_queries() -> dict[str, Query]:
             edit.update_population, ("City",), population_changes, part=1
         ),
         "replace_table": _replace_table,
+        "stored_edit_city": _stored_edits("City", (edit.update_population, population_changes)),
+        "stored_edit_holiday": _stored_edits("Holiday", (edit.add_holidays, holiday_changes)),
+        "stored_edit_holiday_results": _stored_edits("Holiday", (edit.add_holidays, holiday_changes), results=True),
+        "stored_edit_manager": _stored_edits("Manager", *_MANAGER_STEPS),
+        "stored_edit_manager_results": _stored_edits("Manager", *_MANAGER_STEPS, results=True),
+        "stored_edit_assignedto": _stored_edits(
+            "AssignedTo",
+            (edit.assign_managers, assignment_changes),
+            (edit.unassign_managers, unassignment_changes),
+        ),
         "delete_cascade": _delete_cascade("Sold"),
         **{f"delete_cascade_{name.lower()}": _delete_cascade(name) for name in ("City", "Store", "AssignedTo")},
         "stored_cascade": _stored_cascade,

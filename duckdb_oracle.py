@@ -688,6 +688,15 @@ BODIES["view_groundhog"] = BODIES["groundhog"]
 BODIES["view_revenue_by_population"] = BODIES["revenue_by_population"]
 BODIES["write_clean"] = BODIES["clean_product"]
 BODIES["replace_table"] = BODIES["update_population"]
+BODIES["stored_edit_city"] = BODIES["update_population"]
+BODIES["stored_edit_holiday"] = BODIES["add_holidays"]
+BODIES["stored_edit_holiday_results"] = BODIES["add_holidays_results"]
+BODIES["stored_edit_manager"] = BODIES["remove_managers"]
+BODIES["stored_edit_manager_results"] = BODIES["remove_managers_results"]
+BODIES["stored_edit_assignedto"] = f"""
+        SELECT * FROM ({BODIES["assign_managers"]}) AS assigned
+        WHERE (Email, StoreNumber) NOT IN
+              (SELECT (Email, StoreNumber) FROM batch_unassignments)"""
 
 BODIES |= {f"write_clean_{t}": f"SELECT {cols} FROM clean_{t}" for t, cols in _COLUMNS.items()}
 BODIES["stored_rejects"] = BODIES["load_rejects"]

@@ -8,7 +8,7 @@ The current table is never written to; store the new one under a fresh path.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,14 +84,20 @@ def _insert(
     return table.select(*spec.columns).unionByName(added), _results(settled)
 
 
-def add_holidays(holiday: DataFrame, cdate: DataFrame, changes: DataFrame) -> Change:
-    """``changes``: change_id, HolidayName, and CalendarDate (a date, or month/day/year
-    text) or the whole numbers year, month and day."""
+def dated(changes: DataFrame) -> DataFrame:
+    """Changes with their CalendarDate as a date, whichever way they give it."""
     if "CalendarDate" not in changes.columns:
         parts = date_from_parts(F.col("year"), F.col("month"), F.col("day"))
         changes = changes.withColumn("CalendarDate", parts)
     if isinstance(changes.schema["CalendarDate"].dataType, T.StringType):
         changes = changes.withColumn("CalendarDate", parse_form_date(F.col("CalendarDate")))
+    return changes
+
+
+def add_holidays(holiday: DataFrame, cdate: DataFrame, changes: DataFrame) -> Change:
+    """``changes``: change_id, HolidayName, and CalendarDate (a date, or month/day/year
+    text) or the whole numbers year, month and day."""
+    changes = dated(changes)
     unreadable = {"no such date": F.col("CalendarDate").isNull()}
     return _insert("Holiday", holiday, changes, {"Cdate": cdate}, unreadable)
 
@@ -176,3 +182,17 @@ def update_population(city: DataFrame, changes: DataFrame) -> Change:
         {"population": population, "city_size": band}
     )
     return updated.select(*city.columns), _results(judged)
+
+
+# Each edit with the tables it takes, the edited one first. A change concerns rows of its own key
+# alone, so an edit of the slices that hold the keys is the edit of the table.
+EDITED: Mapping[Callable[..., Change], tuple[str, ...]] = {
+    add_holidays: ("Holiday", "Cdate"),
+    add_managers: ("Manager",),
+    remove_managers: ("Manager", "AssignedTo"),
+    activate_managers: ("Manager",),
+    deactivate_managers: ("Manager",),
+    assign_managers: ("AssignedTo", "Manager", "Store"),
+    unassign_managers: ("AssignedTo",),
+    update_population: ("City",),
+}

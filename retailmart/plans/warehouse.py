@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import AMOUNT, money_sum
+from ..operators.changes import EDITED, Change, dated
 from ..schema import LOAD_ORDER, TABLES, load_levels
 from ..sources.catalog import (
     create_tables,
     empty_rows,
     is_finished,
     is_loaded,
+    overwrite_slices,
     read_rejects,
+    read_slices,
     read_table,
     replace_table,
     stored_state,
+    touched_slices,
     write_judged,
 )
 from . import reports
@@ -56,7 +60,7 @@ class Warehouse(Mapping[str, DataFrame]):
     work of a load is never repeated in a report. One job stores what a load accepts and
     what it rejects. ``buckets`` is the number of buckets of the large tables, by default
     ``spark.sql.shuffle.partitions``; at about one for each 128 MB of sales a bucket fits
-    a task.
+    a task. ``slices`` is the number of parts of the tables that are edited row by row.
 
     ``location`` opens the tables that an earlier application left in that folder, as their
     newest versions are, edits, appended rows and rejects included; ``database`` those that
@@ -73,6 +77,7 @@ class Warehouse(Mapping[str, DataFrame]):
         location: str | None = None,
         buckets: int | None = None,
         database: str | None = None,
+        slices: int = 8,
     ) -> None:
         name = database or f"retailmart_{uuid.uuid4().hex[:12]}"
         self.spark = spark
@@ -83,9 +88,8 @@ class Warehouse(Mapping[str, DataFrame]):
         self._clean = prepare_tables(raw, order, prices=self)
         # Rows accepted and rejected by the loads and appends of this object.
         self.counts: dict[str, tuple[int, int]] = {}
-        create_tables(
-            spark, name, self.location, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        )
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        create_tables(spark, name, self.location, buckets, slices)
         reopened = database is not None or location is not None
         self._loaded = {table for table in TABLES if reopened and is_loaded(spark, name, table)}
 
@@ -115,6 +119,26 @@ class Warehouse(Mapping[str, DataFrame]):
         self[name]
         replace_table(self.spark, self.database, self.location, name, rows)
 
+    def edit(self, operator: Callable[..., Change], changes: DataFrame) -> DataFrame:
+        """Apply an edit of ``operators.changes`` to its stored table; returns the stored results.
+
+        Only the slices that hold a key of the batch are read and written, in place. A frame of
+        the table that was asked for before lists files that may be gone: ask for it again.
+        After a failure the batch can be applied again; what was stored of it then counts as there.
+        """
+        name, *others = EDITED[operator]
+        self[name]
+        operands = [self[other] for other in others]
+        batch = dated(changes) if name == "Holiday" else changes
+        numbers = touched_slices(self.spark, self.database, name, batch)
+        part = read_slices(self.spark, self.database, name, numbers)
+        rows, results = operator(part, *operands, batch)
+        folder = f"{self.location}/_results/{uuid.uuid4().hex}"
+        results.write.parquet(folder)  # judged by the rows as they are before
+        if numbers:
+            overwrite_slices(self.spark, self.database, name, rows, numbers)
+        return self.spark.read.schema(results.schema).parquet(folder)
+
     def replace_all(self, tables: Mapping[str, DataFrame]) -> None:
         """Store new versions of several tables, such as a cascade changes, parents first.
 

@@ -72,6 +72,8 @@ class TableSpec:
     # Columns the stored files are bucketed and sorted by, for the large tables.
     bucket_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
+    # Columns by whose hash the stored files of an edited table are dealt to slices.
+    slice_by: tuple[str, ...] = ()
 
     @property
     def columns(self) -> Sequence[str]:
@@ -88,6 +90,7 @@ _SPECS = [
         _struct(CityState=_TEXT, CityName=_TEXT, State=_TEXT, population=_INT, city_size=_TEXT),
         primary_key=("CityState",),
         clean_key=("CityName", "State"),
+        slice_by=("CityName", "State"),
         checks={"population_nonnegative": "population >= 0"},
     ),
     TableSpec(
@@ -139,6 +142,7 @@ _SPECS = [
         _struct(CalendarDate=_DATE, HolidayName=_TEXT),
         primary_key=("CalendarDate", "HolidayName"),
         clean_key=("CalendarDate", "HolidayName"),
+        slice_by=("CalendarDate", "HolidayName"),
         foreign_keys=(ForeignKey(("CalendarDate",), "Cdate"),),
     ),
     TableSpec(
@@ -172,6 +176,7 @@ _SPECS = [
         _struct(Email=_TEXT, manager_name=_TEXT, EmploymentStatus=_INT),
         primary_key=("Email",),
         clean_key=("Email",),
+        slice_by=("Email",),
         checks={"employment_status_flag": "EmploymentStatus IN (0, 1)"},
     ),
     TableSpec(
@@ -179,6 +184,7 @@ _SPECS = [
         _struct(Email=_TEXT, StoreNumber=_KEY),
         primary_key=("Email", "StoreNumber"),
         clean_key=("Email", "StoreNumber"),
+        slice_by=("Email", "StoreNumber"),
         foreign_keys=(
             ForeignKey(("Email",), "Manager", on_delete="restrict"),
             ForeignKey(("StoreNumber",), "Store"),

@@ -5,6 +5,10 @@ A version of a table is one folder, written by one job that deals every judged r
 rejected rows, as text, are read from beside it. Folders are numbered, so that a later
 application finds the newest finished one by the location alone. Nothing is locked: one
 application at a time writes to a location.
+
+Tables that are edited row by row are dealt to slices by a hash of their key, each a folder
+``slice=n`` below the verdict, so that an edit overwrites the slices of its keys alone. The
+catalog's table reads all of them as one folder.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from ..schema import TABLES, TableSpec
 # Table property of a table that was written in full.
 LOADED = "retailmart.loaded"
 
-REASON, REJECTED, VERDICT = "reason", "rejected", "verdict"
+REASON, REJECTED, VERDICT, SLICE = "reason", "rejected", "verdict", "slice"
 _ACCEPTED_PART, _REJECTED_PART = f"{VERDICT}=accepted", f"{VERDICT}=rejected"
-_VERSION = re.compile(r"(\d{6,})_(\d+)_[0-9a-f]{32}$")  # number, buckets, and what makes it unique
+_VERSION = re.compile(r"(\d{6,})_(\d+)_[0-9a-f]{32}$")  # number, buckets or slices, and what makes it unique
 
 
 def _columns(spec: TableSpec, nullable: bool) -> str:
@@ -42,12 +46,16 @@ def _buckets(spec: TableSpec, buckets: int) -> str:
 
 def table_ddl(spec: TableSpec, table: str, location: str, buckets: int) -> str:
     ddl = f"CREATE TABLE IF NOT EXISTS {table} ({_columns(spec, nullable=False)}) USING parquet"
-    return f"{ddl}{_buckets(spec, buckets)} LOCATION '{location}'"
+    nested = " OPTIONS ('recursiveFileLookup' = 'true')" if spec.slice_by else ""
+    return f"{ddl}{nested}{_buckets(spec, buckets)} LOCATION '{location}'"
 
 
 def _staging_ddl(spec: TableSpec, table: str, folder: str, buckets: int) -> str:
     columns = f"{_columns(spec, nullable=True)}, {REASON} string, {REJECTED} string, {VERDICT} string"
-    ddl = f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY ({VERDICT})"
+    parts = VERDICT
+    if spec.slice_by:
+        columns, parts = f"{columns}, {SLICE} int", f"{VERDICT}, {SLICE}"
+    ddl = f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY ({parts})"
     return f"{ddl}{_buckets(spec, buckets)} LOCATION '{folder}'"
 
 
@@ -88,7 +96,7 @@ def _next_version(location: str, name: str, last: str | None, buckets: int) -> s
     return f"{location}/{name}/{number:06d}_{buckets}_{uuid.uuid4().hex}"
 
 
-def create_tables(spark: SparkSession, database: str, location: str, buckets: int) -> None:
+def create_tables(spark: SparkSession, database: str, location: str, buckets: int, slices: int = 8) -> None:
     """Create the database and the twelve tables where absent.
 
     A table whose files are at the location already, from an earlier application, is
@@ -106,7 +114,7 @@ def create_tables(spark: SparkSession, database: str, location: str, buckets: in
         if spark.catalog.tableExists(table):
             continue
         found = newest_version(spark, location, name)
-        folder = found or _next_version(location, name, None, buckets)
+        folder = found or _next_version(location, name, None, slices if spec.slice_by else buckets)
         written = int(_VERSION.search(folder)[2])
         spark.sql(table_ddl(spec, table, f"{folder}/{_ACCEPTED_PART}", written))
         if found:
@@ -121,16 +129,11 @@ def _mark_loaded(spark: SparkSession, table: str) -> None:
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{LOADED}' = 'true')")
 
 
-def _described(spark: SparkSession, table: str, *fields: str) -> list[str | None]:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter(F.col("col_name").isin(*fields))
-    found = dict(rows.select("col_name", "data_type").collect())
-    return [found.get(field) for field in fields]
-
-
 def _version_of(spark: SparkSession, table: str) -> tuple[str, int]:
-    """(folder, buckets) of the version a table reads."""
-    place, buckets = _described(spark, table, "Location", "Num Buckets")
-    return place.rsplit("/", 1)[0], int(buckets or 1)
+    """(folder, buckets or slices) of the version a table reads."""
+    shown = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'")
+    folder = shown.first()["data_type"].rsplit("/", 1)[0]
+    return folder, int(_VERSION.search(folder)[2])
 
 
 def read_table(spark: SparkSession, database: str, name: str) -> DataFrame:
@@ -201,14 +204,18 @@ def _insert(
 ) -> tuple[int, int]:
     """One job; accepted rows go to one writer, so one file, per bucket, rejected ones anywhere."""
     spec, rejected = TABLES[name], F.col(REASON).isNotNull()
-    seen = Observation()
-    rows = judged.observe(
-        seen, F.count_if(~rejected).alias("accepted"), F.count_if(rejected).alias("rejected")
-    ).withColumn(VERDICT, F.when(rejected, "rejected").otherwise("accepted"))
+    rows = judged.withColumn(VERDICT, F.when(rejected, "rejected").otherwise("accepted"))
     if spec.bucket_by:
         bucket = F.pmod(F.hash(*spec.bucket_by), F.lit(buckets))  # as Spark deals rows to buckets
         anywhere = F.pmod(F.hash(REJECTED), F.lit(buckets))
         rows = rows.repartitionById(buckets, F.when(rejected, anywhere).otherwise(bucket))
+    if spec.slice_by:
+        anywhere = F.pmod(F.hash(REJECTED), F.lit(buckets))
+        rows = rows.withColumn(SLICE, F.when(rejected, anywhere).otherwise(_slice(spec, buckets)))
+        rows = rows.repartitionById(buckets, SLICE)
+    # after the exchange: adaptive execution takes out what is before one that no row passes
+    seen = Observation()
+    rows = rows.observe(seen, F.count_if(~rejected).alias("accepted"), F.count_if(rejected).alias("rejected"))
     staging = _qualified(database, f"{name}_{uuid.uuid4().hex}")
     spark.sql(_staging_ddl(spec, staging, folder, buckets))
     try:
@@ -219,6 +226,48 @@ def _insert(
     return counts["accepted"], counts["rejected"]
 
 
+def _slice(spec: TableSpec, slices: int) -> Column:
+    """The slice of a row's key, read in the types it is stored in."""
+    typed = (F.col(c).try_cast(spec.schema[c].dataType) for c in spec.slice_by)
+    return F.pmod(F.hash(*typed), F.lit(slices))
+
+
+def touched_slices(spark: SparkSession, database: str, name: str, keys: DataFrame) -> list[int]:
+    """The slices that hold the keys, or would; at most as many as the table has."""
+    slices = _version_of(spark, _qualified(database, name))[1]
+    found = keys.select(_slice(TABLES[name], slices).alias(SLICE)).distinct()
+    return sorted(row[SLICE] for row in found.collect())
+
+
+def read_slices(spark: SparkSession, database: str, name: str, numbers: Sequence[int]) -> DataFrame:
+    """The rows of some slices of a table; no other file is listed or read."""
+    accepted = f"{_version_of(spark, _qualified(database, name))[0]}/{_ACCEPTED_PART}"
+    schema, present = TABLES[name].schema, set(_children(spark, accepted))
+    found = [f"{accepted}/{SLICE}={n}" for n in numbers if f"{SLICE}={n}" in present]
+    return spark.read.schema(schema).parquet(*found) if found else empty_rows(spark, schema)
+
+
+def overwrite_slices(
+    spark: SparkSession, database: str, name: str, rows: DataFrame, numbers: Sequence[int]
+) -> None:
+    """Put ``rows``, which may read the slices of these numbers, in their place; others stay.
+
+    Tasks write beside the table, and lost ones are run again; only when all are through does
+    the driver swap the finished slices in. If the driver itself is lost during the swap, a
+    slice can be missing: ``replace_table`` is the way that never touches what is stored.
+    """
+    table, spec = _qualified(database, name), TABLES[name]
+    folder, slices = _version_of(spark, table)
+    accepted, seen = f"{folder}/{_ACCEPTED_PART}", Observation()
+    dealt = rows.select(*spec.columns, _slice(spec, slices).alias(SLICE)).filter(F.col(SLICE).isin(*numbers))
+    dealt = dealt.repartitionById(slices, SLICE).observe(seen, F.collect_set(SLICE).alias("filled"))
+    swap = dealt.write.partitionBy(SLICE).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    swap.parquet(accepted)
+    for number in sorted(set(numbers) - set(seen.get["filled"])):  # no row is left there
+        empty_rows(spark, spec.schema).write.mode("overwrite").parquet(f"{accepted}/{SLICE}={number}")
+    spark.catalog.refreshTable(table)
+
+
 def replace_table(
     spark: SparkSession, database: str, location: str, name: str, rows: DataFrame
 ) -> None:

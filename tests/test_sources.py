@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from retailmart.operators import changes as edit
 from retailmart.operators.changes import update_population
 from retailmart.plans import reports
 from retailmart.plans.build import prepare_tables
@@ -170,6 +171,111 @@ def test_edit_is_stored_in_a_fresh_folder(spark, raw):
     assert spark.read.parquet(*old_files).count() == 1  # the earlier version stays
 
 
+def _states(spark, frame):
+    """The files of a frame with their time stamps."""
+    files = spark.read.format("binaryFile").load(frame.inputFiles()).select("path", "modificationTime")
+    return {tuple(row) for row in files.collect()}
+
+
+def _many_managers(spark):
+    return spark.createDataFrame(
+        [(i, f"n{i}@x", f"Name {i}", 1) for i in range(40)],
+        "change_id long, Email string, manager_name string, EmploymentStatus int",
+    )
+
+
+def test_an_edit_writes_only_the_slices_of_its_keys(spark, raw):
+    stored = Warehouse(spark, raw, slices=5)
+    results = stored.edit(edit.add_managers, _many_managers(spark))
+    assert results.where("accepted").count() == 40
+    before, files = rows(stored["Manager"]), _states(spark, stored["Manager"])
+    one = spark.createDataFrame([(1, "n7@x")], "change_id long, Email string")
+    assert rows(stored.edit(edit.deactivate_managers, one)) == [(1, True, None)]
+    after = _states(spark, stored["Manager"])
+    assert len(files & after) == 4 and len(after) == len(files) == 5
+    changed = [(*row[:2], 0) if row[0] == "n7@x" else row for row in before]
+    assert rows(stored["Manager"]) == sorted(changed)
+    assert len(stored["Manager"].inputFiles()) == 5 and stored["Manager"].columns == list(TABLES["Manager"].columns)
+
+
+def test_an_edit_plan_reads_only_the_slices_of_its_keys(spark, raw):
+    stored = Warehouse(spark, raw, slices=5)
+    stored.edit(edit.add_managers, _many_managers(spark))
+    numbers = catalog.touched_slices(
+        spark, stored.database, "Manager", spark.createDataFrame([("n7@x",), ("n7@x",)], "Email string")
+    )
+    part = catalog.read_slices(spark, stored.database, "Manager", numbers)
+    assert len(numbers) == 1 and len(part.inputFiles()) == 1
+    assert part.where("Email = 'n7@x'").count() == 1
+
+
+@pytest.mark.parametrize("slices", [1, 3, 16])
+def test_stored_edits_agree_with_the_operators(spark, raw, tmp_path, slices):
+    place = str(tmp_path / "stored")
+    stored = Warehouse(spark, raw, location=place, slices=slices)
+    text = "change_id long, Email string"
+    batches = [
+        (edit.add_managers, [(*r[:3], r[0] % 3) for r in map(tuple, _many_managers(spark).collect())]
+         + [(50, "n1@x", "again", 1), (51, "a@x", "taken", 1), (52, None, "none", 1)],
+         text + ", manager_name string, EmploymentStatus int"),
+        (edit.activate_managers, [(1, "n0@x"), (2, "nobody@x"), (3, None)], text),
+        (edit.assign_managers, [(1, "n3@x", "1"), (2, "n4@x", "9"), (3, "a@x", "1"), (4, "n3@x", "1"), (5, "n5@x", "x")],
+         text + ", StoreNumber string"),
+        (edit.remove_managers, [(i, f"n{i}@x") for i in range(40)] + [(99, "a@x")], text),
+        (edit.unassign_managers, [(1, "a@x", 1), (2, "a@x", 2)], text + ", StoreNumber long"),
+        (edit.add_holidays, [(1, "3/4/2001", "new"), (2, "3/4/2001", "h"), (3, "2/30/2001", "no"), (4, "3/5/2001", "new")],
+         "change_id long, CalendarDate string, HolidayName string"),
+        (update_population, [(1, "A", "S", 9_000_000), (2, "A", "S", -1), (3, "Z", "S", 4)],
+         "change_id long, CityName string, State string, population int"),
+        (update_population, [], "change_id long, CityName string, State string, population int"),
+    ]
+    for operator, batch, schema in batches:
+        name, *others = edit.EDITED[operator]
+        changes = spark.createDataFrame(batch, schema)
+        new, results = operator(stored[name], *(stored[o] for o in others), changes)
+        new, results = rows(new), rows(results)
+        assert rows(stored.edit(operator, changes)) == results
+        assert rows(stored[name]) == new, operator.__name__
+    assert rows(stored["Manager"]) != [] and rows(stored["AssignedTo"]) == [("n3@x", 1)]
+    again = Warehouse(spark, {}, location=place)
+    for name in ("City", "Holiday", "Manager", "AssignedTo"):
+        assert rows(again[name]) == rows(stored[name])
+
+
+def test_a_slice_can_lose_all_its_rows(spark, raw):
+    stored = Warehouse(spark, raw, slices=2)
+    everyone = stored["AssignedTo"].select(F.lit(1).alias("change_id"), "Email", "StoreNumber")
+    stored.edit(edit.unassign_managers, spark.createDataFrame(everyone.collect(), everyone.schema))
+    assert stored["AssignedTo"].count() == 0
+    stored.edit(edit.assign_managers, spark.createDataFrame([(1, "b@x", 1)], "change_id long, Email string, StoreNumber long"))
+    assert rows(stored["AssignedTo"]) == [("b@x", 1)]
+
+
+def test_a_bucketed_table_can_lose_all_its_rows(spark, raw):
+    stored = Warehouse(spark, raw)
+    stored.replace("Sold", stored["Sold"].filter("quantity < 0"))
+    assert stored["Sold"].count() == 0 and stored["Sold"].columns == list(TABLES["Sold"].columns)
+
+
+def test_views_appends_and_cascades_go_with_edited_slices(spark, raw):
+    stored = Warehouse(spark, raw, slices=4)
+    stored.load_all()
+    stored.create_views()
+    batch = [(1, "A", "S", 9_000_000)]
+    stored.edit(update_population, spark.createDataFrame(batch, "change_id long, CityName string, State string, population int"))
+    assert {r[1] for r in rows(stored.view("Report7_Before_Pivot"))} == {"Extra Large"}
+    more = spark.createDataFrame([(1, 5, "p", "a", "C", "S", 4, "F", "L", "z@x")], RAW_SCHEMAS["stores"])
+    stored.append({"stores": more})
+    assert [r[0] for r in rows(stored["City"])] == ["A, S", "C, S"]
+    assert ("z@x", 5) in rows(stored["AssignedTo"])
+    doomed = stored["City"].filter("CityName = 'A'").select("CityState")
+    stored.replace_all(delete_cascade(stored, "City", doomed)[0])
+    assert [r[0] for r in rows(stored["City"])] == ["C, S"] and rows(stored["AssignedTo"]) == [("z@x", 5)]
+    rejected = stored.rejects("Manager").count()
+    stored.edit(edit.deactivate_managers, spark.createDataFrame([(1, "z@x")], "change_id long, Email string"))
+    assert ("z@x", "F L", 0) in rows(stored["Manager"]) and stored.rejects("Manager").count() == rejected
+
+
 def test_warehouse_opens_again_by_name(spark, raw):
     first = Warehouse(spark, raw, buckets=2)
     first.replace("City", first["City"].withColumn("population", F.lit(1)))
