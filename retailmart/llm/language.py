@@ -32,12 +32,14 @@ _PLAIN = np.ones(256, bool)  # letters and other bytes that carry evidence; digi
 _PLAIN[[*range(0, 65), *range(91, 97), *range(123, 128)]] = False
 
 
-def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(table place, whether it counts) of the trigram that begins at each byte."""
-    low = _LOWER[data]
-    low = np.where(_PLAIN[data], low, np.uint64(32))
-    after = np.concatenate((low[1:], np.full(2, 32, np.uint64)))
-    code = (low << np.uint64(16)) | (after[: len(low)] << np.uint64(8)) | after[1:][: len(low)]
+def _grams(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(table place, whether it counts) of the trigram that begins at each byte; blanks follow a text's end."""
+    blank = np.uint64(32)
+    low = np.where(_PLAIN[data], _LOWER[data], blank)
+    one, two = np.append(low[1:], blank)[: len(low)], np.append(low[2:], [blank, blank])[: len(low)]
+    last = cuts[1:][np.diff(cuts) > 0] - 1
+    one[last], two[last], two[np.maximum(last - 1, 0)] = blank, blank, blank
+    code = (low << np.uint64(16)) | (one << np.uint64(8)) | two
     return (mix(code + np.uint64(1)) % np.uint64(TABLE)).astype(np.int64), _PLAIN[data]
 
 
@@ -58,7 +60,7 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.column(0).to_pylist()
         for first, cuts, data in _pieces(batch.column(1)):
-            at, counts = _grams(data)
+            at, counts = _grams(data, cuts)
             for r in range(len(cuts) - 1):
                 own = slice(cuts[r], cuts[r + 1])
                 total = totals.setdefault(names[first + r], np.zeros(TABLE, np.int64))
@@ -112,7 +114,7 @@ def _text_scores(batches, model: TextModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores, letters = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, np.int64)
         for first, cuts, data in _pieces(batch.column(0)):
-            at, counts = _grams(data)
+            at, counts = _grams(data, cuts)
             before = np.concatenate(([0], np.cumsum(counts)))[cuts]  # n-grams that count, before each text
             odds = model.log_odds[at[counts]]
             sums = np.zeros((len(odds) + 1, k))
