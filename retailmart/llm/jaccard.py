@@ -7,7 +7,8 @@ incidence with bounds from the set sizes.
    100) + 1`` and likewise of b. The order is (band of the hash, documents that hold the n-gram,
    hash): rare ones come first within a band, so a passage that many documents share falls
    outside the prefix of a document that is mostly its own. The incidence is dealt to blocks
-   by hash; each block counts its n-grams' documents and passes on those of two or more.
+   by hash; each block counts its n-grams' documents and passes on those of two or more. Blocks
+   that very common n-grams make long are taken apart and counted by partial sums instead.
 3. Each node is compared with one of the most shared nodes of its lists, and joined with it
    if linked. Lists whose nodes are then in one component are done.
 4. In the other lists, pairs of different components stay candidates if their sizes and the
@@ -36,6 +37,7 @@ from retailmart.llm.words import shingle_sets
 
 LEAST_BLOCKS = 512
 GRAMS_A_BLOCK = 1 << 20
+LONG_BLOCK = 1 << 22  # entries; a longer block is not gathered
 LIST_ROWS = 512  # longer lists are compared part by part
 
 
@@ -82,7 +84,7 @@ def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _incidence(batches, n: int, percent: int, blocks: int) -> Iterator[pa.RecordBatch]:
-    """(block, grams, nodes) pieces; each set once for a task."""
+    """(block, entries, grams, nodes) pieces; each set once for a task."""
     edges, seen = _band_edges(percent), set()
     for batch in batches:
         grams, nodes = [], []
@@ -107,10 +109,20 @@ def _incidence(batches, n: int, percent: int, blocks: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(block[first], pa.int64()),
+                pa.array(np.array(last) - first, pa.int64()),
                 pa.array([g[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
                 pa.array([v[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
             ],
-            ["block", "grams", "nodes"],
+            ["block", "entries", "grams", "nodes"],
+        )
+
+
+def _entries(batches) -> Iterator[pa.RecordBatch]:
+    """(gram, node) of pieces."""
+    for batch in batches:
+        g, v = (b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()) for c in ("grams", "nodes"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(v, np.int64))], ["gram", "node"]
         )
 
 
@@ -129,6 +141,27 @@ def _shared(pieces: pa.Table) -> pa.Table:
     return pa.table({"node": v[keep], "gram": g[keep].view(np.int64), "df": df[keep].astype(np.int64)})
 
 
+def _counted(pieces: DataFrame) -> DataFrame:
+    """(node, gram, df) of the n-grams that two or more nodes hold; pieces must be stored.
+
+    No task gathers a block of more than LONG_BLOCK entries: an n-gram that a large part of all
+    documents hold is counted where its entries lie, and its count joined back to them.
+    """
+    long = pieces.groupBy(F.col("block").alias("__block")).agg(F.sum("entries").alias("n"))
+    long = stored(long.where(F.col("n") > LONG_BLOCK).select("__block"), "long_blocks")
+    own = F.col("block") == F.col("__block")
+    shared = pieces.join(long, own, "left_anti").groupBy("block").applyInArrow(
+        _shared, "node bigint, gram bigint, df bigint"
+    )
+    if long.isEmpty():
+        return shared
+    single = pieces.join(long, own, "left_semi").select("grams", "nodes").mapInArrow(_entries, "gram bigint, node bigint")
+    single = stored(single.distinct(), "entries")
+    df = single.groupBy(F.col("gram").alias("__gram")).agg(F.count(F.lit(1)).alias("df"))
+    df = stored(df.where("df > 1"), "frequencies")
+    return shared.union(single.join(df, F.col("gram") == F.col("__gram")).select("node", "gram", "df"))
+
+
 def _lists(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """(gram, node, n, place, slots): prefix n-grams held by two or more nodes, with their place in
     the node's order from 1, and how many a node has."""
@@ -136,9 +169,10 @@ def _lists(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     held = nodes.agg(F.sum(F.element_at("bands", -1))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-held // GRAMS_A_BLOCK))
     pieces = docs.mapInArrow(
-        partial(_incidence, n=n, percent=percent, blocks=blocks), "block bigint, grams binary, nodes binary"
+        partial(_incidence, n=n, percent=percent, blocks=blocks),
+        "block bigint, entries bigint, grams binary, nodes binary",
     )
-    shared = pieces.groupBy("block").applyInArrow(_shared, "node bigint, gram bigint, df bigint")
+    shared = _counted(stored(pieces, "pieces"))
     edges = [int(e) - (1 << 64) if e >= 1 << 63 else int(e) for e in _band_edges(percent).tolist()]
     as_unsigned = F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))
     band = sum((as_unsigned >= F.lit(e ^ -(1 << 63))).cast("int") for e in edges) if edges else F.lit(0)

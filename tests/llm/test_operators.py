@@ -477,8 +477,12 @@ def brute_jaccard(rows, n, percent):
     return sets, groups_of(links, ids)
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_jaccard_finds_every_link(spark, n, percent):
+@pytest.mark.parametrize(
+    ("n", "percent", "long_block"), [(4, 85, 1 << 22), (5, 80, 1 << 22), (2, 60, 1 << 22), (4, 85, 0), (2, 60, 12)]
+)
+def test_jaccard_finds_every_link(spark, monkeypatch, n, percent, long_block):
+    """Also where all blocks of n-grams, or some, are too long to be gathered."""
+    monkeypatch.setattr(jaccard, "LONG_BLOCK", long_block)
     rng = random.Random(n)
     rows = list(enumerate(texts(7, 60, 0, 50)))
     for base in rows[:12] + [(0, " ".join(WORDS[:90]))]:
