@@ -33,11 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailmart.llm.common import components, spans_of, stored
-from retailmart.llm.words import shingle_sets
+from retailmart.llm.words import shingle_sets, text_buffers
 
 LEAST_BLOCKS = 512
 GRAMS_A_BLOCK = 1 << 20
-LONG_BLOCK = 1 << 22  # entries; a longer block is not gathered
+LONG_BLOCK = 1 << 21  # entries; a longer block is not gathered
+PART_BYTES = 1 << 23  # of text whose n-grams a task holds at a time
+PRODUCTS = 1 << 20  # shared n-grams of pairs that a task holds at a time
+PAIRS = 1 << 18  # pairs of a list that a task holds at a time
 LIST_ROWS = 512  # longer lists are compared part by part
 
 
@@ -57,9 +60,22 @@ def _node(grams: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parts(batches, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about PART_BYTES of text (a longer one by itself), so that what is made of a
+    batch is small too. At the end Arrow gives back what it keeps: the worker lives on for other tasks."""
+    for batch in batches:
+        cuts, first = text_buffers(batch.column(text))[0], 0
+        while first < batch.num_rows:
+            after = int(np.searchsorted(cuts, cuts[first] + PART_BYTES, "right")) - 1
+            after = min(max(after, first + 1), batch.num_rows)
+            yield batch.slice(first, after - first)
+            first = after
+    pa.default_memory_pool().release_unused()
+
+
 def _set_rows(batches, n: int, percent: int) -> Iterator[pa.RecordBatch]:
     edges = _band_edges(percent)
-    for batch in batches:
+    for batch in _parts(batches):
         nodes, sizes, bands = [], [], []
         for grams in shingle_sets(batch.column(1), n):
             nodes.append(_node(grams))
@@ -86,7 +102,7 @@ def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def _incidence(batches, n: int, percent: int, blocks: int) -> Iterator[pa.RecordBatch]:
     """(block, entries, grams, nodes) pieces; each set once for a task."""
     edges, seen = _band_edges(percent), set()
-    for batch in batches:
+    for batch in _parts(batches):
         grams, nodes = [], []
         for own in shingle_sets(batch.column(1), n):
             node = _node(own)
@@ -226,7 +242,7 @@ def _candidates(rows: pa.Table, percent: int) -> pa.Table:
         v, size, after, top = node[a:b], n[a:b], n[a:b] - place[a:b], root[a:b]
         one = np.flatnonzero(side[a:b] == 0)
         two = one if within else np.flatnonzero(side[a:b] == 1)
-        step = max(1, (1 << 20) // max(1, len(two)))
+        step = max(1, PAIRS // max(1, len(two)))
         for i in range(0, len(one), step):
             j = one[i : i + step]
             need = ((size[j, None] + size[two]) * percent + 99 + percent) // (100 + percent)
@@ -269,8 +285,8 @@ def _block_product(rows: pa.Table, percent: int) -> pa.Table:
     overlap = np.zeros(len(one) * len(two), np.int64)
     ends = np.cumsum(high - low)
     first = 0
-    while first < len(g):  # about four million products at a time
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 22))))
+    while first < len(g):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PRODUCTS)))
         count = (high - low)[first:last]
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         pair = np.repeat(i[first:last] * len(two), count) + j[np.repeat(low[first:last], count) + inside]
@@ -342,7 +358,7 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int, rows_a_salt: int =
 
 
 def _full_rows(batches, n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         nodes, grams = [], []
         for wanted, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
             if _node(own) == wanted:

@@ -465,6 +465,20 @@ def test_chat_round_trip(spark):
     assert {r["conv_id"]: r["valid"] for r in chat.format_conversations(valid).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_parts_of_a_batch_are_bounded_and_whole(monkeypatch):
+    """What a task makes of a batch stays small, however large the batch; no row is lost or moved."""
+    monkeypatch.setattr(jaccard, "PART_BYTES", 100)
+    said = ["a b c d e " * k if k % 5 else None for k in range(40)]
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array(range(40)), pa.array(said, pa.string()), pa.array(range(40))], ["id", "text", "key"]
+    )
+    parts = list(jaccard._parts([whole.slice(3), whole.slice(0, 0)]))
+    assert pa.Table.from_batches(parts).to_pylist() == whole.slice(3).to_pylist()
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 100 for p in parts)
+    pieces = list(jaccard._incidence([whole], 2, 80, 4))
+    assert max(sum(b.column(1).to_pylist()) for b in pieces) < sum(sum(b.column(1).to_pylist()) for b in pieces)
+
+
 def brute_jaccard(rows, n, percent):
     sets = {}
     for i, text in rows:
