@@ -96,6 +96,16 @@ def test_each_small_table_is_broadcast_by_its_own_size(spark, name):
     assert "SortMergeJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["store_revenue_by_year", "revenue_by_population"])
+def test_sales_are_shuffled_once_for_the_price_of_their_product(spark, name):
+    """Not summed by store, product and year before, which takes a second, wider shuffle."""
+    with broadcast_below(spark, "-1"):
+        text = plan(QUERIES[name](spark, SF_DIR))
+    before_sales = text[: text.index(".sold[")]
+    assert not re.search(r"keys=\[StoreNumber#\d+L, PID#", before_sales)
+    assert len(re.findall(r"hashpartitioning\(StoreNumber#\d+L, PID#|hashpartitioning\(PID#\d+L,", before_sales)) == 1
+
+
 def test_category_filter_meets_sums_when_it_cannot_be_broadcast(spark):
     with broadcast_below(spark, "-1"):
         text = plan(QUERIES["groundhog"](spark, SF_DIR))
