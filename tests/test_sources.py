@@ -7,11 +7,12 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from retailmart.operators import changes as edit
 from retailmart.operators.changes import update_population
 from retailmart.plans import reports
 from retailmart.plans.build import prepare_tables
-from retailmart.operators.constraints import delete_cascade
+from retailmart.operators.constraints import delete_cascade, update_key_cascade
 from retailmart.operators.revenue import match_sale_price
 from retailmart.plans.load import check_table, judge_table, load_tables
 from retailmart.plans.views import VIEW_NAMES, create_views
@@ -550,3 +551,45 @@ def test_typed_formats_reject_what_does_not_convert(spark, raw, tmp_path):
     found = {(r["row_id"], r["field"]) for r in read_raw_rejects(spark, str(tmp_path)).collect()}
     assert found == {(4, "quantity"), (2, "storeid")}
     assert rows(read_raw(spark, str(tmp_path))["sales"].filter("row_id = 4")) == [(4, 2, 1, D1, None)]
+
+
+def test_a_cascade_loads_only_the_tables_of_the_asked_results(spark):
+    """Sales hang on the doomed stores, but no result that is asked for reads them."""
+    stored = Warehouse(spark, entry.raw_from_testdata(spark, "/root/testdata/sf0.001"), entry.LINE_ORDER)
+    doomed = stored["City"].filter("CityName LIKE '%3'").select("CityState")
+    left, _ = delete_cascade(stored, "City", doomed)
+    left["AssignedTo"].count()
+    assert stored._loaded & {"Sold", "OnSale", "Product"} == set()
+    assert set(left) == set(stored)
+    renames = spark.createDataFrame([("Brand#11", "New")], "old string, new string")
+    after, _ = update_key_cascade(stored, "Manufacturer", renames)
+    assert after["Product"].filter("ManufacturerName = 'New'").count() >= 0
+    assert stored._loaded & {"Sold", "OnSale"} == set()
+
+
+def test_an_appended_batch_is_cleaned_once(spark, monkeypatch):
+    """Its keys and its rows come from the same files, not from two runs of the cleaning."""
+    raw = entry.raw_from_testdata(spark, "/root/testdata/sf0.001")
+    stored = Warehouse(spark, {**raw, "sales": raw["sales"].filter("storeid % 2 = 0")}, entry.LINE_ORDER)
+    stored.load_all()
+    seen = {}
+
+    def judge(spec, table, *others, **options):
+        seen[spec.name] = table
+        return judge_table(spec, table, *others, **options)
+
+    monkeypatch.setattr("retailmart.plans.warehouse.judge_table", judge)
+    counts = stored.append({"sales": raw["sales"]}, entry.LINE_ORDER)
+    assert set(seen) == {"Cdate", "Sold"} == set(counts)
+    assert all(f.startswith("file:") and "/_batches/" in f for t in seen.values() for f in t.inputFiles())
+    assert sum(counts["Sold"]) == entry.prepare_tables(raw, entry.LINE_ORDER)["Sold"].count()
+
+
+def test_batches_are_dealt_by_order(spark):
+    """The remainders in one look stand for those of three and five, also below zero and null."""
+    order = F.expr("case when id % 50 = 49 then null else id - 40 end")
+    rows = spark.range(100).select(order.alias("o")).collect()
+    of_both = {k for k in range(-14, 15) if k % 3 == 0 or k % 5 == 0}
+    assert {r.o for r in rows if r.o is not None and (r.o % 3 == 0 or r.o % 5 == 0)} == {
+        r.o for r in spark.createDataFrame(rows, "o long").filter((F.col("o") % 15).isin(sorted(of_both))).collect()
+    }
