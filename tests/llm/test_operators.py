@@ -468,7 +468,7 @@ def test_chat_round_trip(spark):
 def test_parts_of_a_batch_are_bounded_and_whole(monkeypatch):
     """What a task makes of a batch stays small, however large the batch; no row is lost or moved."""
     monkeypatch.setattr(jaccard, "PART_BYTES", 100)
-    said = ["a b c d e " * k if k % 5 else None for k in range(40)]
+    said = [f"{k} b c d e " * k if k % 5 else None for k in range(40)]
     whole = pa.RecordBatch.from_arrays(
         [pa.array(range(40)), pa.array(said, pa.string()), pa.array(range(40))], ["id", "text", "key"]
     )
