@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailmart.llm.common import components, spans_of, stored
-from retailmart.llm.words import shingle_sets, text_buffers
+from retailmart.llm.words import shingle_sets
+from retailmart.llm.workers import lean, parts
 
 LEAST_BLOCKS = 512
 GRAMS_A_BLOCK = 1 << 20
@@ -61,18 +62,11 @@ def _node(grams: np.ndarray) -> int | None:
 
 
 def _parts(batches, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about PART_BYTES of text (a longer one by itself), so that what is made of a
-    batch is small too. At the end Arrow gives back what it keeps: the worker lives on for other tasks."""
-    for batch in batches:
-        cuts, first = text_buffers(batch.column(text))[0], 0
-        while first < batch.num_rows:
-            after = int(np.searchsorted(cuts, cuts[first] + PART_BYTES, "right")) - 1
-            after = min(max(after, first + 1), batch.num_rows)
-            yield batch.slice(first, after - first)
-            first = after
-    pa.default_memory_pool().release_unused()
+    """Batches cut to about PART_BYTES of text (a longer one by itself)."""
+    return parts(batches, text, PART_BYTES)
 
 
+@lean
 def _set_rows(batches, n: int, percent: int) -> Iterator[pa.RecordBatch]:
     edges = _band_edges(percent)
     for batch in _parts(batches):
@@ -99,6 +93,7 @@ def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
+@lean
 def _incidence(batches, n: int, percent: int, blocks: int) -> Iterator[pa.RecordBatch]:
     """(block, entries, grams, nodes) pieces; each set once for a task."""
     edges, seen = _band_edges(percent), set()
@@ -133,6 +128,7 @@ def _incidence(batches, n: int, percent: int, blocks: int) -> Iterator[pa.Record
         )
 
 
+@lean
 def _entries(batches) -> Iterator[pa.RecordBatch]:
     """(gram, node) of pieces."""
     for batch in batches:
@@ -319,6 +315,7 @@ def _family_links(families: DataFrame, full: DataFrame, percent: int, block: int
     )
 
 
+@lean
 def _compare(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (y, salt, x with null first): the set of y, then those to compare with it."""
     y = y_grams = None
@@ -357,6 +354,7 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int, rows_a_salt: int =
     )
 
 
+@lean
 def _full_rows(batches, n: int) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
         nodes, grams = [], []

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from retailmart.llm.common import stored
 from retailmart.llm.words import mix, text_buffers
+from retailmart.llm.workers import lean
 
 TABLE = 1 << 16
 SLICES = 64  # parts of a table that are added up apart
@@ -54,6 +55,7 @@ def _pieces(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = after
 
 
+@lean
 def _count(batches) -> Iterator[pa.RecordBatch]:
     """(language, slice, counts): a task's n-gram counts, where a slice of the table has any."""
     totals: dict[str, np.ndarray] = {}
@@ -109,6 +111,7 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE_A_LANGUAGE) -> Text
     return TextModel(languages, (table - table.mean(1, keepdims=True)).astype(np.float32))
 
 
+@lean
 def _text_scores(batches, model: TextModel) -> Iterator[pa.RecordBatch]:
     k = len(model.languages)
     for batch in batches:

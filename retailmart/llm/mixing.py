@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from retailmart.llm.common import small_table, stored
 from retailmart.llm.words import words_of
+from retailmart.llm.workers import lean, parts
 
 FEATURES = 256
 TOPIC_SAMPLE = 4000  # rows that the first topic centres are drawn from, about
@@ -25,6 +26,8 @@ TOPIC_ROUNDS = 20
 UNIT = 1 << 24  # vectors are summed as whole numbers of this part, so no order of tasks shows
 RATES_A_PLAN = 100_000  # rates that one plan carries
 AXES = ("source", "lang", "topic")
+PART_BYTES = 1 << 22  # of text whose vectors a task holds at a time
+PART_ROWS = 1024  # vectors that a task holds at a time
 
 
 def _features(array: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -37,9 +40,10 @@ def _features(array: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.diff(chunk.bounds()), vectors
 
 
+@lean
 def _vectors(batches) -> Iterator[pa.RecordBatch]:
     """id, text, source, lang to id, source, lang, tokens, v."""
-    for batch in batches:
+    for batch in parts(batches, 1, PART_BYTES, PART_ROWS):
         words, rows = [], []
         for n, vectors in _features(batch.column(1)):
             words += n.tolist()
@@ -48,6 +52,12 @@ def _vectors(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["id", "source", "lang", "tokens", "v"])
 
 
+def _vector_parts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(first, PART_ROWS)
+
+
 def _matrix(array: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(array.to_pylist()), np.float32).reshape(-1, FEATURES)
 
@@ -56,9 +66,10 @@ def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (vectors.astype(np.float64) @ centres.T).round(9).argmax(1)
 
 
+@lean
 def _topic_sums(batches, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
     sums = np.zeros((len(centres), FEATURES), np.int64)
-    for batch in batches:
+    for batch in _vector_parts(batches):
         vectors = _matrix(batch.column(0))
         best, units = _nearest(vectors, centres), np.rint(vectors.astype(np.float64) * UNIT).astype(np.int64)
         for k in np.unique(best):
@@ -94,8 +105,9 @@ def fit_topics(vectors: DataFrame, topics: int, sample: int = TOPIC_SAMPLE) -> n
     return centres
 
 
+@lean
 def _label(batches, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _vector_parts(batches):
         topic = [f"topic{k}" for k in _nearest(_matrix(batch.column(4)), centres)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topic, pa.string())], ["id", "source", "lang", "tokens", "topic"])
 

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailmart.llm.common import gapless, small_table, stored
+from retailmart.llm.workers import CACHES, lean, parts
 
 CAPACITY = 2048
 GROUPS = 384
 MEMO_PARTS = 300_000  # parts of text whose ids a worker remembers before it starts anew
+PART_BYTES = 1 << 22  # of text whose ids a task holds at a time
 END_ID = 0
 
 
@@ -77,9 +79,13 @@ def _ids(json_file: str, rank_file: str, pattern: str, special: tuple[str, ...])
     return Ids(json_file, rank_file, pattern, special)
 
 
+CACHES.append(_ids)
+
+
+@partial(lean, keep=_ids)
 def _piece_rows(batches, files: tuple, capacity: int) -> Iterator[pa.RecordBatch]:
     encode = _ids(*files)
-    for batch in batches:
+    for batch in parts(batches, 1, PART_BYTES):
         rows, piece, start, length, ids = [], [], [], [], []
         for r, text in enumerate(batch.column(1).to_pylist()):
             own = encode(text or "")
@@ -222,6 +228,7 @@ def _histogram(df: DataFrame, column: str) -> dict[int, int]:
     return {r[column]: r["count"] for r in df.groupBy(column).count().collect()}
 
 
+@lean
 def _find(batches, keys: np.ndarray, values: np.ndarray, small: bool) -> Iterator[pa.RecordBatch]:
     """Add what the plan says for each rank: (sequence) of large, (room, room_rank) of small ones."""
     for batch in batches:

@@ -21,8 +21,11 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from retailmart.llm.workers import lean, parts
+
 ROUNDS = 8
 BLOCK = 64
+PART_BYTES = 1 << 22  # of text that a task rewrites at a time
 KINDS = ("secret", "email", "iban", "ip", "date", "ssn", "phone", "card")
 
 
@@ -311,8 +314,9 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, Counter]:
     return "".join([*parts, text[at:]]), counts
 
 
+@lean
 def _rows(batches, key: bytes, place: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, place, PART_BYTES):
         texts, counts = [], []
         for text in batch.column(place).to_pylist():
             fresh, found = (text, Counter()) if text is None else pseudonymise(text, key)
